@@ -56,9 +56,11 @@ def stream_category_state(events: DataFrame, out: str, available_now: bool = Tru
         if known is None:
             known = spark.createDataFrame([], cat_schema)
         pairs = known.groupBy("big", "small").agg(F.sum("n").alias("n"))
-        base = pairs.agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("n0"), F.count_distinct("big").alias("b0"), F.count("*").alias("s0")
-        )
+        totals = {
+            "n0": pairs.agg(F.coalesce(F.sum("n"), F.lit(0))),
+            "b0": pairs.agg(F.count_distinct("big")),
+            "s0": pairs.agg(F.count("*")),
+        }
         ahead = pairs.select("big", "small")
         fresh = (
             batch.join(ahead.select("big", F.lit(1).alias("old_big")).distinct(), "big", "left")
@@ -66,7 +68,7 @@ def stream_category_state(events: DataFrame, out: str, available_now: bool = Tru
             .withColumn("fresh_big", F.when(F.col("old_big").isNull(), F.col("big")))
             .withColumn("fresh_small", F.when(F.col("old_small").isNull(), F.concat_ws("\u0001", "big", "small")))
         )
-        seen = running_distinct_from(fresh).join(base)
+        seen = running_distinct_from(fresh).withColumns({name: one.scalar() for name, one in totals.items()})
         seen.select(
             "ord",
             "big",
