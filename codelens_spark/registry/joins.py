@@ -107,7 +107,7 @@ def _(spark, sf):
 
 @query(
     "j5_enclosing_chain", "v_nest v_day",
-    "select d.uri, d.line, n.name, n.s, n.e, n.s - n.e as "outer" from v_day d join v_nest n on d.uri = n.uri and d.line between n.s and n.e",
+    'select d.uri, d.line, n.name, n.s, n.e, n.s - n.e as "outer" from v_day d join v_nest n on d.uri = n.uri and d.line between n.s and n.e',
 )
 def _(spark, sf):
     return J.enclosing_chain(V.v_day(spark, sf), V.v_nest(spark, sf))
