@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.classify import action_label, classify_ordered, map_stage
 from ..functions.text import estimated_tokens, report_totals
+from ..plans.scan import Run, running
 from ..plans.skew import attach, first_per_key
 
 
@@ -443,11 +444,17 @@ def need_filter(tokens: DataFrame, max_terms: int, by: str = "fn") -> DataFrame:
     return words.groupBy(by).agg(F.count("*").alias("words")).withColumn("filter_terms", F.col("words") > max_terms)
 
 
-def size_profile(tasks: DataFrame, by: str, size: str, quantiles: Sequence[float] = (0.25, 0.5, 0.75), accuracy: int = 10_000) -> DataFrame:
-    """Group size and size quantiles. Exact counts; quantiles from the mergeable percentile sketch."""
-    q = F.percentile_approx(size, list(quantiles), accuracy)
-    cols = [F.get(F.col("q"), F.lit(i)).alias(f"p{int(p * 100)}") for i, p in enumerate(quantiles)]
-    return tasks.groupBy(by).agg(F.count("*").alias("n"), F.min(size).alias("least"), F.max(size).alias("most"), q.alias("q")).select(by, "n", "least", "most", *cols)
+def size_profile(tasks: DataFrame, by: str, size: str, quantiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """Group size, least and largest size, and exact (discrete) quantiles of an integer size.
+
+    Equal sizes are counted first, so the ordered scan is as long as the range of sizes, not the group.
+    """
+    counts = tasks.groupBy(by, size).agg(F.count("*").alias("__n"))
+    seen = running(counts, [by], size, [Run("__cum", "sum", F.col("__n"))])
+    total = counts.groupBy(by).agg(F.sum("__n").alias("n"))
+    reached = attach(seen, total, [by])
+    cols = [F.min(F.when(F.col("__cum") >= F.col("n") * p, F.col(size))).alias(f"p{int(p * 100)}") for p in quantiles]
+    return reached.groupBy(by).agg(F.max("n").alias("n"), F.min(size).alias("least"), F.max(size).alias("most"), *cols)
 
 
 def lang_counts(docs: DataFrame) -> DataFrame:

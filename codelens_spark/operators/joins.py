@@ -15,6 +15,8 @@ from ..functions.text import base_name, file_stem, normalized_name
 from ..plans.intervals import prefix_max_at, stab_all, stab_best
 from ..plans.skew import attach, first_per_key
 
+RUN_PIECE = 64
+
 
 def match_tasks(symbols: DataFrame, tasks: DataFrame, name: str = "symbol_name", path: str = "path") -> DataFrame:
     """Symbols that a task names, with the task's columns."""
@@ -122,13 +124,13 @@ def enclosing_chain(points: DataFrame, ivals: DataFrame, key: str = "uri", pos:
 def exclude_inside(defs: DataFrame, focal: DataFrame, key: str = "uri") -> DataFrame:
     """Drop definitions strictly inside a focal range of their file."""
     reach = prefix_max_at(defs, focal, [key], "s", "s", "e", "__reach", inclusive=False)
-    return attach(defs, reach, [key, "s"]).filter(~F.coalesce(F.col("__reach") > F.col("e"), F.lit(False))).drop("__reach")
+    return attach(defs, reach, [key, "s"], salts=1).filter(~F.coalesce(F.col("__reach") > F.col("e"), F.lit(False))).drop("__reach")
 
 
 def exclude_overlap(refs: DataFrame, focal: DataFrame, key: str = "uri") -> DataFrame:
     """Drop references that touch a focal range of their file."""
     reach = prefix_max_at(refs, focal, [key], "e", "s", "e", "__reach", inclusive=True)
-    return attach(refs, reach, [key, "e"]).filter(~F.coalesce(F.col("__reach") >= F.col("s"), F.lit(False))).drop("__reach")
+    return attach(refs, reach, [key, "e"], salts=1).filter(~F.coalesce(F.col("__reach") >= F.col("s"), F.lit(False))).drop("__reach")
 
 
 def contains_join(words: DataFrame, texts: DataFrame, keyed: bool = False) -> DataFrame:
@@ -136,23 +138,26 @@ def contains_join(words: DataFrame, texts: DataFrame, keyed: bool = False) -> Da
 
     An identifier can only occur inside one run of word characters, so matching is done on the vocabulary
     of distinct runs: every run is cut into its substrings of the lengths that words have, and these meet
-    the words in an equi-join. Texts then join the matched runs.
+    the words in an equi-join. Texts then join the matched runs. Words are identifiers; others match nothing.
     """
     key = ["key"] if keyed else []
     vocab_words = words.select("word").distinct().filter(F.col("word").rlike(r"^\w+$"))
     runs = texts.select(
         *key, "text_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0)))).alias("run")
     )
-    longest = vocab_words.agg(F.max(F.length("word")).alias("longest"))
-    lens = F.transform(F.sequence(F.lit(1), F.least(F.length("run"), F.col("longest"))), lambda n: n)
-    pieces = F.flatten(
+    sizes = vocab_words.agg(F.array_sort(F.collect_set(F.length("word"))).alias("sizes"))
+    vocab = runs.select("run").distinct().withColumn("sizes", sizes.scalar()).filter(F.size("sizes") > 0)
+    # long runs are cut into overlapping pieces, so that no row expands without bound
+    reach = F.element_at("sizes", -1) - 1
+    starts = F.sequence(F.lit(1), F.length("run"), F.lit(RUN_PIECE))
+    vocab = vocab.select("run", "sizes", F.explode(F.transform(starts, lambda p: F.col("run").substr(p, reach + RUN_PIECE))).alias("piece"))
+    subs = F.flatten(
         F.transform(
-            lens,
-            lambda n: F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), lambda i: F.col("run").substr(i, n)),
+            F.filter("sizes", lambda n: n <= F.length("piece")),
+            lambda n: F.transform(F.sequence(F.lit(1), F.length("piece") - n + 1), lambda i: F.col("piece").substr(i, n)),
         )
     )
-    vocab = runs.select("run").distinct().withColumn("longest", longest.scalar()).filter("longest is not null")
-    match = vocab.select("run", F.explode(F.array_distinct(pieces)).alias("word")).join(vocab_words, "word")
+    match = vocab.select("run", F.explode(F.array_distinct(subs)).alias("word")).join(vocab_words, "word").distinct()
     if keyed:
         local = words.select("key", "word").distinct()
         hits = runs.join(match, "run").join(local, ["key", "word"])
@@ -170,7 +175,7 @@ def propagate_same_line(tokens: DataFrame, matched: DataFrame) -> DataFrame:
     hit = tokens.join(matched.select("token_id").distinct(), "token_id", "left_semi")
     lead = hit.filter("assign").groupBy("uri", "line").agg(F.min_by("token_id", "ord").alias("source"))
     rest = tokens.filter("assign").join(matched.select("token_id").distinct(), "token_id", "left_anti")
-    inherited = attach(rest.select("uri", "line", "token_id"), lead, ["uri", "line"], how="inner")
+    inherited = attach(rest.select("uri", "line", "token_id"), lead, ["uri", "line"], how="inner", salts=1)
     given = matched.withColumnRenamed("token_id", "source")
     return matched.select("token_id", "condition").unionByName(
         inherited.join(given, "source").select("token_id", "condition")

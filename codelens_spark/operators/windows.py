@@ -25,7 +25,7 @@ def next_bound(symbols: DataFrame) -> DataFrame:
     starts = symbols.groupBy("uri", "s").agg(F.max("ord").alias("last_ord"))
     nxt = running(starts, ["uri"], "s", [Run("next_s", "next", F.col("s"))])
     ends = symbols.groupBy("uri").agg(F.max("e").alias("doc_end"))
-    rows = attach(attach(symbols, nxt, ["uri", "s"]), ends, ["uri"])
+    rows = attach(attach(symbols, nxt, ["uri", "s"], salts=1), ends, ["uri"])
     bound = F.when(F.col("ord") < F.col("last_ord"), F.col("s")).otherwise(F.coalesce("next_s", "doc_end"))
     return rows.select(*symbols.columns, bound.alias("bound"))
 
@@ -124,10 +124,10 @@ def running_distinct(ev: DataFrame, order: str = "ord") -> DataFrame:
 def delta_decode(tokens: DataFrame, key: str, order: str) -> DataFrame:
     """Absolute line and character from (d_line, d_char) deltas; characters restart on a new line."""
     d_line, d_char = F.col("d_line"), F.col("d_char")
-    both = running(tokens, [key], order, [Run("line", "sum", d_line), Run("__sum", "sum", d_char)])
+    both = running(tokens, [key], order, [Run("line", "sum", d_line), Run("__sum", "sum", d_char)], levels=2)
     # the running sum just before the latest line break; sums never fall, so the latest is the largest
     base = F.when(d_line > 0, F.col("__sum") - d_char)
-    out = running(both, [key], order, [Run("__base", "max", base)])
+    out = running(both, [key], order, [Run("__base", "max", base)], levels=2)
     return out.withColumn("ch", F.col("__sum") - F.coalesce("__base", F.lit(0))).drop("__sum", "__base")
 
 
@@ -141,7 +141,7 @@ def prune_to_mean(paths: DataFrame, key: str = "fn", size: str = "len", idx: str
 def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
     """Names that clash (ignoring case) get _1, _2, ... in order; the first keeps its name."""
     folded = df.withColumn("__base", F.lower(F.col(name)))
-    seen = number_rows(folded, ["__base"], order, "__i", start=0)
+    seen = number_rows(folded, ["__base"], order, "__i", start=0, levels=2)
     suffix = F.when(F.col("__i") > 0, F.concat(F.lit("_"), F.col("__i").cast("string"))).otherwise("")
     return seen.withColumn("unique_name", F.concat(F.col(name), suffix)).drop("__base", "__i")
 
@@ -155,4 +155,4 @@ def round_delta(diag: DataFrame) -> DataFrame:
 
 def numbered_locations(diag: DataFrame) -> DataFrame:
     """Locations of each message counted from 1 in order: diag(message, ord, ...)."""
-    return number_rows(diag, ["message"], "ord", "idx")
+    return number_rows(diag, ["message"], "ord", "idx", levels=2)

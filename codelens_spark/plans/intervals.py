@@ -22,6 +22,11 @@ def _width(level: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), level)
 
 
+def _depth(s: str, e: str) -> Column:
+    """A canonical node is never longer than its interval."""
+    return F.least(F.lit(LEVELS), F.ceil(F.log2(F.col(e) - F.col(s) + 2))).cast("int")
+
+
 def _nodes(s: str, e: str) -> Column:
     """Canonical nodes of [s, e]; positions are non-negative integers below 2**31."""
 
@@ -33,14 +38,17 @@ def _nodes(s: str, e: str) -> Column:
         right = F.when((lo < hi) & (hi % 2 == 1), F.struct(level.alias("level"), (hi - 1).alias("node")))
         return F.array(left, right)
 
-    # a canonical node is never longer than the interval itself
-    depth = F.least(F.lit(LEVELS), F.ceil(F.log2(F.col(e) - F.col(s) + 2))).cast("int")
-    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), depth), at)))
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), _depth(s, e)), at)))
+
+
+def _top_level(ivals: DataFrame, s: str, e: str) -> Column:
+    """Highest level any of the intervals can have a node on, as a scalar subquery."""
+    return ivals.agg(F.coalesce(F.max(_depth(s, e)), F.lit(0))).scalar()
 
 
 def _point_nodes(pos: str) -> Column:
     return F.transform(
-        F.sequence(F.lit(0), F.lit(LEVELS)),
+        F.sequence(F.lit(0), F.col("__top")),
         lambda level: F.struct(
             level.alias("level"),
             F.floor(F.col(pos).cast("long") / _width(level)).alias("node"),
@@ -58,13 +66,14 @@ def stab_best(points: DataFrame, ivals: DataFrame, keys: Sequence[str], pos: str
     Every node keeps only its best interval before the join, and a point meets one row per level.
     """
     keys = list(keys)
+    ivals = ivals.filter(F.col(s) <= F.col(e))
     entry = F.struct(F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)]).alias("rank"), F.struct(*payload).alias("pay"))
     best = (
-        _exploded(ivals.filter(F.col(s) <= F.col(e)).select(*keys, s, e, entry.alias("entry")), _nodes(s, e))
+        _exploded(ivals.select(*keys, s, e, entry.alias("entry")), _nodes(s, e))
         .groupBy(*keys, "level", "node")
         .agg(F.min("entry").alias("entry"))
     )
-    where = _exploded(points.select(*keys, pos).distinct(), _point_nodes(pos))
+    where = _exploded(points.select(*keys, pos).distinct().withColumn("__top", _top_level(ivals, s, e)), _point_nodes(pos)).drop("__top")
     hit = where.join(best, keys + ["level", "node"]).groupBy(*keys, pos).agg(F.min("entry").alias("entry"))
     return hit.select(*keys, pos, *[F.col("entry.pay." + p).alias(p) for p in payload])
 
@@ -72,8 +81,9 @@ def stab_best(points: DataFrame, ivals: DataFrame, keys: Sequence[str], pos: str
 def stab_all(points: DataFrame, ivals: DataFrame, keys: Sequence[str], pos: str, s: str, e: str) -> DataFrame:
     """Every (point, covering interval) pair, each once: the size of the true result, not of its group."""
     keys = list(keys)
-    left = _exploded(points, _point_nodes(pos))
-    right = _exploded(ivals.filter(F.col(s) <= F.col(e)), _nodes(s, e))
+    valid = ivals.filter(F.col(s) <= F.col(e))
+    left = _exploded(points.withColumn("__top", _top_level(valid, s, e)), _point_nodes(pos)).drop("__top")
+    right = _exploded(valid, _nodes(s, e))
     return left.join(right, keys + ["level", "node"]).drop("level", "node")
 
 

@@ -4,7 +4,8 @@ A plain `Window.partitionBy(key)` sorts all rows of a key in one task. Here the
 fixed-width blocks: blocks are reduced to one row each, the few block rows are scanned per key to get
 what each block inherits from the blocks before it, and rows are scanned only inside their block.
 With a unique integer ordinal a block holds at most `BLOCK` rows, whatever the key's size. Block rows
-are themselves scanned in super-blocks (`levels=2`), for ordinals that span a whole table.
+are themselves scanned in super-blocks with `levels=2`, for ordinals such as record numbers that span a
+whole table; positions inside a file (below 2**31) make at most 2**15 blocks per key and need one level.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,10 +21,16 @@ def salt_of(df: DataFrame, salts: int = SALTS) -> Column:
 def attach(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "left", salts: int = SALTS) -> DataFrame:
     """Join a table with one row per key onto many rows per key.
 
-    The many-row side is spread over `salts` sub-keys and the one-row side copied once per sub-key, so
-    a hot key is read by many tasks. Small per-key tables become a broadcast join at run time anyway.
+    Coarse keys (a file, a function): the many-row side is spread over `salts` sub-keys and the one-row
+    side copied once per sub-key, so a hot key is read by many tasks. Fine keys, whose per-key table is
+    nearly as long as the rows, should pass salts=1: copying would cost more than it saves, and the
+    adaptive skew join splits the rare hot one. Small per-key tables become a broadcast join at run time.
     """
     keys = list(keys)
+    if salts == 1:
+        right = per_key.select(*[F.col(c).alias("__r_" + c) if c in keys else F.col(c) for c in per_key.columns])
+        cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col("__r_" + k)) for k in keys])
+        return rows.join(right, cond, how).drop(*["__r_" + k for k in keys])
     left = rows.withColumn("__salt", salt_of(rows, salts))
     right = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     right = right.select(*[F.col(c).alias("__r_" + c) if c in keys + ["__salt"] else F.col(c) for c in right.columns])

@@ -301,12 +301,12 @@ def _(spark, sf):
 
 @query(
     "u2_difference", "v_diag",
-    """select message from v_diag except select d.message from v_diag d join (select file, max(round) m from v_diag group by file) l on d.file = l.file and d.round = l.m""",
+    """select file, message from v_diag except select d.file, d.message from v_diag d join (select file, max(round) m from v_diag group by file) l on d.file = l.file and d.round = l.m""",
 )
 def _(spark, sf):
     d = V.v_diag(spark, sf)
     last = d.groupBy("file").agg(F.max("round").alias("round"))
-    return S.difference(d, d.join(last, ["file", "round"], "left_semi"), ["message"])
+    return S.difference(d, d.join(last, ["file", "round"], "left_semi"), ["file", "message"])
 
 
 @query(
