@@ -68,45 +68,47 @@ def running(
 ) -> DataFrame:
     """Add one column per run, scanning each key by the integer column `order`."""
     keys = list(keys)
+    # helper columns carry the level, so that a nested scan does not overwrite those of the outer one
+    blk, val, tot, car, loc = (f"__{c}{levels}_" for c in ("b", "v", "t", "c", "l"))
     rank = F.struct(F.col(order), *[F.col(t) for t in ties])
-    base = df.withColumn("__b", F.floor(F.col(order) / F.lit(block)).cast("long"))
+    base = df.withColumn(blk, F.floor(F.col(order) / F.lit(block)).cast("long"))
     for i, r in enumerate(runs):
-        base = base.withColumn(f"__v{i}", r.value)
-    held = [Run(f"__c{i}", r.kind, F.col(f"__v{i}")) for i, r in enumerate(runs)]
+        base = base.withColumn(f"{val}{i}", r.value)
+    held = [Run(r.name, r.kind, F.col(f"{val}{i}")) for i, r in enumerate(runs)]
 
-    totals = base.groupBy(*keys, "__b").agg(*[_block_total(h, rank).alias(f"__t{i}") for i, h in enumerate(held)])
+    totals = base.groupBy(*keys, blk).agg(*[_block_total(h, rank).alias(f"{tot}{i}") for i, h in enumerate(held)])
     if levels > 1:
-        inner = [Run(f"__c{i}", r.kind, F.col(f"__t{i}"), inclusive=False) for i, r in enumerate(runs)]
-        carry = running(totals, keys, "__b", inner, block=SUPER, levels=levels - 1)
+        inner = [Run(f"{car}{i}", r.kind, F.col(f"{tot}{i}"), inclusive=False) for i, r in enumerate(runs)]
+        carry = running(totals, keys, blk, inner, block=SUPER, levels=levels - 1)
     else:
-        over_blocks = Window.partitionBy(*keys).orderBy("__b") if keys else Window.orderBy("__b")
+        over_blocks = Window.partitionBy(*keys).orderBy(blk) if keys else Window.orderBy(blk)
         carry = totals.select(
-            *keys, "__b", *[_fold(r.kind, F.col(f"__t{i}"), over_blocks).alias(f"__c{i}") for i, r in enumerate(runs)]
+            *keys, blk, *[_fold(r.kind, F.col(f"{tot}{i}"), over_blocks).alias(f"{car}{i}") for i, r in enumerate(runs)]
         )
     carry = carry.select(
         *[F.col(k).alias("__k_" + k) for k in keys],
-        F.col("__b").alias("__k___b"),
-        *[F.col(f"__c{i}") for i in range(len(runs))],
+        F.col(blk).alias("__k_" + blk),
+        *[F.col(f"{car}{i}") for i in range(len(runs))],
     )
 
-    inside = Window.partitionBy(*keys, "__b").orderBy(order, *ties)
+    inside = Window.partitionBy(*keys, blk).orderBy(order, *ties)
     local = base
     for i, r in enumerate(runs):
-        value = F.col(f"__v{i}")
+        value = F.col(f"{val}{i}")
         if r.kind in ("sum", "max"):
             frame = inside.rowsBetween(Window.unboundedPreceding, 0 if r.inclusive else -1)
             column = (F.sum if r.kind == "sum" else F.max)(value).over(frame)
         else:
             column = (F.lag if r.kind == "prev" else F.lead)(F.struct(value.alias("v"))).over(inside)
-        local = local.withColumn(f"__l{i}", column)
+        local = local.withColumn(f"{loc}{i}", column)
 
-    cond = F.col("__b") == F.col("__k___b")
+    cond = F.col(blk) == F.col("__k_" + blk)
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col("__k_" + k))
     joined = local.join(carry, cond, "inner")
     out = []
     for i, r in enumerate(runs):
-        merged = _merge(r.kind, F.col(f"__c{i}"), F.col(f"__l{i}"))
+        merged = _merge(r.kind, F.col(f"{car}{i}"), F.col(f"{loc}{i}"))
         out.append((merged["v"] if r.kind in ("prev", "next") else merged).alias(r.name))
     return joined.select(*df.columns, *out)
 
