@@ -184,5 +184,5 @@ def parse_mutation_report(lines: DataFrame) -> DataFrame:
         blocks.join(before, ["file", "block"], "left")
         .join(named.withColumnRenamed("mod_at", "before_at").withColumnRenamed("seen", "earlier"), ["file", "before_at"], "left")
     )
-    filled = out.filter("operator is not null or status is not null")
+    filled = out.filter("block > 0 or own is not null or operator is not null or status is not null")
     return filled.select("file", "block", F.coalesce("earlier", "own").alias("module"), "operator", F.col("lineno").cast("int").alias("lineno"), "status")

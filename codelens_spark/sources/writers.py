@@ -52,7 +52,7 @@ def write_unified_log(execs: DataFrame, logs: DataFrame, out: str) -> None:
 
 def matrix_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Numbers with 9 decimals, `None` for missing."""
-    return df.select("row_id", *[F.coalesce(F.format_string("%.9f", F.col(c)), F.lit("None")).alias(c) for c in cols])
+    return df.select("row_id", *[F.when(F.col(c).isNull(), "None").otherwise(F.format_string("%.9f", F.col(c))).alias(c) for c in cols])
 
 
 def write_matrix(df: DataFrame, cols: Sequence[str], out: str, order: Sequence[str] = ("project", "model_ord")) -> None:
