@@ -12,6 +12,13 @@ from pyspark.sql import types as T
 SALTS = 32
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-spread an input that arrives in fewer partitions than there are cores (one unsplittable file,
+    say) before heavy row-wise work. Inputs with enough partitions, as on a cluster, pass unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *cols)
+
+
 def salt_of(df: DataFrame, salts: int = SALTS) -> Column:
     """Sub-key from the row's own content, so a recomputed task gives every row the same salt again."""
     plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]

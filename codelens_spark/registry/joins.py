@@ -119,7 +119,8 @@ PIECES = f"select l_partkey uri, {V.ROW_ORD} ord, date_diff('day', date '1995-01
 
 def _pieces(spark, sf):
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date"))
-    li = V.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("uri"), V.row_ord().alias("ord"), day.alias("s"), (day + F.col("l_quantity").cast("int")).alias("e"))
+    cols = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")
+    li = V.wide_table(spark, sf, "lineitem", *cols).select(F.col("l_partkey").alias("uri"), V.row_ord().alias("ord"), day.alias("s"), (day + F.col("l_quantity").cast("int")).alias("e"))
     focal = V.table(spark, sf, "part").select(F.col("p_partkey").alias("uri"), (F.col("p_size") * 20).alias("s"), (F.col("p_size") * 20 + 60).alias("e"))
     return li, focal
 
@@ -143,7 +144,7 @@ def _(spark, sf):
     from ..functions.text import identifiers
 
     words = V.table(spark, sf, "benchmark").select(F.explode(identifiers(F.col("text"))).alias("word"))
-    docs = V.table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    docs = V.wide_table(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").alias("text_id"), "text")
     return J.contains_join(words, docs).groupBy("word").agg(F.count("*").alias("texts"))
 
 

@@ -25,7 +25,7 @@ for _preset in R.PRESETS:
 
 @query("p1_classify_documents", sql=f"select doc_id, {classify_sql('seven', 'text')} category from documents")
 def _(spark, sf):
-    return classify_ordered(V.table(spark, sf, "documents"), "text").select("doc_id", "category")
+    return classify_ordered(V.wide_table(spark, sf, "documents", "doc_id", "text"), "text").select("doc_id", "category")
 
 
 @query("p2_is_unclear", "v_diag", f"select ord, {unclear_sql('message')} unclear from v_diag")
@@ -182,7 +182,7 @@ def _(spark, sf):
     where len(l) < 2 or len(list_filter(l, lambda x: regexp_matches(trim(x), '(?i)^[a-zA-Z_][a-zA-Z0-9_]*:\\s*(int|str|bool|float|list|dict|set|tuple|any)$'))) / len(l) < 0.5""",
 )
 def _(spark, sf):
-    d = V.table(spark, sf, "documents")
+    d = V.wide_table(spark, sf, "documents", "doc_id", "text")
     text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("a: int\n b: Str \n"), "text")).otherwise(F.col("text"))
     return P.drop_stub_blocks(d.select("doc_id", text.alias("block")), "block").select("doc_id")
 

@@ -28,7 +28,7 @@ def _(spark, sf):
             F.struct(F.when(F.length(l) % 4 == 0, "").otherwise((F.length(l) % 100).cast("string")).alias("tokenUsage")).alias("llmInfo"),
         ),
     )
-    docs = V.table(spark, sf, "documents")
+    docs = V.wide_table(spark, sf, "documents", "doc_id", "text")
     files = docs.select(F.col("doc_id").alias("file"), F.when(F.col("doc_id") % 10 == 7, '{"a": 1}').otherwise(F.to_json(entry)).alias("content"))
     parsed = logs.parse_process_logs(files)
     return parsed.groupBy("process").agg(F.count("*").alias("entries"), F.sum("time_ms").alias("time_ms"), F.sum("tokens").alias("tokens"))

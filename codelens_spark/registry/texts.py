@@ -108,7 +108,7 @@ _templates(
 
 @query("x5_cleanup_documents", sql="select doc_id, md5(trim(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(11) || chr(12) || chr(13))) code from documents")
 def _(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id", F.md5(X.cleanup_code(F.col("text"))).alias("code"))
+    return V.wide_table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.md5(X.cleanup_code(F.col("text"))).alias("code"))
 
 
 _templates(
@@ -201,7 +201,7 @@ def _(spark, sf):
       cast(10 as bigint) first_n, cast(9 + len(l) as bigint) last_n from a""",
 )
 def _(spark, sf):
-    d = V.table(spark, sf, "documents").select("doc_id", X.add_line_numbers(F.col("text"), F.lit(10)).alias("t"))
+    d = V.wide_table(spark, sf, "documents", "doc_id", "text").select("doc_id", X.add_line_numbers(F.col("text"), F.lit(10)).alias("t"))
     t = F.col("t")
     return d.select("doc_id", F.md5("t").alias("numbered"), F.md5(X.strip_line_numbers(t)).alias("stripped"), X.first_line_number(t).alias("first_n"), X.last_line_number(t).alias("last_n"))
 

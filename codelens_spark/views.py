@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .plans.skew import spread
+
 # sample compiler messages used to give events a diagnostic text
 MESSAGES = (
     "foo redeclared in this block",
@@ -37,10 +39,20 @@ PROCESSES = {
 ACTIONS = {"signup": "run", "purchase": "pass", "error": "fail", "view": "output", "click": "skip"}
 
 
+# tables whose rows are worth spreading when they sit in one small file, and the columns to spread by
+SPREAD = {"lineitem": ("l_orderkey", "l_linenumber", "l_partkey"), "documents": ("doc_id",), "conversations": ("conv_id", "turn")}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf: str, name: str, *cols: str) -> DataFrame:
+    """The named columns of a table, spread over the cores: for queries with heavy work per row."""
+    df = table(spark, sf, name)
+    return spread(df.select(*cols) if cols else df, *SPREAD[name])
+
+
 def _map(col: Column, fixed: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in fixed.items() for x in kv])[col]
 
@@ -107,7 +119,7 @@ V_EVENT = f"""select 'Test' || user_id || '_' || (k % 4) test, user_id file, eve
 
 
 def v_line(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    return wide_table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
 
 
 V_LINE = """select doc_id, cast(unnest(range(len(l))) as int) n, unnest(l) as text
@@ -125,7 +137,8 @@ ROW_ORD = """lpad(cast(l_orderkey as varchar), 12, '0') || l_linenumber || lpad(
 
 def v_ival(spark, sf):
     s = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date"))
-    return table(spark, sf, "lineitem").select(
+    cols = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")
+    return wide_table(spark, sf, "lineitem", *cols).select(
         F.col("l_suppkey").alias("uri"), F.col("l_partkey").alias("name"), s.alias("s"),
         (s + F.col("l_quantity").cast("int")).alias("e"), row_ord().alias("ord"),
     )
@@ -283,7 +296,7 @@ TOKEN_TYPES = ("method", "function", "class", "parameter", "string", "variable")
 
 def v_token(spark, sf):
     """Tokens: one row per word of every conversation line, placed by line and word number."""
-    words = table(spark, sf, "conversations").select(
+    words = wide_table(spark, sf, "conversations", "conv_id", "turn", "text").select(
         F.concat_ws(":", "conv_id", "turn").alias("uri"), F.posexplode(F.split("text", "\n")).alias("line", "row")
     ).select("uri", "line", "row", F.posexplode(F.regexp_extract_all("row", F.lit("[a-zA-Z_][a-zA-Z0-9_]*"), F.lit(0))).alias("ch", "word"))
     kind = F.get(F.array(*[F.lit(t) for t in TOKEN_TYPES]), F.length("word") % len(TOKEN_TYPES))

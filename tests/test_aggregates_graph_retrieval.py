@@ -152,19 +152,19 @@ def test_straight_return_and_last_statement(spark):
     assert G.enumerate_paths(*flow(spark, [IN, OUT], [("in", "out", "next", 0)])).count() == 0
 
 
-@pytest.mark.parametrize("hops", [1, 4])
-def test_loop_is_entered_twice_then_left(spark, hops):
+@pytest.mark.parametrize("hops,contract", [(1, 0), (4, 0), (1, 5), (4, 1)])
+def test_loop_is_entered_twice_then_left(spark, hops, contract):
     nodes = [IN, OUT, ("l", "LOOP", "while", None), ("c", "CONDITION", None, "i < n"), ("b", "BLOCK", None, None), stmt("s", "i += 1"), ("x", "EXIT_MERGED", None, None), ("k", "BREAK", "break", None)]
     edges = [
         ("in", "l", "next", 0), ("l", "c", "next", 0), ("l", "x", "false", 1), ("c", "b", "true", 0), ("b", "s", "next", 0), ("s", "l", "next", 0),
         ("c", "k", "false", 1), ("k", "x", "next", 0), ("x", "out", "next", 0),
     ]
-    got = [(r.conds, r.code) for r in G.enumerate_paths(*flow(spark, nodes, edges), hops=hops).orderBy("path_id").collect()]
+    got = [(r.conds, r.code) for r in G.enumerate_paths(*flow(spark, nodes, edges), hops=hops, contract=contract).orderBy("path_id").collect()]
     assert got == [
         (["i < n", "i < n"], ["i += 1", "i += 1"]), (["i < n", "!(i < n)"], ["i += 1"]), (["!(i < n)"], []),
     ]
     with pytest.raises(ValueError):
-        G.enumerate_paths(*flow(spark, nodes, edges), max_len=4)
+        G.enumerate_paths(*flow(spark, nodes, edges), max_len=2, hops=1)
 
 
 def test_try_catch_paths(spark):
