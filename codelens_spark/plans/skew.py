@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SALTS = 32
+COPIES = 8
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
@@ -25,13 +26,13 @@ def salt_of(df: DataFrame, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
 
 
-def attach(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "left", salts: int = SALTS) -> DataFrame:
+def attach(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "left", salts: int = COPIES) -> DataFrame:
     """Join a table with one row per key onto many rows per key.
 
     Coarse keys (a file, a function): the many-row side is spread over `salts` sub-keys and the one-row
-    side copied once per sub-key, so a hot key is read by many tasks. Fine keys, whose per-key table is
-    nearly as long as the rows, should pass salts=1: copying would cost more than it saves, and the
-    adaptive skew join splits the rare hot one. Small per-key tables become a broadcast join at run time.
+    side copied once per sub-key, so a hot key is read by several tasks, which the adaptive skew join
+    splits further. Fine keys, whose per-key table is nearly as long as the rows, should pass salts=1:
+    copying would cost more than it saves. Small per-key tables become a broadcast join at run time.
     """
     keys = list(keys)
     if salts == 1:

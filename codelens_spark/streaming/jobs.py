@@ -1,7 +1,7 @@
 """Streaming versions of the live logs: action counts, category state, task progress.
 
-Every job writes each micro-batch under its own epoch folder and reads state only from earlier epochs, so
-a replayed batch overwrites its own output and nothing else.
+Every job writes each micro-batch under its own epoch folder and reads state only from earlier epochs
+(their numbers are consecutive), so a replayed batch overwrites its own output and nothing else.
 """
 
 from __future__ import annotations
@@ -12,19 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.windows import running_distinct
+from ..plans.scan import Run, running
 from ..plans.skew import first_per_key
 
 
-def _epochs_before(spark: SparkSession, path: str, schema, epoch: int) -> DataFrame | None:
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    return spark.read.schema(schema).option("basePath", path).parquet(path).filter(F.col("epoch") < epoch)
-
-
 def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], out: str, available_now: bool) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(work).option("checkpointLocation", f"{out}/_progress")
     return writer.trigger(availableNow=True).start() if available_now else writer.start()
@@ -51,11 +42,12 @@ def stream_category_state(events: DataFrame, out: str, available_now: bool = Tru
     def work(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         batch = batch.select("ord", "big", "small")
-        cat_schema, total_schema = "big string, small string, n bigint, epoch bigint", "n bigint"
-        known = _epochs_before(spark, cats, cat_schema, epoch)
-        if known is None:
-            known = spark.createDataFrame([], cat_schema)
-        pairs = known.groupBy("big", "small").agg(F.sum("n").alias("n"))
+        cat_schema = "big string, small string, n bigint"
+        # each epoch holds the whole category table, so only the one before is read
+        if epoch > 0:
+            pairs = spark.read.schema(cat_schema).parquet(f"{cats}/epoch={epoch - 1}")
+        else:
+            pairs = spark.createDataFrame([], cat_schema)
         totals = {
             "n0": pairs.agg(F.coalesce(F.sum("n"), F.lit(0))),
             "b0": pairs.agg(F.count_distinct("big")),
@@ -77,15 +69,15 @@ def stream_category_state(events: DataFrame, out: str, available_now: bool = Tru
             (F.col("b0") + F.col("b")).alias("bigs"),
             (F.col("s0") + F.col("s")).alias("smalls"),
         ).write.mode("overwrite").parquet(f"{log}/epoch={epoch}")
-        batch.groupBy("big", "small").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{cats}/epoch={epoch}")
+        counted = batch.groupBy("big", "small").agg(F.count("*").alias("n"))
+        merged = pairs.unionByName(counted).groupBy("big", "small").agg(F.sum("n").alias("n"))
+        merged.write.mode("overwrite").parquet(f"{cats}/epoch={epoch}")
 
     return _start(events, work, out, available_now)
 
 
 def running_distinct_from(fresh: DataFrame) -> DataFrame:
     """Running counts i (events), b and s (newly seen categories) over a batch in `ord` order."""
-    from ..plans.scan import Run, running
-
     def firsts(col: str, flag: str) -> DataFrame:
         return fresh.filter(F.col(col).isNotNull()).groupBy(col).agg(F.min("ord").alias("ord")).select("ord", F.lit(1).alias(flag))
 
@@ -99,8 +91,9 @@ def stream_progress(done: DataFrame, out: str, available_now: bool = True) -> St
 
     def work(batch: DataFrame, epoch: int) -> None:
         first = first_per_key(batch.select("task", "ord", "ok"), ["task"], ["ord"])
-        before = _epochs_before(batch.sparkSession, state, "task bigint, ord bigint, ok boolean, epoch bigint", epoch)
-        if before is not None:
+        if epoch > 0:
+            schema = "task bigint, ord bigint, ok boolean, epoch bigint"
+            before = batch.sparkSession.read.schema(schema).option("basePath", state).parquet(state).filter(F.col("epoch") < epoch)
             first = first.join(before.select("task"), "task", "left_anti")
         first.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
 
@@ -116,10 +109,3 @@ def action_log_stream(spark: SparkSession, path: str) -> DataFrame:
     from ..sources.schemas import ACTION
 
     return spark.readStream.schema(ACTION).json(path)
-
-
-def batch_category_state(events: DataFrame) -> DataFrame:
-    """The same running state for a finished log."""
-    return running_distinct(events)
-
-

@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from codelens_spark.operators import aggregates as A
 from codelens_spark.sources import corpus, logs, writers
