@@ -34,16 +34,33 @@ def _by_start(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys, "s").agg(F.max("e").alias("e"), F.count("*").alias("n"))
 
 
-def merge_intervals(df: DataFrame, keys: Sequence[str], gap: int = 1) -> DataFrame:
-    """Merge ranges of a key that overlap or lie at most `gap` apart; gap=0 joins only touching ranges.
+def _islands(df: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """(keys, s, e, n, start): every distinct start with the start of the merged range it belongs to.
 
     Ranges are first reduced to one per start, so a block of the scan is bounded by its width.
     """
-    keys = list(keys)
     seen = running(_by_start(df, keys), keys, "s", [Run("prev_e", "max", F.col("e"), inclusive=False)])
     opens = F.when(F.col("prev_e").isNull() | (F.col("s") > F.col("prev_e") + gap), F.col("s"))
-    islands = running(seen, keys, "s", [Run("start", "max", opens)])
-    return islands.groupBy(*keys, "start").agg(F.max("e").alias("end"), F.sum("n").alias("ranges"))
+    return running(seen, keys, "s", [Run("start", "max", opens)])
+
+
+def merge_intervals(df: DataFrame, keys: Sequence[str], gap: int = 1) -> DataFrame:
+    """Merge ranges of a key that overlap or lie at most `gap` apart; gap=0 joins only touching ranges."""
+    keys = list(keys)
+    return _islands(df, keys, gap).groupBy(*keys, "start").agg(F.max("e").alias("end"), F.sum("n").alias("ranges"))
+
+
+def merge_contexts(df: DataFrame, key: str = "uri", gap: int = 1) -> DataFrame:
+    """Context sections of a file without repeated names, each with the merged range it lies in.
+
+    df(uri, name, s, e, ord, ...): of a name the range that starts first (then the longer) stays; the rows
+    come back with (start, end) of their merged range, so the texts of a range are its rows by s.
+    """
+    kept = first_per_key(df, [key, "name"], [F.col("s"), -F.col("e"), F.col("ord")])
+    islands = _islands(kept, [key], gap)
+    ends = islands.groupBy(key, "start").agg(F.max("e").alias("end"))
+    rows = attach(kept, islands.select(key, "s", "start"), [key, "s"], salts=1)
+    return attach(rows, ends, [key, "start"], salts=1).select(*df.columns, "start", "end")
 
 
 def drop_contained(df: DataFrame, keys: Sequence[str]) -> DataFrame:

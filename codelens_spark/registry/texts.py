@@ -271,6 +271,7 @@ def _(spark, sf):
 def _(spark, sf):
     from ..plans.skew import limit_per_key
 
+    # the texts joined are the k = 3 best hits of a query, here the first three turns
     few = limit_per_key(V.table(spark, sf, "conversations").select("conv_id", "turn", "text"), ["conv_id"], [F.col("turn")], 3)
     texts = few.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"]).alias("a"))
     return texts.select("conv_id", F.md5(X.join_contexts(F.col("a"))).alias("context"))

@@ -39,9 +39,20 @@ def _(spark, sf):
     return W.merge_intervals(V.v_ival(spark, sf), ["uri"])
 
 
-@query("w3_merge_overlapping", "v_ival", _merge_sql(0).replace("v_ival)", "(select * from v_ival where e - s <= 3))"))
+@query("w3_merge_overlapping", "v_ival", _merge_sql(0))
 def _(spark, sf):
-    return W.merge_intervals(V.v_ival(spark, sf).filter("e - s <= 3"), ["uri"], gap=0)
+    return W.merge_intervals(V.v_ival(spark, sf), ["uri"], gap=0)
+
+
+@query(
+    "w3_merge_contexts", "v_ival",
+    """with d as (select *, row_number() over (partition by uri, name order by s, e desc, ord) rn from v_ival), k as (select * from d where rn = 1),
+    p as (select *, max(e) over (partition by uri order by s, ord rows between unbounded preceding and 1 preceding) pe from k),
+    i as (select *, sum(case when pe is null or s > pe + 1 then 1 else 0 end) over (partition by uri order by s, ord rows unbounded preceding) g from p)
+    select uri, name, s, e, ord, min(s) over (partition by uri, g) start, max(e) over (partition by uri, g) as "end" from i""",
+)
+def _(spark, sf):
+    return W.merge_contexts(V.v_ival(spark, sf))
 
 
 CONTAINED = """with l as (select *, row_number() over (partition by uri, s order by e desc, ord) rn from v_ival), d as (select uri, name, s, e, ord from l where rn = 1),

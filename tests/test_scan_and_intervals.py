@@ -58,6 +58,14 @@ def test_merge_intervals_golden(spark, rows):
     assert rows(W.merge_intervals(df, ["k"], gap=0), "start", "end") == [(1, 8), (12, 14), (9, 9)]
 
 
+def test_merge_contexts(spark, rows):
+    data = [("f", 1, 5, 0), ("f", 1, 9, 1), ("f", 10, 12, 2), ("f", 20, 21, 3), ("f", 30, 31, 4)]
+    df = ivals(spark, data).withColumn("name", F.element_at(F.array(*[F.lit(n) for n in "aabca"]), F.col("ord").cast("int") + 1))
+    got = rows(W.merge_contexts(df), "name", "s", "e", "start", "end")
+    # a is kept once, as its longest first range; b touches it and merges
+    assert got == [("a", 1, 9, 1, 12), ("b", 10, 12, 1, 12), ("c", 20, 21, 20, 21)]
+
+
 def test_merged_intervals_are_disjoint(spark):
     merged = W.merge_intervals(ivals(spark, skewed(300, 1)), ["uri"]).collect()
     by_key = {}
