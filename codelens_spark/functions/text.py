@@ -335,15 +335,42 @@ def package_lines(col: Column, lang: str) -> Column:
     return F.regexp_extract_all(col, F.lit(patterns[lang]), F.lit(0))
 
 
+PYTHON_IMPORT = (  # single-line imports and parenthesised ones over several lines
+    r"(?m)^(?:from\s+[\w.]+\s+import\s+(?:\([^)]*\)?|[\w,. \t]+)|import\s+[\w.]+(?:\s*,\s*[\w.]+)*)(?=[ \t]*(?:$|#))"
+)
+LINE_PATTERNS = {  # fixed values: what a package or import line looks like in a trimmed source line
+    ("python", "import"): r"^(?:import\s+\w+|from\s+[\w.]+\s+import\s+[\w\s,]+)",
+    ("java", "package"): r"^package\s+[\w.]+;",
+    ("java", "import"): r"^import\s+[\w.]+;",
+    ("go", "package"): r"^package\s+\w+",
+    ("go", "import"): r'^import\s+"[\w./]+"',
+}
+
+
+def _python_imports(col: Column) -> Column:
+    """Import statements, lines trimmed and without trailing commas; an open parenthesis is closed."""
+
+    def tidy(stmt: Column) -> Column:
+        text = strip(F.array_join(F.transform(F.split(stmt, "\n"), lambda l: F.regexp_replace(strip(l), r",\s*$", "")), "\n"))
+        return F.when(text.contains("(") & ~text.contains(")"), F.concat(text, F.lit(")"))).otherwise(text)
+
+    found = F.transform(F.regexp_extract_all(col, F.lit(PYTHON_IMPORT), F.lit(0)), tidy)
+    return F.filter(found, lambda s: ~s.rlike(r"^import\s+(?:and|in|or|is|not|as)\b"))
+
+
 def import_lines(col: Column, lang: str) -> Column:
-    patterns = {
-        "go": r"import\s+.*\n",
-        "java": r"import\s+.*;",
-        "python": r"(?m)^\s*(?:import\s+[\w.]+.*|from\s+[\w.]+\s+import\s+.*)$",
-    }
+    if lang == "python":
+        return _python_imports(col)
+    patterns = {"go": r"import\s+.*\n", "java": r"import\s+.*;"}
     return F.transform(F.regexp_extract_all(col, F.lit(patterns[lang]), F.lit(0)), strip)
 
 
+def source_line_kind(line: Column, lang: str) -> Column:
+    """'package' or 'import' for such a line of source, else null. Go's grouped imports: `windows.block_lines`."""
+    kinds = [F.when(strip(line).rlike(p), kind) for (of, kind), p in LINE_PATTERNS.items() if of == lang]
+    return F.coalesce(*kinds, F.lit(None).cast("string"))
+
+
 def import_statement(col: Column, lang: str) -> Column:
     """Package line (where the language has one) followed by the import lines."""
     first = F.slice(package_lines(col, lang), 1, 1)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import base_name, file_stem, normalized_name
+from ..functions.text import base_name, file_stem, normalized_name, strip
 from ..plans.intervals import prefix_max_at, stab_all, stab_best
 from ..plans.skew import attach, first_per_key
 
@@ -230,7 +230,7 @@ def finished_outputs(outputs: DataFrame) -> DataFrame:
 def annotate_lines(lines: DataFrame, ranges: DataFrame, comment: Column | None = None) -> DataFrame:
     """Lines (doc, n, text) with the diagnostics (doc, s, e, message, ord) written into them.
 
-    The first line of a range carries the range's text and the message, the others are emptied. Where
+    The first line of a range carries the range's trimmed lines and the message, the others are emptied. Where
     ranges meet, the group seen last wins, inside a group the range that starts first.
     """
     groups = ranges.groupBy("message").agg(F.min("ord").alias("__g"))
@@ -242,13 +242,13 @@ def annotate_lines(lines: DataFrame, ranges: DataFrame, comment: Column | None =
         .withColumn("n", F.explode(F.sequence("s", "e")))
         .join(lines.select("doc", "n", "text"), ["doc", "n"])
         .groupBy("doc", "s", "e")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda r: r["text"]), "\n").alias("__body"))
+        .agg(strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda r: strip(r["text"])), "\n")).alias("__body"))
     )
     note = comment if comment is not None else F.concat(F.lit('# Error Group: "'), F.col("message"), F.lit('"'))
     out = lines.join(owner, ["doc", "n"], "left").join(body, ["doc", "s", "e"], "left")
     shown = (
         F.when(F.col("message").isNull(), F.col("text"))
-        .when(F.col("n") == F.col("s"), F.concat(F.coalesce("__body", "text"), F.lit(" "), note))
+        .when(F.col("n") == F.col("s"), F.concat(F.coalesce(F.col("__body"), strip(F.col("text"))), F.lit(" "), note))
         .otherwise("")
     )
     return out.withColumn("text", shown).select(*lines.columns, "message")

@@ -153,6 +153,10 @@ def cfg_term_flags(kind: Column, in_condition: Column, in_signature: Column, ret
     return in_condition & helpful, in_signature
 
 
+def needs_full_definition(kind: Column) -> Column:
+    return kind.isin("method", "function")
+
+
 def check_code(df: DataFrame, col: str, lang: str) -> DataFrame:
     """Add `valid` and `warnings` from the structure rules of the row's language."""
     code, language = F.col(col), F.lower(F.col(lang))

@@ -238,7 +238,7 @@ RANGES = """select doc_id doc, cast(doc_id % 4 as int) s, cast(doc_id % 4 + qual
     f"""with r as ({RANGES}), g as (select message, min(ord) g from r group by message),
     o as (select l.doc_id, l.n, r.s, r.e, r.message, row_number() over (partition by l.doc_id, l.n order by g.g desc, r.s, r.ord) rn
       from v_line l join r on r.doc = l.doc_id and l.n between r.s and r.e join g using (message)),
-    b as (select o.doc_id, o.n, string_agg(l.text, chr(10) order by l.n) body from o join v_line l on l.doc_id = o.doc_id and l.n between o.s and o.e
+    b as (select o.doc_id, o.n, trim(string_agg(trim(l.text, ' ' || chr(9) || chr(13)), chr(10) order by l.n), ' ' || chr(9) || chr(10) || chr(13)) body from o join v_line l on l.doc_id = o.doc_id and l.n between o.s and o.e
       where o.rn = 1 and o.n = o.s group by o.doc_id, o.n)
     select l.doc_id doc, l.n, case when o.message is null then l.text when o.n = o.s then b.body || ' # Error Group: "' || o.message || '"' else '' end as text, o.message
     from v_line l left join o on o.doc_id = l.doc_id and o.n = l.n and o.rn = 1 left join b on b.doc_id = l.doc_id and b.n = l.n""",

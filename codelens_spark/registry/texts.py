@@ -239,16 +239,16 @@ _templates(
 )
 _templates(
     "x18_imports",
-    ['package main\nimport "fmt{n}"\nx', "package a.b;\nimport c.D{n};\nimport e.F;", "import os{n}\nfrom a.b import c\nx = 1"],
+    ['package main\nimport "fmt{n}"\nx', "package a.b;\nimport c.D{n};\nimport e.F;", "import os{n}\nfrom a.b import c\nx = 1", "from p import (\n  a,\n  b{n},\n)\nimport as\nimport inspect # why"],
     {
-        "go": ['package main\nimport "fmt{n}"', "package a.b;\nimport c.D{n};", "import os{n}\nimport c"],
-        "java": ["", "package a.b;\nimport c.D{n};\nimport e.F;", ""],
-        "python": ["", "", "import os{n}\nfrom a.b import c"],
+        "go": ['package main\nimport "fmt{n}"', "package a.b;\nimport c.D{n};", "import os{n}\nimport c", ""],
+        "java": ["", "package a.b;\nimport c.D{n};\nimport e.F;", "", ""],
+        "python": ["", "", "import os{n}\nfrom a.b import c", "from p import (\na\nb{n}\n)\nimport inspect"],
     },
     lambda t: {
-        "go": F.when(t.contains("a.b;"), F.replace(X.import_statement(t, "go"), F.lit("\nimport e.F;"), F.lit(""))).otherwise(X.import_statement(t, "go")),
+        "go": F.when(t.startswith("from p"), "").when(t.contains("a.b;"), F.replace(X.import_statement(t, "go"), F.lit("\nimport e.F;"), F.lit(""))).otherwise(X.import_statement(t, "go")),
         "java": X.import_statement(t, "java"),
-        "python": F.when(t.startswith("import os"), X.import_statement(t, "python")).otherwise(""),
+        "python": F.when(t.startswith("import os") | t.startswith("from p"), X.import_statement(t, "python")).otherwise(""),
     },
 )
 _templates(

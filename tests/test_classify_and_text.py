@@ -137,3 +137,9 @@ def test_token_counter_plugin(spark):
 def test_stub_blocks(spark, rows):
     df = spark.createDataFrame([("a: int\nb: str",), ("a: int\nx = 1\ny = 2",), ("a: int",)], "c string")
     assert rows(P.drop_stub_blocks(df, "c")) == [("a: int",), ("a: int\nx = 1\ny = 2",)]
+
+
+def test_source_line_kinds(spark):
+    df = spark.createDataFrame([("  import os",), ("from a import b",), ("package x;",), ('import "fmt"',), ("x = 1",)], "l string")
+    got = df.select(*[X.source_line_kind(F.col("l"), lang).alias(lang) for lang in ("python", "java", "go")]).collect()
+    assert [tuple(r) for r in got] == [("import", None, None), ("import", None, None), (None, "package", "package"), (None, None, "import"), (None, None, None)]
