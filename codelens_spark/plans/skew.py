@@ -53,6 +53,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     """First row of each key. A mergeable aggregate: each task ships at most one row per key."""
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
     rank = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)])
     best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("__best"))
     return best.select(*[F.col(c) if c in keys else F.col("__best." + c).alias(c) for c in df.columns])

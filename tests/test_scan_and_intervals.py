@@ -183,5 +183,6 @@ def test_attach_is_a_plain_join(spark, rows, salts):
 def test_first_and_limit_per_key(spark, rows):
     df = spark.createDataFrame([("a", i, -i) for i in range(100)] + [("b", 7, 0)], "k string, o int, v int")
     assert rows(first_per_key(df, ["k"], ["o"])) == [("a", 0, 0), ("b", 7, 0)]
+    assert rows(first_per_key(df.select("k"), ["k"], ["k"])) == [("a",), ("b",)]
     top = limit_per_key(df, ["k"], [F.col("v")], 3)
     assert rows(top, "k", "o", "rn") == [("a", 97, 3), ("a", 98, 2), ("a", 99, 1), ("b", 7, 1)]
