@@ -32,3 +32,41 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import ngram_jaccard_join
 
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def _mix_sql() -> str:
+    from .mixing import MIX_SQL
+
+    return MIX_SQL
+
+
+@query("op4_mix_sources", _mix_sql())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix of all sources takes of each document."""
+    from .mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents")).drop("source")
+
+
+@query("op10_byte_bpe")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of all documents, encoded and decoded."""
+    from .bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op7_shard_bytes")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of nearly equal bytes."""
+    from .sharding import shard_by_bytes
+
+    return shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of all documents."""
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
