@@ -112,10 +112,10 @@ level as (select max((total - coalesce(cut, 0)) / others) as unit, arg_max(total
     where lim * others >= weight * (total - coalesce(cut, 0))),
 targets as (select source, source_size, weight, case when lim / weight <= rest / w then lim::double else weight * rest / w end as target from per_source left join level on true),
 placed as (select doc_id, size, source_size, target, floor(target)::bigint as budget,
-    coalesce(sum(size) over (partition by r.source order by key, size rows between unbounded preceding and 1 preceding), 0)::bigint as at
+    coalesce(sum(size) over (partition by r.source order by key, size rows between unbounded preceding and 1 preceding), 0)::bigint as pos
     from rows r join targets t on r.source is not distinct from t.source)
 """
 MIX_SQL = f"""with {TARGET_SQL}
 select doc_id, size, source_size, target, (case when source_size > 0 then budget // source_size else 0 end) * size
-    + least(size, greatest(budget - (case when source_size > 0 then budget // source_size else 0 end) * source_size - at, 0)) as taken from placed
+    + least(size, greatest(budget - (case when source_size > 0 then budget // source_size else 0 end) * source_size - pos, 0)) as taken from placed
 """

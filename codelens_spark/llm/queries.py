@@ -70,3 +70,27 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
     return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op3_token_files")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to seekable files and read back."""
+    from .tokenfile import token_digests
+
+    return token_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op9_warc")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC captures, read back and assembled."""
+    from .warc import page_captures
+
+    return page_captures(table(spark, sf_dir, "pages"))
+
+
+@query("op2_embedding_neardup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-duplicate components of all embeddings."""
+    from .forest import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.stage import stage
 from .small import staged_small
@@ -24,7 +25,7 @@ ROW_BYTES = 16
 RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 4096, 160, 16_384
 DRAWS = 16  # expected sampled keys per range
 OVERFULL = 4  # times the mean rows of a range
-WHOLE_GROUP = 0.02  # groups up to this share of a shard are never cut
+WHOLE_GROUP = 0.05  # groups up to this share of a shard are never cut
 
 
 def _assign(high: np.ndarray, low: np.ndarray):
@@ -63,7 +64,7 @@ def _ranged(rows: DataFrame, count: int) -> DataFrame:
     """`rows` with the number of their range, staged; overfull ranges are cut again."""
     ranges = int(np.clip(-(-count // RANGE_ROWS), LEAST_RANGES, MOST_RANGES))
     high, low = _splitters(rows, ranges, DRAWS)
-    schema = rows.schema.add("range", "int")
+    schema = T.StructType([*rows.schema.fields, T.StructField("range", T.IntegerType())])
     dealt = stage(rows.mapInArrow(_assign(high, low), schema), "ranges")
     mean = max(1.0, count / (len(high) + 1))
     full = [r["range"] for r in dealt.groupBy("range").count().filter(F.col("count") > OVERFULL * max(mean, 64)).collect()]
