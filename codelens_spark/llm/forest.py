@@ -29,7 +29,6 @@ SPILL = 0.3  # of the distance two vectors at the threshold can have, projected
 SAMPLE = 20_000
 BLOCK = 1024
 SEED = 5
-FIELDS = "leaf int, i int, j int, block int, pos long, vec array<double>, leaves array<int>, copies long"
 
 
 @dataclass
@@ -107,11 +106,6 @@ def _route(forest: list[Tree], margin: float):
     return run
 
 
-def _met_before(a: np.ndarray, b: np.ndarray, leaf: int) -> bool:
-    """Whether two ascending lists of leaves have one below `leaf` in common."""
-    return np.intersect1d(a[: np.searchsorted(a, leaf)], b[: np.searchsorted(b, leaf)], assume_unique=True).size > 0
-
-
 def _leaf_links(pos: np.ndarray, vec: np.ndarray, copies: np.ndarray, leaves: list[np.ndarray], block: np.ndarray, leaf: int, crossed: bool, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links first met in this leaf: how many each vector has (copies counted), and a spanning forest of them."""
     count = np.zeros(len(pos), np.int64)

@@ -94,3 +94,36 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .forest import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings
+    where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, d.vec_id, list_sum(list_transform(list_zip(q.e, d.e), lambda p: p[1] * p[2]))::bigint as score
+    from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
+
+@query("op5_topk_search", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every twentieth embedding among all others."""
+    from .voronoi import topk_inner_product
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk_inner_product(vectors.filter(F.col("vec_id") % 20 == 0), vectors)
+
+
+def _licence_sql() -> str:
+    from .licences import SCAN_SQL
+
+    return SCAN_SQL
+
+
+@query("op6_licence_scan", _licence_sql())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best licence match of all documents."""
+    from .licences import scan_licences
+
+    return scan_licences(table(spark, sf_dir, "documents"))
