@@ -30,13 +30,16 @@ from pyspark.sql import functions as F
 
 from ..plans.stage import stage
 from .components import components
-from .words import mix, shingle_sets
+from .small import staged_small
+from .words import mix, shingle_sets, text_buffers
 
 PERCENT = 80
 BROADCAST_IDS = 500_000  # 4 MB of ids
 FREQUENT, SHARE, LEAST_FREQUENT = 65_536, 1 / 2000, 8
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 BLOCK = 2048
+RUN = 150_000
+SLICE = 4 << 20
 _BLOBS = "part int, kind int, x binary, y binary, z binary, f binary, g binary, h binary"
 _SHARED = "kind int, key long, doc long, rep long, n long, f long, g long, bits binary"
 
@@ -85,9 +88,19 @@ def _keys(sets: list[np.ndarray], frequent: np.ndarray) -> tuple[np.ndarray, np.
     return key[keep], who[row[keep]]
 
 
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with about SLICE bytes of text each."""
+    _, at = text_buffers(batch.column(column))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + SLICE, "right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles that are frequent among the texts of a batch. What is frequent in all texts is so in some batch."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in _slices(whole, 0)):
         sets = list(shingle_sets(batch.column(0)))
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         flat.sort()
@@ -115,15 +128,25 @@ def _cells(sets: list[np.ndarray], n: np.ndarray) -> np.ndarray:
     base = np.concatenate(([0], np.cumsum(width * 8)))
     row = np.repeat(np.arange(len(n)), n)
     s = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    odd = np.bincount(base[row] + (s & (width[row] * 8 - 1).astype(np.uint64)).astype(np.int64), minlength=base[-1]) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little")
+    odd = np.bincount(base[row] + (s & (width[row] * 8 - 1).astype(np.uint64)).astype(np.int64), minlength=base[-1])
+    return np.packbits((odd & 1).astype(bool), bitorder="little")
+
+
+def _runs(n: np.ndarray) -> Iterator[slice]:
+    """Slices of consecutive sets with about RUN shingles each, to bound the working memory."""
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RUN, "right")))
+        yield slice(at, to)
+        at = to
 
 
 def _sketch(parts: int, frequent: np.ndarray):
     """Batches of texts -> per part the keys and their texts, pre-aggregated, and one row about all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, 1)):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             sets = list(shingle_sets(batch.column(1)))
             n = np.array([len(s) for s in sets], np.int64)
@@ -133,10 +156,11 @@ def _sketch(parts: int, frequent: np.ndarray):
             _, first, same = np.unique(np.stack((n.astype(np.uint64), f, g)), axis=1, return_index=True, return_inverse=True)
             rep = ids[first][same.reshape(-1)] if len(ids) else ids
             lead = np.array([i for i in first if n[i]], np.int64)
-            rows = [(0, 0, ids, rep, n, f, g, _cells(sets, n))]
+            rows = [(0, 0, ids, rep, n, f, g, np.concatenate([np.zeros(0, np.uint8), *(_cells(sets[r], n[r]) for r in _runs(n))]))]
             if len(lead):
-                key, who = _keys([sets[i] for i in lead], frequent)
-                doc = ids[lead][who]
+                made = [(k, ids[lead[r]][who]) for r in _runs(n[lead]) for k, who in [_keys([sets[i] for i in lead[r]], frequent)]]
+                key, doc = (np.concatenate(x) for x in zip(*made))
+                key = key >> np.uint64(16)  # 48 bits travel; a chance meeting more is refuted later
                 order = np.lexsort((doc, key))
                 key, doc = key[order], doc[order]
                 start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -151,7 +175,7 @@ def _sketch(parts: int, frequent: np.ndarray):
                 order = np.argsort(part, kind="stable")
                 k, d, part = k[order], d[order], part[order]
                 edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
-                rows += [(int(part[a]), 1, k[a:b], d[a:b], None, None, None, None) for a, b in zip(edge[:-1], edge[1:])]
+                rows += [(int(part[a]), 1, *_packed(k[a:b], d[a:b]), None, None) for a, b in zip(edge[:-1], edge[1:])]
             rows = [(int(ids[0] % parts) if r[1] != 1 else r[0], *r[1:]) for r in rows] if len(ids) else []
             columns = list(zip(*rows)) if rows else [()] * 8
             as_bytes = [pa.array([None if v is None else v.tobytes() for v in c], pa.binary()) for c in columns[2:]]
@@ -160,6 +184,20 @@ def _sketch(parts: int, frequent: np.ndarray):
     return run
 
 
+def _packed(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Keys in 48 bits, and ids as distances from the least, in 32 bits if they fit."""
+    base = doc.min()
+    off = (doc - base).view(np.uint64)
+    wide = off.astype(np.uint32) if off.max() < 1 << 32 else off
+    return key.astype(np.uint32), (key >> np.uint64(32)).astype(np.uint16), wide, np.array([base], np.int64)
+
+
+def _unpacked(low: bytes, high: bytes, off: bytes, base: bytes) -> tuple[np.ndarray, np.ndarray]:
+    key = np.frombuffer(low, np.uint32).astype(np.uint64) | np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32)
+    kind = np.uint32 if len(off) == len(low) else np.uint64
+    return key, (np.frombuffer(off, kind).astype(np.uint64) + np.frombuffer(base, np.int64).view(np.uint64)).view(np.int64)
+
+
 def _table(kind: int, rows: int, bits: pa.Array | None = None, **columns) -> pa.RecordBatch:
     names = ["key", "doc", "rep", "n", "f", "g"]
     arrays = [pa.array(columns[c].view(np.int64)) if c in columns else pa.nulls(rows, pa.int64()) for c in names]
@@ -197,8 +235,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield from flush()
                     keys, docs = [], []
                 now = part
-                keys.append(np.frombuffer(x, np.uint64))
-                docs.append(np.frombuffer(y, np.int64))
+                key, doc = _unpacked(x, y, z, f)
+                keys.append(key)
+                docs.append(doc)
     if keys:
         yield from flush()
 
@@ -288,8 +327,9 @@ def _apart(members: DataFrame, joined: DataFrame, facts: DataFrame, forest: bool
     split = split.filter("lo < hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     rows = placed.join(split, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "doc", "component")
-    rows = rows.join(facts.select("doc", "n", "bits").dropDuplicates(["doc", "n"]), "doc")
+    rows = stage(rows.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "doc", "component"), "apart")
+    ids = staged_small(rows.select("doc").distinct(), "ids", BROADCAST_IDS)
+    rows = rows.join(facts.join(ids, "doc", "left_semi"), "doc")
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.select("key", "i", "j", "block", "doc", "component", "n", "bits").mapInArrow(_compare(forest), "a long, b long").distinct()
 
@@ -306,9 +346,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the distinct `pairs` (a, b) whose exact shingle sets are similar enough, with the overlap."""
-    ids = stage(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = staged_small(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "ids", BROADCAST_IDS)
     sets = stage(texts.join(ids, "doc", "left_semi").mapInArrow(_sets, "doc long, set array<long>"), "sets")
     first, second = sets.toDF("a", "sa"), sets.toDF("b", "sb")
     overlap = pairs.join(first, "a").join(second, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))

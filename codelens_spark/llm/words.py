@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SHINGLE = 5
-PIECE = 1 << 21
+PIECE = 1 << 19
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
