@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.classify import action_label, classify_ordered, map_stage
-from ..functions.text import estimated_tokens, report_totals
-from ..plans.scan import Run, running
+from ..functions.text import estimated_tokens, report_totals, strip
+from ..plans.scan import Run, ranked_rows, running
 from ..plans.skew import attach, first_per_key
 
 
@@ -106,7 +106,7 @@ def message_freq(diag: DataFrame) -> DataFrame:
 
 def classify_freq(freq: DataFrame, preset: str = "seven") -> DataFrame:
     """Category of each distinct non-blank message with its frequency."""
-    return classify_ordered(freq.filter(F.trim("message") != ""), "message", preset)
+    return classify_ordered(freq.filter(strip(F.col("message")) != ""), "message", preset)
 
 
 def category_totals(freq: DataFrame, preset: str = "seven") -> DataFrame:
@@ -161,7 +161,7 @@ def group_messages(diag: DataFrame) -> DataFrame:
 def final_status(events: DataFrame) -> DataFrame:
     """events(test, ord, action, output): the last pass / fail / skip of each test, else its first action."""
     terminal = F.col("action").isin("pass", "fail", "skip")
-    said = F.trim(F.coalesce("output", F.lit(""))) != ""
+    said = strip(F.coalesce("output", F.lit(""))) != ""
     return events.groupBy("test").agg(
         F.coalesce(
             F.max_by(F.when(terminal, F.col("action")), F.when(terminal, F.col("ord"))), F.min_by("action", "ord")
@@ -173,7 +173,7 @@ def final_status(events: DataFrame) -> DataFrame:
 def failure_details(events: DataFrame) -> DataFrame:
     """Trimmed output lines of failed tests as (test, ord, line) rows."""
     failed = final_status(events).filter("action = 'fail'").select("test")
-    said = events.withColumn("line", F.trim("output")).filter("line <> ''")
+    said = events.withColumn("line", strip(F.col("output"))).filter("line <> ''")
     return said.join(failed, "test", "left_semi").select("test", "ord", "line")
 
 
@@ -388,8 +388,11 @@ def category_rollup(ev: DataFrame) -> DataFrame:
 
 
 def tests_by_category(ev: DataFrame) -> DataFrame:
-    """Tests of each small category, as rows ordered for the report."""
-    return ev.select("big", "small", "test").orderBy("big", "small", "test")
+    """Tests of each small category with their place in the report, as rows: a category may hold any number of tests.
+
+    The report is range-sorted; places come from the sorted ranges' sizes, not from one window over all rows."""
+    rows = ev.select("big", "small", "test")
+    return ranked_rows(rows, ["big", "small", "test"], "place")
 
 
 def prefix_freq(ev: DataFrame, col: str = "summary", n: int = 50) -> DataFrame:

@@ -14,8 +14,15 @@ from pyspark.sql import functions as F
 from ..functions.text import base_name, file_stem, normalized_name, strip
 from ..plans.intervals import prefix_max_at, stab_all, stab_best
 from ..plans.skew import attach, first_per_key
+from ..plans.stage import stage
 
 RUN_PIECE = 64
+#: What words look like, and the runs of a text that such words can occur in.
+WORD_KINDS = (
+    (r"^[\p{L}\p{M}\p{N}\p{Pc}]+$", r"[\p{L}\p{M}\p{N}\p{Pc}]+"),
+    (r"^(?=[\s\S]*[^\p{L}\p{M}\p{N}\p{Pc}])\S+$", r"\S+"),
+    (r"\s", r"[\s\S]+"),
+)
 
 
 def match_tasks(symbols: DataFrame, tasks: DataFrame, name: str = "symbol_name", path: str = "path") -> DataFrame:
@@ -134,23 +141,38 @@ def exclude_overlap(refs: DataFrame, focal: DataFrame, key: str = "uri") -> Data
 
 
 def contains_join(words: DataFrame, texts: DataFrame, keyed: bool = False) -> DataFrame:
-    """Distinct (key?, word, text_id) where the text contains the identifier `word` as a substring.
+    """Distinct (key?, word, text_id) where the text contains `word` as a substring.
 
-    An identifier can only occur inside one run of word characters, so matching is done on the vocabulary
-    of distinct runs: every run is cut into its substrings of the lengths that words have, and these meet
-    the words in an equi-join. Texts then join the matched runs. Words are identifiers; others match nothing.
+    A word of letters, marks, digits and connectors can only occur inside one run of these, and a word without
+    white space inside one run of other characters, so matching is done on the vocabulary of distinct runs:
+    every run is cut into its substrings of the lengths that words have, and these meet the words in an
+    equi-join. Texts then join the matched runs. Words with white space are sought in whole texts the same
+    way. Empty and null words match nothing.
     """
+    found = None
+    for words_like, run in WORD_KINDS:
+        own = words.filter(F.col("word").rlike(words_like))
+        if own.isEmpty():
+            continue
+        hits = _contained(own, texts, run, keyed)
+        found = hits if found is None else found.unionByName(hits)
+    return found if found is not None else _contained(words.limit(0), texts, WORD_KINDS[0][1], keyed)
+
+
+def _contained(words: DataFrame, texts: DataFrame, run: str, keyed: bool) -> DataFrame:
     key = ["key"] if keyed else []
-    vocab_words = words.select("word").distinct().filter(F.col("word").rlike(r"^\w+$"))
+    vocab_words = words.select("word").distinct()
     runs = texts.select(
-        *key, "text_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0)))).alias("run")
+        *key, "text_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(run), F.lit(0)))).alias("text")
     )
+    # runs go by their digest, since a run may be a whole text and each of its pieces names it
+    runs = runs.withColumn("run", F.md5(F.col("text").cast("binary")))
     sizes = vocab_words.agg(F.array_sort(F.collect_set(F.length("word"))).alias("sizes"))
-    vocab = runs.select("run").distinct().withColumn("sizes", sizes.scalar()).filter(F.size("sizes") > 0)
     # long runs are cut into overlapping pieces, so that no row expands without bound
     reach = F.element_at("sizes", -1) - 1
-    starts = F.sequence(F.lit(1), F.length("run"), F.lit(RUN_PIECE))
-    vocab = vocab.select("run", "sizes", F.explode(F.transform(starts, lambda p: F.col("run").substr(p, reach + RUN_PIECE))).alias("piece"))
+    starts = F.sequence(F.lit(1), F.length("text"), F.lit(RUN_PIECE))
+    vocab = runs.groupBy("run").agg(F.first("text").alias("text")).withColumn("sizes", sizes.scalar()).filter(F.size("sizes") > 0)
+    vocab = vocab.select("run", "sizes", F.explode(F.transform(starts, lambda p: F.col("text").substr(p, reach + RUN_PIECE))).alias("piece"))
     subs = F.flatten(
         F.transform(
             F.filter("sizes", lambda n: n <= F.length("piece")),
@@ -158,11 +180,12 @@ def contains_join(words: DataFrame, texts: DataFrame, keyed: bool = False) -> Da
         )
     )
     match = vocab.select("run", F.explode(F.array_distinct(subs)).alias("word")).join(vocab_words, "word").distinct()
+    where = runs.select(*key, "text_id", "run")
     if keyed:
         local = words.select("key", "word").distinct()
-        hits = runs.join(match, "run").join(local, ["key", "word"])
+        hits = where.join(match, "run").join(local, ["key", "word"])
     else:
-        hits = runs.join(match, "run")
+        hits = where.join(match, "run")
     return hits.select(*key, "word", "text_id").distinct()
 
 
@@ -236,9 +259,10 @@ def annotate_lines(lines: DataFrame, ranges: DataFrame, comment: Column | None =
     groups = ranges.groupBy("message").agg(F.min("ord").alias("__g"))
     ranked = attach(ranges, groups, ["message"])
     rank = [-F.col("__g"), F.col("s"), F.col("ord")]
-    owner = stab_best(lines, ranked, ["doc"], "n", "s", "e", rank, ["s", "e", "message"])
+    owner = stage(stab_best(lines, ranked, ["doc"], "n", "s", "e", rank, ["s", "e", "message"]), "owner")
+    # only a range that owns its first line shows its text there
     body = (
-        ranges.filter("e > s").select("doc", "s", "e").distinct()
+        owner.filter("n = s and e > s").select("doc", "s", "e").distinct()
         .withColumn("n", F.explode(F.sequence("s", "e")))
         .join(lines.select("doc", "n", "text"), ["doc", "n"])
         .groupBy("doc", "s", "e")
@@ -255,15 +279,19 @@ def annotate_lines(lines: DataFrame, ranges: DataFrame, comment: Column | None =
 
 
 def import_origin(df: DataFrame, text: str = "text", module: str = "module", func: str = "function") -> DataFrame:
-    """imported / reimplemented / unknown, with the import line, from per-row patterns."""
-    m, f, t = F.col(module), F.col(func), F.col(text)
-    direct = F.concat(F.lit(r"from\s+"), m, F.lit(r"\s+import\s+.*\b"), f, F.lit(r"\b"))
-    whole = F.concat(F.lit(r"import\s+"), m, F.lit(r"\b"))
+    """imported / reimplemented / unknown, with the import line, from per-row patterns; names are taken literally."""
+    t = F.col(text)
+    m, f = (F.concat(F.lit(r"\Q"), F.replace(F.col(c), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")) for c in (module, func))
+    # a name ends at a word boundary, or anywhere if its last character is none of a word
+    after = lambda c: F.when(F.col(c).rlike(r"\w$"), r"\b").otherwise("")
+    before = F.when(F.col(func).rlike(r"^\w"), r"\b").otherwise("")
+    direct = F.concat(F.lit(r"from\s+"), m, F.lit(r"\s+import\s+.*"), before, f, after(func))
+    whole = F.concat(F.lit(r"import\s+"), m, after(module))
     line = F.coalesce(F.regexp_substr(t, direct), F.regexp_substr(t, whole))
-    defined = F.regexp_like(t, F.concat(F.lit(r"def\s+"), f, F.lit(r"\b")))
+    defined = F.regexp_like(t, F.concat(F.lit(r"def\s+"), f, after(func)))
     origin = F.when(line.isNotNull(), "imported").when(defined, "reimplemented").otherwise("unknown")
     return df.withColumn("origin", origin).withColumn("import_line", line).withColumn(
-        "module_path", F.when(line.isNotNull(), m)
+        "module_path", F.when(line.isNotNull(), F.col(module))
     )
 
 

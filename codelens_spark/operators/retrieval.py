@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,13 +28,21 @@ def _scores(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray
 
 
 def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, metric: str) -> pd.DataFrame:
-    """The k best vectors of each query with every tie at the k-th place, so that ids can break ties later."""
-    scores = _scores(queries, vectors, metric)
-    sign = 1.0 if metric == "l2" else -1.0
+    """The k best vectors of each query, smaller ids first among equals: never more than k rows a query."""
+    # scores are compared at 9 places so that rounding noise cannot reorder equal vectors
+    scores = np.round(_scores(queries, vectors, metric), 9)
+    order = np.argsort(ids, kind="stable")
+    ids, worst_first = ids[order], (scores if metric == "l2" else -scores)[:, order]
     m = min(k, len(ids))
-    cut = np.partition(sign * scores, m - 1, axis=1)[:, m - 1 : m]
-    rows, cols = np.nonzero(sign * scores <= cut + 1e-9)
-    return pd.DataFrame({"query_id": query_ids[rows], "vec_id": ids[cols], "score": scores[rows, cols]})
+    if m < len(ids):
+        edge = np.partition(worst_first, m - 1, axis=1)[:, m - 1 : m]
+        room = m - (worst_first < edge).sum(axis=1, keepdims=True)
+        level = worst_first == edge
+        keep = (worst_first < edge) | (level & (np.cumsum(level, axis=1) <= room))
+    else:
+        keep = np.ones_like(worst_first, bool)
+    rows, cols = np.nonzero(keep)
+    return pd.DataFrame({"query_id": query_ids[rows], "vec_id": ids[cols], "score": scores[:, order][rows, cols]})
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -46,36 +52,17 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str = "l2", block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK) -> DataFrame:
     """Exact k nearest corpus vectors of each query: (query_id, vec_id, score, rn).
 
-    queries(query_id, embedding), corpus(vec_id, embedding); rows without a vector match nothing. Up to
-    `block` queries travel inside the task closure and the corpus is read once, each Arrow batch
-    answering with its own best k. Beyond that both sides are cut into blocks of bounded size, and every
-    pair of blocks is one task group.
+    queries(query_id, embedding), corpus(vec_id, embedding); rows without a vector match nothing. Both sides
+    are cut into blocks of bounded size, and every pair of blocks is one task group that answers with its own
+    best k, whatever the number of queries.
     """
-    queries = queries.filter("embedding is not null")
-    corpus = corpus.filter("embedding is not null")
-    head = queries.limit(block + 1).collect()
+    found = _block_knn(queries.filter("embedding is not null"), corpus.filter("embedding is not null"), k, metric, block, corpus_block)
     order = F.col("score").asc() if metric == "l2" else F.col("score").desc()
-    if not head:
-        found = queries.sparkSession.createDataFrame([], OUT)
-    elif len(head) <= block:
-        qids = np.array([r.query_id for r in head], dtype="int64")
-        qvecs = np.array([list(r.embedding) for r in head], dtype="float64")
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf):
-                    yield _best(qids, qvecs, pdf["vec_id"].to_numpy(), _matrix(pdf["embedding"]), k, metric)
-
-        found = corpus.select("vec_id", "embedding").mapInPandas(scan, OUT)
-    else:
-        found = _block_knn(queries, corpus, k, metric, block, corpus_block)
-    # scores are compared at 9 places so that rounding noise cannot reorder equal vectors
-    near = found.withColumn("score", F.round("score", 9))
-    return limit_per_key(near, ["query_id"], [order, F.col("vec_id").asc()], k)
+    return limit_per_key(found, ["query_id"], [order, F.col("vec_id").asc()], k)
 
 
 def _block_knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str, block: int, corpus_block: int) -> DataFrame:
-    q_blocks = -(-queries.count() // block)
+    q_blocks = max(1, -(-queries.count() // block))
     c_blocks = max(1, -(-corpus.count() // corpus_block))
 
     def side(df: DataFrame, key: str, own: int, other: int, own_name: str, other_name: str) -> DataFrame:

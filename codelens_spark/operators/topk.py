@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.skew import first_per_key, limit_per_key
@@ -29,17 +29,24 @@ def reference_order(path: Column, start: Column, end: Column) -> list[Column]:
     return [is_test_path(path).desc(), (end - start).asc()]
 
 
-def rank_references(df: DataFrame, path: str = "uri", tie: Sequence[str] = ("ord",)) -> DataFrame:
-    return df.orderBy(*reference_order(F.col(path), F.col("s"), F.col("e")), *tie)
+def rank_references(df: DataFrame, keys: Sequence[str] = ("symbol",), path: str = "uri", tie: Sequence[str] = ("ord",)) -> DataFrame:
+    """References of each symbol with their `rank` from 1."""
+    return _ranked(df, keys, [*reference_order(F.col(path), F.col("s"), F.col("e")), *tie])
 
 
 def tree_order(df: DataFrame) -> DataFrame:
-    """Directories first, then by name, inside each parent: df(parent, name, is_dir)."""
-    return df.orderBy("parent", F.col("is_dir").desc(), "name")
+    """Entries of each parent with their `rank` from 1, directories first, then by name: df(parent, name, is_dir)."""
+    return _ranked(df, ["parent"], [F.col("is_dir").desc(), F.col("name")])
 
 
-def rank_conditions(df: DataFrame) -> DataFrame:
-    return df.orderBy("complexity", "depth")
+def rank_conditions(df: DataFrame, keys: Sequence[str] = ("fn",)) -> DataFrame:
+    """Conditions of each function with their `rank` from 1: simpler first, then shallower, then by text."""
+    return _ranked(df, keys, [F.col("complexity"), F.col("depth"), F.col("condition")])
+
+
+def _ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """A rank inside each key. The keys here (a symbol, a directory, a function) have few rows."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
 def min_path(paths: DataFrame) -> DataFrame:

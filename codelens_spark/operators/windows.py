@@ -81,15 +81,17 @@ def gap_marks(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def take_prefix_budget(df: DataFrame, keys: Sequence[str], order: Sequence[Column], size: str, budget: int) -> DataFrame:
     """Ordered items while their running size stays within the budget; -1 takes everything.
 
-    Sizes are at least 1, so no more than `budget` items of a key can be taken, and the ordered scan needs
-    only that many candidates per key.
+    A null or negative size counts as 0. Of the items with a size no more than `budget` can be taken, so only
+    that many of a key go on to the ordered scan, beside the items that cost nothing.
     """
     if budget == -1:
         return df.withColumn("running_size", F.lit(None).cast("long"))
     keys = list(keys)
-    few = limit_per_key(df.filter(F.col(size) >= 1), keys, order, budget + 1, rank="__rn")
-    w = Window.partitionBy(*keys).orderBy("__rn").rowsBetween(Window.unboundedPreceding, 0)
-    return few.withColumn("running_size", F.sum(size).over(w)).filter(F.col("running_size") <= budget).drop("__rn")
+    costs = df.withColumn("__cost", F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)))
+    few = limit_per_key(costs.filter("__cost > 0"), keys, order, int(budget) + 1, rank="__rn").drop("__rn")
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    taken = few.unionByName(costs.filter("__cost = 0")).withColumn("running_size", F.sum("__cost").over(w))
+    return taken.filter(F.col("running_size") <= budget).drop("__cost")
 
 
 def section(lines: DataFrame, keys: Sequence[str], start: Column, end: Column, first_only: bool = False) -> DataFrame:
@@ -156,11 +158,27 @@ def prune_to_mean(paths: DataFrame, key: str = "fn", size: str = "len", idx: str
 
 
 def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
-    """Names that clash (ignoring case) get _1, _2, ... in order; the first keeps its name."""
-    folded = df.withColumn("__base", F.lower(F.col(name)))
-    seen = number_rows(folded, ["__base"], order, "__i", start=0, levels=2)
-    suffix = F.when(F.col("__i") > 0, F.concat(F.lit("_"), F.col("__i").cast("string"))).otherwise("")
-    return seen.withColumn("unique_name", F.concat(F.col(name), suffix)).drop("__base", "__i")
+    """Names that clash (ignoring case) get _1, _2, ... on their stem, in order; the first keeps its name.
+
+    Numbers that would make a name which occurs in the table are left out, so all results differ: two numbered
+    names are equal only if stem and number are.
+    """
+    parts = F.struct(F.regexp_extract(name, r"^(.*?)(\.[^./]*)?$", 1).alias("stem"), F.regexp_extract(name, r"(\.[^./]*)?$", 1).alias("ext"))
+    folded = df.withColumn("__p", parts).withColumn("__base", F.lower("__p.stem")).withColumn("__ext", F.lower("__p.ext"))
+    seen = number_rows(folded, ["__base", "__ext"], order, "__i", start=0, levels=2)
+    # numbers in use: names stem_k in the table whose stem is one of the others
+    number = F.regexp_extract("__base", r"_([1-9]\d{0,17})$", 1)
+    used = folded.filter(number != "").select(F.regexp_replace("__base", r"_[1-9]\d{0,17}$", "").alias("__base"), "__ext", number.cast("long").alias("__k")).distinct()
+    used = number_rows(used, ["__base", "__ext"], "__k", "__j", start=0, levels=3)
+    # the i-th free number is i + the used ones before it; used number k is passed by every i >= k - (used before k)
+    marks = used.select("__base", "__ext", (F.col("__k") - F.col("__j")).alias("__at")).groupBy("__base", "__ext", "__at").agg(F.count("*").alias("__n"))
+    asks = seen.filter("__i > 0").select("__base", "__ext", F.col("__i").alias("__at"), F.lit(0).cast("long").alias("__n"))
+    line = marks.unionByName(asks).groupBy("__base", "__ext", "__at").agg(F.sum("__n").alias("__n"))
+    passed = running(line, ["__base", "__ext"], "__at", [Run("__skip", "sum", F.col("__n"))], levels=3)
+    passed = passed.select(F.col("__base").alias("__b"), F.col("__ext").alias("__e"), "__at", "__skip")
+    placed = seen.join(passed, (F.col("__base") == F.col("__b")) & (F.col("__ext") == F.col("__e")) & (F.col("__i") == F.col("__at")), "left")
+    suffix = F.when(F.col("__i") > 0, F.concat(F.lit("_"), (F.col("__i") + F.coalesce("__skip", F.lit(0))).cast("string"))).otherwise("")
+    return placed.withColumn("unique_name", F.concat(F.col("__p.stem"), suffix, F.col("__p.ext"))).select(*df.columns, "unique_name")
 
 
 def round_delta(diag: DataFrame) -> DataFrame:

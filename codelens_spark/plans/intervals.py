@@ -15,27 +15,39 @@ from pyspark.sql import functions as F
 
 from .scan import Run, running
 
-LEVELS = 31
+LEVELS = 62
+FARTHEST = 1 << 60
 
 
 def _width(level: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), level)
 
 
+def _node(pos: Column, level: Column) -> Column:
+    """Number of the node of a level that holds a position: an arithmetic shift, so it floors below zero too."""
+    return F.call_function("shiftright", pos, level)
+
+
+def _place(col: str) -> Column:
+    """A position as a long; beyond +-2**60 the job fails rather than losing rows."""
+    pos = F.col(col).cast("long")
+    return F.when((pos > FARTHEST) | (pos < -FARTHEST), F.raise_error(F.lit("position beyond 2**60")).cast("long")).otherwise(pos)
+
+
 def _depth(s: str, e: str) -> Column:
     """A canonical node is never longer than its interval."""
-    return F.least(F.lit(LEVELS), F.ceil(F.log2(F.col(e) - F.col(s) + 2))).cast("int")
+    return F.least(F.lit(LEVELS), F.ceil(F.log2(_place(e) - _place(s) + 2))).cast("int")
 
 
 def _nodes(s: str, e: str) -> Column:
-    """Canonical nodes of [s, e]; positions are non-negative integers below 2**31."""
+    """Canonical nodes of [s, e]; positions are integers of either sign."""
 
     def at(level: Column) -> Column:
-        width = _width(level)
-        lo = F.floor((F.col(s).cast("long") + width - 1) / width)
-        hi = F.floor((F.col(e).cast("long") + 1) / width)
-        left = F.when((lo < hi) & (lo % 2 == 1), F.struct(level.alias("level"), lo.alias("node")))
-        right = F.when((lo < hi) & (hi % 2 == 1), F.struct(level.alias("level"), (hi - 1).alias("node")))
+        lo = _node(F.col(s).cast("long") + _width(level) - 1, level)
+        hi = _node(F.col(e).cast("long") + 1, level)
+        odd = lambda n: F.call_function("getbit", n, F.lit(0)) == 1
+        left = F.when((lo < hi) & odd(lo), F.struct(level.alias("level"), lo.alias("node")))
+        right = F.when((lo < hi) & odd(hi), F.struct(level.alias("level"), (hi - 1).alias("node")))
         return F.array(left, right)
 
     return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), _depth(s, e)), at)))
@@ -51,7 +63,7 @@ def _point_nodes(pos: str) -> Column:
         F.sequence(F.lit(0), F.col("__top")),
         lambda level: F.struct(
             level.alias("level"),
-            F.floor(F.col(pos).cast("long") / _width(level)).alias("node"),
+            _node(_place(pos), level).alias("node"),
         ),
     )
 

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stage import stage
+
 BLOCK = 1 << 16
 SUPER = 1 << 12
 
@@ -117,3 +119,18 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: str, name: str, start
     """Position of each row inside its key by a unique integer `order`, counted from `start`."""
     seen = Run(name, "sum", F.lit(1).cast("long"))
     return running(df, keys, order, [seen], levels=levels).withColumn(name, F.col(name) + F.lit(start - 1))
+
+
+def ranked_rows(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """Place of each row in a total order, from 1, without one window over all rows.
+
+    Rows are range-sorted once and written with their range; a row's place is its place inside the range plus the
+    sizes of the ranges before, of which there is one row per range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stage(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranged")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("__part").agg(F.count("*").alias("__rows")).select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    placed = ranged.withColumn("__inside", inside).join(offsets, "__part")
+    return placed.select(*df.columns, (F.col("__inside") + F.col("__before")).alias(name))

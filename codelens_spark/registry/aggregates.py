@@ -8,6 +8,7 @@ from .. import views as V
 from ..functions import rules as R
 from ..operators import aggregates as A
 from ..operators import topk as T
+from ..plans.scan import ranked_rows
 from .core import query, r6
 
 
@@ -120,11 +121,12 @@ def _(spark, sf):
 @query(
     "a6_category_messages", "v_diag",
     f"""with f as (select message, count(*) frequency from v_diag where trim(message) <> '' group by message)
-    select {classify_sql('constructor_first', 'message')} category, message, frequency from f""",
+    , c as (select {classify_sql('constructor_first', 'message')} category, message, frequency from f)
+    select *, row_number() over (order by category, frequency desc, message) place from c""",
 )
 def _(spark, sf):
     rows = A.classify_freq(A.message_freq(V.v_diag(spark, sf)), "constructor_first")
-    return rows.select("category", "message", "frequency").orderBy("category", F.desc("frequency"), "message")
+    return ranked_rows(rows.select("category", "message", "frequency"), ["category", F.desc("frequency"), "message"], "place")
 
 
 @query(
@@ -389,7 +391,7 @@ def _(spark, sf):
     return A.category_rollup(V.v_cat(spark, sf))
 
 
-@query("a24_tests_by_category", "v_cat", "select big, small, test from v_cat")
+@query("a24_tests_by_category", "v_cat", "select big, small, test, row_number() over (order by big, small, test) place from v_cat")
 def _(spark, sf):
     return A.tests_by_category(V.v_cat(spark, sf))
 

@@ -105,6 +105,41 @@ def _(spark, sf):
     return J.smallest_enclosing(ivals.select("uri", F.col("s").alias("line")), ivals)
 
 
+FAR = "select uri, name, ord, (s - 600) * case when s % 2 = 0 then 1 else 8589934592 end s, (e - 600) * case when s % 2 = 0 then 1 else 8589934592 end e from v_ival"
+
+
+def _far(spark, sf):
+    """Intervals on both sides of zero, half of them stretched far beyond 2**31."""
+    ivals = V.v_ival(spark, sf)
+    stretch = F.when(F.col("s") % 2 == 0, F.lit(1)).otherwise(F.lit(1 << 33))
+    place = lambda c: ((F.col(c).cast("long") - 600) * stretch).alias(c)
+    return ivals.select("uri", "name", "ord", place("s"), place("e"))
+
+
+@query(
+    "j4_far_and_negative", "v_ival",
+    f"""with i as ({FAR}), p as (select distinct uri, s line from i),
+    r as (select p.uri, p.line, i.name, i.s, i.e, row_number() over (partition by p.uri, p.line order by i.e - i.s, i.ord) rn
+      from p join i on p.uri = i.uri and p.line between i.s and i.e)
+    select uri, line, name, s, e from r where rn = 1""",
+)
+def _(spark, sf):
+    ivals = _far(spark, sf)
+    return J.smallest_enclosing(ivals.select("uri", F.col("s").alias("line")), ivals)
+
+
+@query(
+    "j5_far_and_negative", "v_ival",
+    f"""with i as ({FAR}), p as (select distinct uri, s line from i)
+    select p.uri, p.line, count(*) depth, cast(sum(i.s % 1000003) as bigint) starts from p join i on p.uri = i.uri and p.line between i.s and i.e group by 1, 2""",
+)
+def _(spark, sf):
+    ivals = _far(spark, sf)
+    points = ivals.select("uri", F.col("s").alias("line")).distinct()
+    chain = J.enclosing_chain(points, ivals)
+    return chain.groupBy("uri", "line").agg(F.count("*").alias("depth"), F.sum(F.col("s") % 1000003).alias("starts"))
+
+
 @query(
     "j5_enclosing_chain", "v_nest v_day",
     'select d.uri, d.line, n.name, n.s, n.e, n.s - n.e as "outer" from v_day d join v_nest n on d.uri = n.uri and d.line between n.s and n.e',
@@ -148,6 +183,26 @@ def _(spark, sf):
     return J.contains_join(words, docs).groupBy("word").agg(F.count("*").alias("texts"))
 
 
+@query(
+    "j7_contains_any_word",
+    sql="""with b as (select unnest(string_split(text, ' ')) w from benchmark union all select left(text, 9) from benchmark
+      union all select word from (select unnest(regexp_extract_all(text, '[^\x00-\x7F]+')) word from documents where lang <> 'en')),
+    w as (select distinct w word from b where w <> '')
+    select word, count(*) texts from w join documents on contains(text, word) group by word""",
+)
+def _(spark, sf):
+    bench = V.table(spark, sf, "benchmark")
+    docs = V.wide_table(spark, sf, "documents", "doc_id", "text", "lang")
+    # words with punctuation, with blanks inside, and of letters beyond ASCII
+    words = (
+        bench.select(F.explode(F.split("text", " ")).alias("word"))
+        .union(bench.select(F.left("text", F.lit(9))))
+        .union(docs.filter("lang <> 'en'").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x00-\x7F]+"), F.lit(0)))))
+    )
+    texts = docs.select(F.col("doc_id").alias("text_id"), "text")
+    return J.contains_join(words.distinct(), texts).groupBy("word").agg(F.count("*").alias("texts"))
+
+
 @query(
     "j7_contains_join_keyed", "v_token",
     """with w as (select distinct split_part(uri, ':', 1) key, word from v_token where type = 'method'),
@@ -187,7 +242,7 @@ def _(spark, sf):
 
 @query(
     "j10_find_redefined", "v_token",
-    """with ts as (select uri test, word as name, arg_min(type, id) kind, min(id) id from v_token where split_part(uri, ':', 2) = '1' group by 1, 2),
+    """with ts as (select uri test, word as name, arg_min(type, id) kind, min(id) id from v_token where split_part(uri, ':', 2) <> '0' group by 1, 2),
     tl as (select t.test, t.name, t.name || '@' || (v.line + 1) || ':' || v.ch test_loc from ts t join v_token v on v.id = t.id where t.kind <> 'variable'),
     ss as (select split_part(uri, ':', 1) uri, word as name, min(id) id from v_token where split_part(uri, ':', 2) = '0' group by 1, 2),
     sl as (select s.uri, s.name, s.uri || '@' || (v.line + 1) || ':' || v.ch source_loc from ss s join v_token v on v.id = s.id)
@@ -197,9 +252,10 @@ def _(spark, sf):
     t = V.v_token(spark, sf)
     turn, conv = F.substring_index("uri", ":", -1), F.substring_index("uri", ":", 1)
     kind = F.when(F.col("type") == "variable", "Variable").otherwise(F.col("type"))
-    test = t.filter(turn == "1").select(F.col("uri").alias("test"), F.col("word").alias("name"), kind.alias("kind"), "line", "ch", F.col("id").alias("ord"))
+    test = t.filter(turn != "0").select(F.col("uri").alias("test"), F.col("word").alias("name"), kind.alias("kind"), "line", "ch", F.col("id").alias("ord"))
     source = t.filter(turn == "0").select(conv.alias("uri"), F.col("word").alias("name"), "line", "ch", F.col("id").alias("ord"))
-    reach = source.select(F.concat("uri", F.lit(":1")).alias("test"), "name", "uri").distinct()
+    tests = test.select("test", F.substring_index("test", ":", 1).alias("uri")).distinct()
+    reach = source.select("name", "uri").distinct().join(tests, "uri")
     return J.find_redefined(reach, source, test)
 
 

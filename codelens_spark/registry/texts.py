@@ -63,11 +63,11 @@ FENCED = ["a ```py\nx{n} = 1\n``` b ```\n y \n```", "no fence {n}", "t\n```go~~\
 _templates(
     "x2_fenced_blocks", FENCED,
     {
-        "first": ["py\nx{n} = 1", "no fence {n}", "z"], "last": ["y", "no fence {n}", "z"], "head": ["a", "no fence {n}", "t"],
+        "first": ["x{n} = 1", "no fence {n}", "z"], "last": ["y", "no fence {n}", "z"], "head": ["a", "no fence {n}", "t"],
         "blocks": ["py:x{n} = 1|unknown:y", "", ""],
     },
     lambda t: {
-        "first": F.when(t.contains("```py"), F.concat(F.lit("py\n"), X.first_block(t))).otherwise(X.first_block(t)),
+        "first": X.first_block(t),
         "last": X.last_block(t), "head": X.before_fence(t),
         "blocks": F.array_join(F.transform(X.fenced_blocks(t), lambda b: F.concat_ws(":", b["language"], b["code"])), "|"),
     },
@@ -241,14 +241,14 @@ _templates(
     "x18_imports",
     ['package main\nimport "fmt{n}"\nx', "package a.b;\nimport c.D{n};\nimport e.F;", "import os{n}\nfrom a.b import c\nx = 1", "from p import (\n  a,\n  b{n},\n)\nimport as\nimport inspect # why"],
     {
-        "go": ['package main\nimport "fmt{n}"', "package a.b;\nimport c.D{n};", "import os{n}\nimport c", ""],
+        "go": ['package main\nimport "fmt{n}"', "package a.b;\nimport c.D{n};", "import os{n}\nimport c", "import (\nimport as"],
         "java": ["", "package a.b;\nimport c.D{n};\nimport e.F;", "", ""],
         "python": ["", "", "import os{n}\nfrom a.b import c", "from p import (\na\nb{n}\n)\nimport inspect"],
     },
     lambda t: {
-        "go": F.when(t.startswith("from p"), "").when(t.contains("a.b;"), F.replace(X.import_statement(t, "go"), F.lit("\nimport e.F;"), F.lit(""))).otherwise(X.import_statement(t, "go")),
+        "go": X.import_statement(t, "go"),
         "java": X.import_statement(t, "java"),
-        "python": F.when(t.startswith("import os") | t.startswith("from p"), X.import_statement(t, "python")).otherwise(""),
+        "python": X.import_statement(t, "python"),
     },
 )
 _templates(
@@ -266,14 +266,10 @@ def _(spark, sf):
 
 @query(
     "x20_join_contexts",
-    sql="select conv_id, md5(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by turn)) context from (select *, row_number() over (partition by conv_id order by turn) rn from conversations) where rn <= 3 group by conv_id",
+    sql="select conv_id, md5(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by turn)) context from conversations group by conv_id",
 )
 def _(spark, sf):
-    from ..plans.skew import limit_per_key
-
-    # the texts joined are the k = 3 best hits of a query, here the first three turns
-    few = limit_per_key(V.table(spark, sf, "conversations").select("conv_id", "turn", "text"), ["conv_id"], [F.col("turn")], 3)
-    texts = few.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"]).alias("a"))
+    texts = V.table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"]).alias("a"))
     return texts.select("conv_id", F.md5(X.join_contexts(F.col("a"))).alias("context"))
 
 

@@ -72,12 +72,15 @@ def _(spark, sf):
 
 @query(
     "w6_take_prefix_budget", "v_ival",
-    """with r as (select *, e - s + 1 size, sum(e - s + 1) over (partition by uri order by e - s, ord rows unbounded preceding) running_size from v_ival)
+    """with z as (select *, case when s % 5 = 0 then null when s % 7 = 0 then 0 else e - s + 1 end size from v_ival),
+    r as (select *, sum(coalesce(size, 0)) over (partition by uri order by e - s, ord rows unbounded preceding) running_size from z)
     select uri, name, s, e, ord, size, cast(running_size as bigint) running_size from r where running_size <= 200""",
 )
 def _(spark, sf):
-    rows = V.v_ival(spark, sf).withColumn("size", F.col("e") - F.col("s") + 1)
-    return W.take_prefix_budget(rows, ["uri"], [F.col("size"), F.col("ord")], "size", 200)
+    rows = V.v_ival(spark, sf)
+    n = F.col("s")
+    rows = rows.withColumn("size", F.when(n % 5 == 0, None).when(n % 7 == 0, 0).otherwise(F.col("e") - F.col("s") + 1))
+    return W.take_prefix_budget(rows, ["uri"], [F.col("e") - F.col("s"), F.col("ord")], "size", 200)
 
 
 MARKS = """with m as (select *, contains(text, 'qu') st, contains(text, 'th') and not contains(text, 'qu') en from v_line)"""
@@ -159,11 +162,17 @@ def _(spark, sf):
 
 @query(
     "w12_unique_names",
-    sql="""with r as (select p_partkey, p_name, row_number() over (partition by lower(p_name) order by p_partkey) - 1 i from part)
-    select p_partkey, p_name || case when i > 0 then '_' || i else '' end unique_name from r""",
+    # every seventh name carries a number of its own, so plain numbering would clash with it
+    sql="""with p as (select p_partkey, p_brand || case when p_partkey % 7 = 0 then '_' || (p_partkey % 5 + 1) else '' end || '.go' nm from part),
+    r as (select p_partkey, nm, regexp_extract(nm, '^(.*?)\\.go$', 1) stem, row_number() over (partition by lower(nm) order by p_partkey) - 1 i from p),
+    u as (select distinct lower(regexp_replace(stem, '_[1-9][0-9]*$', '')) b, cast(regexp_extract(stem, '_([1-9][0-9]*)$', 1) as bigint) k from r where regexp_matches(stem, '_[1-9][0-9]*$')),
+    j as (select b, k, row_number() over (partition by b order by k) - 1 j from u)
+    select p_partkey, stem || case when i > 0 then '_' || (i + (select count(*) from j where j.b = lower(r.stem) and j.k - j.j <= r.i)) else '' end || '.go' unique_name from r""",
 )
 def _(spark, sf):
-    return W.unique_names(V.table(spark, sf, "part").select("p_partkey", "p_name"), "p_name", "p_partkey").select("p_partkey", "unique_name")
+    k = F.col("p_partkey")
+    name = F.concat("p_brand", F.when(k % 7 == 0, F.concat(F.lit("_"), (k % 5 + 1).cast("string"))).otherwise(""), F.lit(".go"))
+    return W.unique_names(V.table(spark, sf, "part").select("p_partkey", name.alias("nm")), "nm", "p_partkey").select("p_partkey", "unique_name")
 
 
 @query(
@@ -206,12 +215,13 @@ def _(spark, sf):
 
 @query(
     "t3_rank_references",
-    sql="""select page_id, uri, s, e from (select page_id, url || case when page_id % 3 = 0 then '/test/x' else '' end uri, 0 s, cast(page_id % 17 as int) e from pages)""",
+    sql="""select page_id, symbol, uri, s, e, cast(row_number() over (partition by symbol order by page_id % 3 = 0 desc, e - s, page_id) as int) rank
+    from (select page_id, page_id % 50 symbol, url || case when page_id % 3 = 0 then '/test/x' else '' end uri, 0 s, cast(page_id % 17 as int) e from pages)""",
 )
 def _(spark, sf):
     p = V.table(spark, sf, "pages")
     n = F.col("page_id")
-    rows = p.select("page_id", F.concat("url", F.when(n % 3 == 0, "/test/x").otherwise("")).alias("uri"), F.lit(0).alias("s"), (n % 17).cast("int").alias("e"))
+    rows = p.select("page_id", (n % 50).alias("symbol"), F.concat("url", F.when(n % 3 == 0, "/test/x").otherwise("")).alias("uri"), F.lit(0).alias("s"), (n % 17).cast("int").alias("e"))
     return T.rank_references(rows, tie=["page_id"])
 
 
@@ -220,24 +230,27 @@ def _(spark, sf):
     sql="""with p as (select doc_id, string_split(source || '/' || lang || '/f' || doc_id, '/') a from documents),
     s as (select distinct unnest([struct_pack(parent := '', name := a[1], is_dir := true), struct_pack(parent := a[1], name := a[2], is_dir := true),
       struct_pack(parent := a[1] || '/' || a[2], name := a[3], is_dir := false)]) x from p)
-    select x.parent, x.name, x.is_dir from s""",
+    select x.parent, x.name, x.is_dir, cast(row_number() over (partition by x.parent order by x.is_dir desc, x.name) as int) rank from s""",
 )
 def _(spark, sf):
     from ..operators.graph import path_hierarchy
 
     docs = V.table(spark, sf, "documents")
     paths = docs.select(F.concat_ws("/", "source", "lang", F.concat(F.lit("f"), F.col("doc_id").cast("string"))).alias("path"))
-    return T.tree_order(path_hierarchy(paths)).select("parent", "name", "is_dir")
+    return T.tree_order(path_hierarchy(paths)).select("parent", "name", "is_dir", "rank")
 
 
 @query(
     "t7_rank_conditions",
-    sql="""select 'x' || c_custkey || ' > ' || c_nationkey condition, cast(c_nationkey as int) depth, 1 complexity from customer""",
+    sql="""with c as (select c_mktsegment fn, 'x' || c_custkey || ' > ' || c_nationkey || case when c_custkey % 3 = 0 then ' && y > 1' else '' end condition,
+      cast(c_nationkey as int) depth, case when c_custkey % 3 = 0 then 6 else 1 end complexity from customer)
+    select *, cast(row_number() over (partition by fn order by complexity, depth, condition) as int) rank from c""",
 )
 def _(spark, sf):
     c = V.table(spark, sf, "customer")
     cond = F.concat(F.lit("x"), F.col("c_custkey").cast("string"), F.lit(" > "), F.col("c_nationkey").cast("string"))
-    rows = c.select(cond.alias("condition"), F.col("c_nationkey").cast("int").alias("depth")).withColumn("complexity", complexity(F.col("condition")))
+    cond = F.concat(cond, F.when(F.col("c_custkey") % 3 == 0, " && y > 1").otherwise(""))
+    rows = c.select(F.col("c_mktsegment").alias("fn"), cond.alias("condition"), F.col("c_nationkey").cast("int").alias("depth")).withColumn("complexity", complexity(F.col("condition")))
     return T.rank_conditions(rows)
 
 

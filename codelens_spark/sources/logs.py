@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import number
+from ..functions.text import number, strip
 from . import schemas as S
 
 
@@ -108,7 +108,7 @@ def read_jsonl_tolerant(df: DataFrame, schema: str, required: Sequence[str], col
 def jsonl_line_counts(df: DataFrame, schema: str, required: Sequence[str], col: str = "value") -> DataFrame:
     """One row: valid lines, noise lines (headers, blanks and plain verdict lines are neither)."""
     text = F.col(col)
-    header = (F.trim(text) == "") | text.startswith("===")
+    header = (strip(text) == "") | text.startswith("===")
     valid = F.coalesce(_valid(required), F.lit(False)) & ~header
     broken = F.try_parse_json(text).isNull()
     verdict = text.contains("PASS") | text.contains("FAIL") | text.contains("===")

@@ -163,8 +163,6 @@ def test_loop_is_entered_twice_then_left(spark, hops, contract):
     assert got == [
         (["i < n", "i < n"], ["i += 1", "i += 1"]), (["i < n", "!(i < n)"], ["i += 1"]), (["!(i < n)"], []),
     ]
-    with pytest.raises(ValueError):
-        G.enumerate_paths(*flow(spark, nodes, edges), max_len=2, hops=1)
 
 
 def test_try_catch_paths(spark):
@@ -185,7 +183,7 @@ def test_condition_table(spark):
     )
     got = {r.condition: (r.depth, r.complexity, r.min_path_id) for r in G.condition_table(paths).collect()}
     assert got == {"a": (0, 0, "0002"), "b > 1": (1, 1, "0001")}
-    ranked = [r.condition for r in T.rank_conditions(G.condition_table(paths)).collect()]
+    ranked = [r.condition for r in T.rank_conditions(G.condition_table(paths)).orderBy("rank").collect()]
     assert ranked == ["a", "b > 1"]
 
 
@@ -201,12 +199,33 @@ def test_bfs(spark, rows):
     assert got == [(1, "a", 0, False), (1, "b", 1, False), (1, "c", 1, False), (1, "d", 2, True), (2, "a", 1, False), (2, "b", 2, True), (2, "c", 2, True), (2, "d", 0, False), (2, "e", 1, False), (2, "f", 2, True)]
 
 
+def test_flatten_edges_keeps_what_no_root_reaches(spark, rows):
+    edges = spark.createDataFrame([(None, "r"), ("r", "a"), ("a", "b"), ("b", "a"), ("x", "y"), ("y", "x"), ("gone", "z")], "parent string, node string")
+    assert rows(G.flatten_edges(edges), "node", "parent", "depth") == sorted(
+        [("r", None, 0), ("a", "r", 1), ("b", "a", 2), ("a", "b", 3), ("y", "x", None), ("x", "y", None), ("z", "gone", None)], key=repr
+    )
+    deep = spark.createDataFrame([(str(i - 1) if i else None, str(i)) for i in range(6)], "parent string, node string")
+    assert rows(G.flatten_edges(deep), "depth") == [(i,) for i in range(6)]
+
+
+def test_line_feeds_are_white_space(spark, rows):
+    ev = spark.createDataFrame([("T", 0, "output", "=== RUN T\n"), ("T", 1, "output", "\n"), ("T", 2, "fail", None)], "test string, ord int, action string, output string")
+    assert rows(A.final_status(ev)) == [("T", "fail", 1)] and rows(A.failure_details(ev)) == [("T", 0, "=== RUN T")]
+    freq = spark.createDataFrame([("\n", 3), ("x redeclared in this block", 2)], "message string, frequency long")
+    assert rows(A.category_totals(freq), "messages", "occurrences") == [(1, 2)]
+
+
+def test_numbers_as_ordered_text(spark):
+    got = [r.t for r in spark.range(0, 200_000, 997).select(G.ordered_number(F.col("id")).alias("t")).collect()]
+    assert got == sorted(got)
+
+
 def test_hierarchy(spark, rows):
     p = spark.createDataFrame([("src/a/x.py",), ("src/a/y.py",), ("src/z.py",)], "path string")
     h = G.path_hierarchy(p, focal="src/z.py")
     assert rows(h, "parent", "name", "is_dir", "focal") == [("", "src", True, False), ("src", "a", True, False), ("src", "z.py", False, True), ("src/a", "x.py", False, False), ("src/a", "y.py", False, False)]
     assert rows(G.hierarchy_counts(p)) == [("", 3), ("src", 3), ("src/a", 2)]
-    assert [r.name for r in T.tree_order(h).collect()] == ["src", "a", "z.py", "x.py", "y.py"]
+    assert [r.name for r in T.tree_order(h).orderBy("parent", "rank").collect()] == ["src", "a", "z.py", "x.py", "y.py"]
 
 
 # ---- retrieval ----

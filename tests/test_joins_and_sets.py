@@ -106,6 +106,23 @@ def test_annotate_lines(spark):
     assert got == ["a", 'b\nc # Error Group: "bad"', "", 'd # Error Group: "worse"']
 
 
+def test_contains_any_word(spark):
+    words = ["größe", "a.b", "x>0", "abc", "two words", "ß", "\n", "", "öß e", None]
+    texts = ["größe a.b x>0 abc", "GRÖßE", "has two words\nhere", "xabcx", "ößx größ e", None]
+    w, t = spark.createDataFrame([(x,) for x in words], "word string"), spark.createDataFrame(list(enumerate(texts)), "text_id int, text string")
+    got = {(r.word, r.text_id) for r in J.contains_join(w, t).collect()}
+    assert got == {(x, i) for x in words if x for i, y in enumerate(texts) if y and x in y}
+
+
+def test_import_origin_takes_names_literally(spark):
+    cases = [
+        ("from axb import f", "a.b", "f", "unknown"), ("from a.b import f", "a.b", "f", "imported"), ("import c++(", "c++(", "f", "imported"), ("def x+(y", "m", "x+(", "reimplemented"),
+        ("import m\\Ex", "m\\Ex", "f", "imported"), ("import mm", "m", "f", "unknown"),
+    ]
+    df = spark.createDataFrame([c[:3] for c in cases], "text string, module string, function string")
+    assert [r.origin for r in J.import_origin(df).collect()] == [c[3] for c in cases]
+
+
 def test_import_origin(spark):
     cases = [("from m import a, f", "imported", "from m import a, f"), ("import m as x", "imported", "import m"), ("class T:\n  def f(self):", "reimplemented", None), ("import mm", "unknown", None)]
     df = spark.createDataFrame([(c[0], "m", "f") for c in cases], "text string, module string, function string")

@@ -153,6 +153,31 @@ def test_unique_names(spark, rows):
     assert rows(W.unique_names(df, "name", "ord"), "ord", "unique_name") == [(1, "A"), (2, "a_1"), (3, "b"), (400000, "A_2")]
 
 
+def test_numbered_names_never_clash(spark):
+    names = ["a", "A", "a_1", "a", "a_1", "x_test.go", "X_test.go", "x_test_1.go", "x_test.go", "b_2", "b", "b", "b", "a_1_1"]
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, ord long")
+    got = [r.unique_name for r in W.unique_names(df, "name", "ord").orderBy("ord").collect()]
+    assert got == ["a", "A_2", "a_1", "a_3", "a_1_2", "x_test.go", "X_test_2.go", "x_test_1.go", "x_test_3.go", "b_2", "b", "b_1", "b_3", "a_1_1"]
+    assert len({g.lower() for g in got}) == len(got)
+
+
+def test_budget_with_free_items(spark, rows):
+    df = spark.createDataFrame([("k", 1, 0), ("k", 2, 3), ("k", 3, None), ("k", 4, 2), ("k", 5, 0), ("k", 6, 1), ("k", 7, 0)], "key string, ord int, size int")
+    got = rows(W.take_prefix_budget(df, ["key"], [F.col("ord")], "size", 5), "ord", "running_size")
+    assert got == [(1, 0), (2, 3), (3, 3), (4, 5), (5, 5)]
+
+
+def test_positions_of_either_sign_and_beyond_32_bits(spark, rows):
+    big = 1 << 40
+    data = [("f", -10, -2, 1), ("f", -3, 3, 2), ("f", 0, 1 << 35, 3), ("f", big, big, 4), ("f", -big, big, 5)]
+    iv = spark.createDataFrame(data, "uri string, s long, e long, ord long").withColumn("name", F.col("ord"))
+    points = spark.createDataFrame([("f", p) for p in (-11, -10, -5, -2, -1, 0, 5, big, -big, big + 1)], "uri string, line long")
+    assert rows(J.smallest_enclosing(points, iv), "line", "s") == sorted(
+        [(-11, -big), (-10, -10), (-5, -10), (-2, -3), (-1, -3), (0, -3), (5, 0), (big, big), (-big, -big)], key=repr
+    )
+    assert J.enclosing_chain(points, iv).count() == sum(s <= p <= e for p in (-11, -10, -5, -2, -1, 0, 5, big, -big, big + 1) for _, s, e, _ in data)
+
+
 def test_prune_to_mean(spark):
     df = spark.createDataFrame([("f", f"{i:03d}", i) for i in range(21)] + [("g", "x", 1)], "fn string, path_id string, len int")
     kept = W.prune_to_mean(df).collect()
