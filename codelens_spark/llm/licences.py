@@ -1,6 +1,6 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient of their word bigrams.
 
-Every line and every paragraph (lines without an empty line between them) of a text is compared. Normalised means: A-Z
+Every line and every paragraph (several lines without an empty line between them) of a text is compared. Normalised means: A-Z
 as a-z, and every run of characters that are neither letters nor digits as one blank. Dice >= t bounds the sizes,
 t / (2 - t) <= |A| / |B| <= (2 - t) / t, which prunes templates; and a match has at least t / (2 - t) |B| bigrams of
 template B, so it has one of any |B| - t / (2 - t) |B| + 1 of them: units without such a bigram are dropped before any
@@ -59,8 +59,8 @@ def _bigrams(text: Column) -> Column:
 
 
 def _units(text: Column) -> Column:
-    """Lines, then paragraphs, of normalised text."""
-    return F.concat(F.split(text, "\n"), F.split(text, "\n *(?:\n *)+"))
+    """Lines, then paragraphs of several lines, of normalised text."""
+    return F.concat(F.split(text, "\n"), F.filter(F.split(text, "\n *(?:\n *)+"), lambda p: p.contains("\n")))
 
 
 def scan_licences(
@@ -129,8 +129,8 @@ SCAN_SQL = f"""
 with t as (select n, name, {_PAIRS} as g from (select n, name, list_filter(string_split(replace({_NORMAL.format('body')}, chr(10), ' '), ' '), lambda x: x <> '') as w
     from (values {', '.join(f"({n}, {_literal(name)}, {_literal(text)})" for n, (name, text) in enumerate(TEMPLATES))}) v(n, name, body))),
 d as (select doc_id, {_NORMAL.format("coalesce(text, '')")} as text from documents),
-u as (select doc_id, unnest(list_concat(string_split(text, chr(10)), string_split_regex(text, '\\n *(?:\\n *)+'))) as unit,
-    generate_subscripts(list_concat(string_split(text, chr(10)), string_split_regex(text, '\\n *(?:\\n *)+')), 1) as no from d),
+u as (select doc_id, unnest(list_concat(string_split(text, chr(10)), list_filter(string_split_regex(text, '\\n *(?:\\n *)+'), lambda p: contains(p, chr(10))))) as unit,
+    generate_subscripts(list_concat(string_split(text, chr(10)), list_filter(string_split_regex(text, '\\n *(?:\\n *)+'), lambda p: contains(p, chr(10)))), 1) as no from d),
 g as (select doc_id, no, {_PAIRS} as g from (select doc_id, no, list_filter(string_split(replace(unit, chr(10), ' '), ' '), lambda x: x <> '') as w from u)),
 m as (select doc_id, no, t.n, t.name, 2.0::double * len(list_intersect(g.g, t.g)) / (len(g.g) + len(t.g)) as dice from g join t
     on len(g.g) >= len(t.g) * {LEAST_DICE} / (2 - {LEAST_DICE}) and len(g.g) * {LEAST_DICE} / (2 - {LEAST_DICE}) <= len(t.g)),
