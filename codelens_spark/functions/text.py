@@ -27,6 +27,24 @@ def _int_group(col: Column, pattern: str, group: int) -> Column:
 
 # ---- report totals ----
 
+# fixed values: the lines by which mutation tools state their totals
+PRINTED_SCORE = r"(?i)Mutation score:\s*([0-9]+(?:\.[0-9]+)?)\s*%"
+PRINTED_TOTALS = (r"(?i)Total mutants:\s*([0-9]+)", r"(?i)Generated mutants:\s*([0-9]+)", r"(?i)Mutants generated:\s*([0-9]+)")
+PRINTED_KILLED = r"(?i)Killed mutants:\s*([0-9]+)"
+REPORTED_SCORE = r"(?m)^\s*mutation_score:\s*([0-9]+(?:\.[0-9]+)?)"
+
+
+def printed_mutation_stats(col: Column) -> Column:
+    """struct(score, total, killed) of a mutation tool's printed output; nulls where absent."""
+    total = F.coalesce(*[F.regexp_extract(col, p, 1).try_cast("long") for p in PRINTED_TOTALS])
+    killed = F.regexp_extract(col, PRINTED_KILLED, 1).try_cast("long")
+    return F.struct(F.regexp_extract(col, PRINTED_SCORE, 1).try_cast("double").alias("score"), total.alias("total"), killed.alias("killed"))
+
+
+def reported_mutation_score(col: Column) -> Column:
+    """The score that a mutation report file states; null where it states none."""
+    return F.regexp_extract(col, REPORTED_SCORE, 1).try_cast("double")
+
 
 def report_totals(col: Column, kind: str) -> Column:
     """struct(covered, total, passed, files) read from a run's printed report; nulls where absent."""

@@ -303,13 +303,18 @@ def mutation_score(mutants: DataFrame) -> DataFrame:
     )
 
 
-def mutation_per_test(mutants: DataFrame) -> DataFrame:
+def mutation_per_test(mutants: DataFrame, reported: DataFrame | None = None) -> DataFrame:
+    """Mutants of each test; with reported(test, score) also the score its own report states, null where it states none."""
     status = F.lower(F.coalesce("status", F.lit("")))
-    return mutants.groupBy("test").agg(
+    counted = mutants.groupBy("test").agg(
         F.count("*").alias("mutants"),
         F.count_if(status != "incompetent").alias("total"),
         F.count_if(status == "killed").alias("killed"),
     )
+    if reported is None:
+        return counted
+    scores = reported.groupBy("test").agg(F.min("score").alias("reported_score"))
+    return counted.join(scores, "test", "left")
 
 
 # ---- experiment runs: runs(project, model, baseline, target_type, folder, coverage, validrate, error) ----

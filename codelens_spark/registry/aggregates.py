@@ -317,6 +317,82 @@ def _(spark, sf):
     return A.mutation_per_test(V.v_mut(spark, sf))
 
 
+@query(
+    "a18_reported_scores", "v_mut",
+    """with d as (select doc_id, text || case doc_id % 4 when 0 then chr(10) || 'mutation SCORE: ' || doc_id % 101 || '.5 %' when 1 then chr(10) || 'Generated mutants: ' || doc_id || chr(10) || 'killed mutants: 7'
+      when 2 then chr(10) || '  mutation_score: ' || doc_id % 100 || '.25' else '' end t from documents)
+    select doc_id, try_cast(regexp_extract(t, 'Mutation score:\\s*([0-9]+(?:\\.[0-9]+)?)\\s*%', 1, 'i') as double) score,
+      try_cast(regexp_extract(t, 'Generated mutants:\\s*([0-9]+)', 1, 'i') as bigint) total, try_cast(regexp_extract(t, 'Killed mutants:\\s*([0-9]+)', 1, 'i') as bigint) killed,
+      case when doc_id % 4 = 2 then doc_id % 100 + 0.25::double end reported from d""",
+)
+def _(spark, sf):
+    from ..functions.text import printed_mutation_stats, reported_mutation_score
+
+    n = F.col("doc_id")
+    said = (
+        F.when(n % 4 == 0, F.concat(F.lit("\nmutation SCORE: "), (n % 101).cast("string"), F.lit(".5 %")))
+        .when(n % 4 == 1, F.concat(F.lit("\nGenerated mutants: "), n.cast("string"), F.lit("\nkilled mutants: 7")))
+        .when(n % 4 == 2, F.concat(F.lit("\n  mutation_score: "), (n % 100).cast("string"), F.lit(".25")))
+        .otherwise("")
+    )
+    text = F.concat("text", said)
+    stats = printed_mutation_stats(text)
+    return V.table(spark, sf, "documents").select("doc_id", stats["score"].alias("score"), stats["total"].alias("total"), stats["killed"].alias("killed"), reported_mutation_score(text).alias("reported"))
+
+
+@query(
+    "a18_mutation_per_test_reported", "v_mut",
+    """select test, count(*) mutants, count_if(lower(status) <> 'incompetent') total, count_if(lower(status) = 'killed') killed,
+      case when test % 2 = 0 then test + 0.5::double end reported_score from v_mut group by test""",
+)
+def _(spark, sf):
+    from ..functions.text import reported_mutation_score
+
+    mut = V.v_mut(spark, sf)
+    n = F.col("test")
+    report = F.when(n % 2 == 0, F.concat(F.lit("mutants:\nmutation_score: "), n.cast("string"), F.lit(".5\n"))).otherwise("time: 3")
+    reports = mut.select("test").distinct().select("test", reported_mutation_score(report).alias("score"))
+    return A.mutation_per_test(mut, reports)
+
+
+@query("udf1_token_counter", sql="select source, cast(sum(len(list_filter(string_split(text, ' '), lambda x: x <> ''))) as bigint) tokens from documents group by source")
+def _(spark, sf):
+    from ..functions.udfs import token_counter
+
+    count = token_counter(lambda text: [w for w in text.split(" ") if w])
+    return V.table(spark, sf, "documents").select("source", count("text").alias("n")).groupBy("source").agg(F.sum("n").alias("tokens"))
+
+
+@query("udf2_embedder", sql="select doc_id, length(text)::double chars, (length(text) - length(replace(text, ' ', '')))::double blanks from documents")
+def _(spark, sf):
+    from ..functions.udfs import embedder
+    from ..operators.retrieval import apply_embedder
+
+    vectors = apply_embedder(V.table(spark, sf, "documents").select("doc_id", "text"), "text", embedder(lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts]))
+    return vectors.select("doc_id", F.col("embedding")[0].cast("double").alias("chars"), F.col("embedding")[1].cast("double").alias("blanks"))
+
+
+@query(
+    "udf3_default_term_flags", "v_token",
+    "select id, type in ('function', 'class', 'method', 'global', 'member') need_definition, type in ('method', 'function', 'assignment') need_example from v_token",
+)
+def _(spark, sf):
+    from ..operators.predicates import default_term_flags
+
+    definition, example = default_term_flags(F.col("type"))
+    return V.v_token(spark, sf).select("id", definition.alias("need_definition"), example.alias("need_example"))
+
+
+@query("udf4_rule_table", sql="select event_id, upper(event_type) category from events")
+def _(spark, sf):
+    from ..functions.classify import classify_ordered, rules_from_table
+
+    events = V.table(spark, sf, "events")
+    rules = events.select("event_type").distinct().select(F.length("event_type").alias("rule_ord"), F.upper("event_type").alias("category"), F.col("event_type").alias("keyword"))
+    rows = events.select("event_id", F.concat(F.lit("an "), F.upper("event_type"), F.lit(" happened")).alias("message"))
+    return classify_ordered(rows, "message", rules_from_table(rules)).select("event_id", "category")
+
+
 def _matrix_sql(metric: str) -> str:
     def cell(baseline: str) -> str:
         ok = f"error is null and {metric} is not null"

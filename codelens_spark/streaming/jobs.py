@@ -1,19 +1,20 @@
 """Streaming versions of the live logs: action counts, category state, task progress.
 
-Every job writes each micro-batch under its own epoch folder and reads state only from earlier epochs
-(their numbers are consecutive), so a replayed batch overwrites its own output and nothing else.
+Every job writes each micro-batch under its own epoch folder, so a replayed batch overwrites its own output and
+nothing else. Counts and progress keep their state in the state store and write what changed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.scan import Run, running
-from ..plans.skew import first_per_key
 
 
 def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], out: str, available_now: bool) -> StreamingQuery:
@@ -22,16 +23,24 @@ def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], out: str,
 
 
 def stream_action_counts(actions: DataFrame, out: str, available_now: bool = True) -> StreamingQuery:
-    """Running count and error count per action: actions(action, level). State is one row per action."""
+    """Running count and error count per action: actions(action, level). The counts live in the state store; every
+    micro-batch writes the actions that changed under its epoch. `read_action_counts` gives the latest of each."""
     counts = actions.groupBy("action").agg(F.count("*").alias("n"), F.count_if(F.col("level") >= 3).alias("errors"))
 
     def work(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/counts")
+        batch.write.mode("overwrite").parquet(f"{out}/counts/epoch={epoch}")
 
-    writer = counts.writeStream.outputMode("complete").foreachBatch(work).option("checkpointLocation", f"{out}/_progress")
+    writer = counts.writeStream.outputMode("update").foreachBatch(work).option("checkpointLocation", f"{out}/_progress")
     return writer.trigger(availableNow=True).start() if available_now else writer.start()
 
 
+def read_action_counts(spark: SparkSession, out: str) -> DataFrame:
+    """(action, n, errors) after the last written micro-batch."""
+    changes = read_state(spark, f"{out}/counts")
+    latest = changes.groupBy("action").agg(F.max_by(F.struct("n", "errors"), "epoch").alias("last"))
+    return latest.select("action", "last.n", "last.errors")
+
+
 def stream_category_state(events: DataFrame, out: str, available_now: bool = True) -> StreamingQuery:
     """Per event: total categorisations and distinct category counts after it: events(ord, big, small, ...).
 
@@ -86,18 +95,29 @@ def running_distinct_from(fresh: DataFrame) -> DataFrame:
 
 
 def stream_progress(done: DataFrame, out: str, available_now: bool = True) -> StreamingQuery:
-    """First completion of each task, written once however often it is reported: done(task, ord, ok)."""
+    """First completion of each task, written once however often it is reported: done(task, ord, ok).
+
+    One flag per task is kept in the state store; of a task's reports in its first micro-batch the least `ord` counts.
+    """
     state = f"{out}/tasks"
 
+    def first_report(key: tuple, reports: Iterator[pd.DataFrame], seen: GroupState) -> Iterator[pd.DataFrame]:
+        best = None
+        for part in reports:
+            row = part.loc[[part["ord"].idxmin()], ["task", "ord", "ok"]]
+            best = row if best is None or row["ord"].iloc[0] < best["ord"].iloc[0] else best
+        if not seen.exists and best is not None:
+            seen.update((True,))
+            yield best
+
+    firsts = done.select("task", "ord", "ok").groupBy("task").applyInPandasWithState(
+        first_report, "task bigint, ord bigint, ok boolean", "seen boolean", "append", GroupStateTimeout.NoTimeout
+    )
+
     def work(batch: DataFrame, epoch: int) -> None:
-        first = first_per_key(batch.select("task", "ord", "ok"), ["task"], ["ord"])
-        if epoch > 0:
-            schema = "task bigint, ord bigint, ok boolean, epoch bigint"
-            before = batch.sparkSession.read.schema(schema).option("basePath", state).parquet(state).filter(F.col("epoch") < epoch)
-            first = first.join(before.select("task"), "task", "left_anti")
-        first.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
+        batch.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
 
-    return _start(done, work, out, available_now)
+    return _start(firsts, work, out, available_now)
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:

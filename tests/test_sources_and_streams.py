@@ -166,7 +166,7 @@ def test_action_counts_stream(spark, tmp_path):
     jobs.stream_action_counts(jobs.action_log_stream(spark, str(src)), out).awaitTermination()
     feed(spark, src, [("task_start", 1)], "action string, level int")
     jobs.stream_action_counts(jobs.action_log_stream(spark, str(src)), out).awaitTermination()
-    assert {r.action: (r.n, r.errors) for r in spark.read.parquet(f"{out}/counts").collect()} == {"task_start": (2, 0), "error_occurred": (1, 1)}
+    assert {r.action: (r.n, r.errors) for r in jobs.read_action_counts(spark, out).collect()} == {"task_start": (2, 0), "error_occurred": (1, 1)}
 
 
 def test_category_state_stream(spark, tmp_path):
