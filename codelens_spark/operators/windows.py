@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..plans.scan import Run, number_rows, running
+from ..plans.scan import Run, number_rows, ranked_rows, running
 from ..plans.skew import attach, first_per_key, limit_per_key
 
 
@@ -122,11 +122,19 @@ def block_lines(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     return kept.select(*keys, "n", F.regexp_replace(text, r'^"+|"+$', "").alias("name")).filter("name <> ''")
 
 
-def running_distinct(ev: DataFrame, order: str = "ord") -> DataFrame:
+def running_distinct(ev: DataFrame, order: str = "ord", dense: bool = False) -> DataFrame:
     """Distinct big and (big, small) categories before and after each event, in table order.
 
-    First sightings come from an aggregate; the running count is a block scan over the unique order.
+    First sightings come from an aggregate; the running count is a block scan over the unique order. An order
+    with gaps (time stamps, say) is first replaced by the rows' places, so that blocks are full; `dense` says
+    that it is a count of rows already.
     """
+    if not dense:
+        placed = ranked_rows(ev, [order], "__place")
+        names = [c for c in ev.columns if c != order]
+        seen = running_distinct(placed.select(*names, F.col("__place").alias("__order"), F.col(order).alias("__kept")), "__order", dense=True)
+        added = [c for c in seen.columns if c not in (*names, "__order", "__kept")]
+        return seen.select(*[F.col("__kept").alias(order) if c == order else F.col(c) for c in ev.columns], *added)
     first_big = ev.groupBy("big").agg(F.min(order).alias(order)).select(order, F.lit(1).alias("new_big"))
     first_small = ev.groupBy("big", "small").agg(F.min(order).alias(order)).select(order, F.lit(1).alias("new_small"))
     flagged = ev.join(first_big, order, "left").join(first_small, order, "left")

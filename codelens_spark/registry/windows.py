@@ -131,10 +131,26 @@ RUNNING = """with f as (select *, case when row_number() over (partition by big
     RUNNING + "select ord, cast(b as bigint) big_after, cast(s as bigint) small_after, cast(b - nb as bigint) big_before, cast(s - ns as bigint) small_before from r",
 )
 def _(spark, sf):
-    out = W.running_distinct(V.v_cat(spark, sf).select("ord", "big", "small"))
+    out = W.running_distinct(V.v_cat(spark, sf).select("ord", "big", "small"), dense=True)
     return out.select("ord", "big_after", "small_after", "big_before", "small_before")
 
 
+@query(
+    "w9_running_distinct_by_time",
+    sql="""with e as (select event_type || '-' || user_id % 3 big, epoch_us(ts) * 1000 + event_id % 1000 ord, value > 50 small from events),
+    u as (select *, row_number() over (partition by ord order by big, small) c from e), f as (select *, case when row_number() over (partition by big order by ord) = 1 then 1 else 0 end nb,
+      case when row_number() over (partition by big, small order by ord) = 1 then 1 else 0 end ns from u where c = 1)
+    select ord, cast(sum(nb) over (order by ord) as bigint) big_after, cast(sum(ns) over (order by ord) as bigint) small_after from f""",
+)
+def _(spark, sf):
+    e = V.table(spark, sf, "events")
+    big = F.concat("event_type", F.lit("-"), (F.col("user_id") % 3).cast("string"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = e.select(big.alias("big"), (micros * 1000 + F.col("event_id") % 1000).alias("ord"), (F.col("value") > 50).alias("small"))
+    first = rows.groupBy("ord").agg(F.min(F.struct("big", "small")).alias("r")).select("r.*", "ord")
+    return W.running_distinct(first).select("ord", "big_after", "small_after")
+
+
 DELTAS = "select user_id doc, event_id ord, case when k % 3 = 0 then k % 5 else 0 end d_line, k d_char from (" + V.EVENTS + ")"
 
 
