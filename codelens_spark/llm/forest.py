@@ -2,7 +2,8 @@
 
 Equal vectors are first reduced to one. Every tree splits recursively: a random direction, the median of the vectors'
 projections as threshold, and vectors within the spill margin of it go down both sides, so near pairs are rarely
-parted. Thresholds come from a bounded sample, but every vector is routed through every tree. Vectors that share a
+parted. A branch ends early where most vectors lie within the projected threshold distance of every median that was
+tried: that is a dense group, which a cut would part again and again. Thresholds come from a bounded sample, but every vector is routed through every tree. Vectors that share a
 leaf are compared; pairs with enough cosine are links. A pair that meets in several leaves is counted in the first of
 them only (each vector carries its list of leaves), so no table of all pairs is ever made: a leaf gives counts per
 vector and a spanning forest of its links. Leaves with many vectors (a dense group cannot be split apart) are compared
@@ -26,6 +27,7 @@ COSINE = 0.95
 TREES = 12
 LEAF = 192  # sampled vectors stand for rows; a branch ends at about this many rows
 SPILL = 0.3  # of the distance two vectors at the threshold can have, projected
+DIRECTIONS = 8  # tried before a branch ends as dense
 SAMPLE = 20_000
 BLOCK = 1024
 SEED = 5
@@ -42,8 +44,8 @@ class Tree:
     leaf: np.ndarray
 
 
-def grow(sample: np.ndarray, leaf_rows: float, margin: float, rng: np.random.Generator, first_leaf: int) -> tuple[Tree, int]:
-    """One tree over a sample; a branch ends at `leaf_rows` sampled vectors or where the margin would keep most on both sides."""
+def grow(sample: np.ndarray, leaf_rows: float, margin: float, reach: float, rng: np.random.Generator, first_leaf: int) -> tuple[Tree, int]:
+    """One tree over a sample; a branch ends at `leaf_rows` sampled vectors or where most lie beside every median within `reach`."""
     direction, threshold, left, right, leaf = [], [], [], [], []
     todo = [(np.arange(len(sample)), -1, 0)]
     while todo:
@@ -51,12 +53,16 @@ def grow(sample: np.ndarray, leaf_rows: float, margin: float, rng: np.random.Gen
         k = len(leaf)
         if parent >= 0:
             (right if side else left)[parent] = k
-        v = rng.normal(size=sample.shape[1])
-        v /= np.linalg.norm(v)
-        x = sample[rows] @ v
-        cut = float(np.median(x)) if len(x) else 0.0
+        done = True
+        for _ in range(DIRECTIONS if len(rows) > leaf_rows else 1):
+            v = rng.normal(size=sample.shape[1])
+            v /= np.linalg.norm(v)
+            x = sample[rows] @ v
+            cut = float(np.median(x)) if len(x) else 0.0
+            if len(rows) > leaf_rows and max((x < cut + reach).sum(), (x >= cut - reach).sum()) <= 0.8 * len(rows):
+                done = False
+                break
         low, high = rows[x < cut + margin], rows[x >= cut - margin]
-        done = len(rows) <= leaf_rows or max(len(low), len(high)) > 0.8 * len(rows)
         direction.append(v)
         threshold.append(cut)
         left.append(-1)
@@ -109,21 +115,17 @@ def _route(forest: list[Tree], margin: float):
 def _leaf_links(pos: np.ndarray, vec: np.ndarray, copies: np.ndarray, leaves: list[np.ndarray], block: np.ndarray, leaf: int, crossed: bool, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links first met in this leaf: how many each vector has (copies counted), and a spanning forest of them."""
     count = np.zeros(len(pos), np.int64)
-    root = list(range(len(pos)))
+    root = np.arange(len(pos))
     forest = []
 
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
     # leaves before this one as bits, so that a pair's first meeting is found for all links at once
     earlier = sorted({int(x) for own in leaves for x in own[: np.searchsorted(own, leaf)]})
     bits = np.zeros((len(pos), max(1, -(-len(earlier) // 64))), np.uint64)
     for k, own in enumerate(leaves):
         at = np.searchsorted(earlier, own[: np.searchsorted(own, leaf)])
         np.bitwise_or.at(bits[k], at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
+    if np.bitwise_and.reduce(bits, axis=0).any():
+        return count, forest  # all of them met in an earlier leaf
     for at in range(0, len(pos), 512):
         near = vec[at: at + 512] @ vec.T >= cosine
         near &= block[at: at + 512, None] < block[None] if crossed else np.arange(at, min(at + 512, len(pos)))[:, None] < np.arange(len(pos))[None]
@@ -132,11 +134,13 @@ def _leaf_links(pos: np.ndarray, vec: np.ndarray, copies: np.ndarray, leaves: li
         new = ~(bits[a] & bits[b]).any(axis=1)
         a, b = a[new], b[new]
         count += np.bincount(a, copies[b], len(pos)).astype(np.int64) + np.bincount(b, copies[a], len(pos)).astype(np.int64)
-        for x, y in zip(a.tolist(), b.tolist()):
-            p, q = find(x), find(y)
-            if p != q:
-                root[p] = q
-                forest.append((int(pos[x]), int(pos[y])))
+        starts = np.flatnonzero(np.diff(a, prepend=-1))
+        for x, own in zip(a[starts].tolist(), np.split(b, starts[1:])):
+            roots, first = np.unique(root[own], return_index=True)
+            for q, y in zip(roots.tolist(), own[first].tolist()):
+                if q != root[x]:
+                    root[root == q] = root[x]
+                    forest.append((int(pos[x]), int(pos[y])))
     return count, forest
 
 
@@ -197,11 +201,12 @@ def near_duplicates(
     picked = drawn.orderBy("hash", "pos").select("vec").limit(2 * sample).toPandas()["vec"]
     points = np.stack(picked.to_list()) if len(picked) else np.zeros((0, width))
     apart = np.sqrt(2 - 2 * cosine)
-    margin = SPILL * apart / np.sqrt(width) * 0.5
+    reach = apart / np.sqrt(width)  # what two vectors at the threshold are apart on a random direction
+    margin = SPILL * reach * 0.5
     rng = np.random.default_rng(SEED)
     forest, leaves = [], 0
     for _ in range(trees):
-        tree, leaves = grow(points, max(8.0, LEAF * share), margin, rng, leaves)
+        tree, leaves = grow(points, max(8.0, LEAF * share), margin, reach, rng, leaves)
         forest.append(tree)
 
     routed = stage(distinct.select("pos", "vec", "copies").mapInArrow(_route(forest, margin), "pos long, vec array<double>, copies long, leaves array<int>"), "routed")

@@ -62,6 +62,22 @@ def test_embedding_links(spark, monkeypatch, block):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in out)
 
 
+@pytest.mark.parametrize("cosine", [0.96, 0.97, 0.98])
+def test_embedding_dense_group(spark, cosine):
+    """A third of all rows near each other, not equal."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(6000, 64))
+    centre = rng.normal(size=64)
+    v[:2000] = centre / np.linalg.norm(centre) + rng.normal(scale=np.sqrt((1 / cosine - 1) / 64), size=(2000, 64))
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    out = near_duplicates(table(spark, list(enumerate(v)), "double")).collect()
+    found = {r["vec_id"]: r["n_links"] for r in out}
+    assert all(found[i] <= n for i, n in enumerate(want.tolist()))
+    assert sum(found.values()) >= 0.97 * want.sum() > 1e6
+    assert {r["component_id"] for r in out if want[r["vec_id"]]} == {min(i for i in found if want[i])}
+
+
 def test_embedding_odd_tables(spark):
     assert near_duplicates(table(spark, [])).collect() == []
     assert [r["n_links"] for r in near_duplicates(table(spark, ODD)).collect()] == [0] * len(ODD)
