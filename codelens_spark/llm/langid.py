@@ -250,5 +250,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def accepted() -> Column:
-    """What the pipeline keeps of `identify`: texts with letters whose language is more likely than all others together."""
+    """What the pipeline keeps of `identify`: texts with letters whose best language has a mean probability of at least LEAST_SCORE."""
     return (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)

@@ -7,6 +7,8 @@ prefix sums of word counts say where each source's budget is cut. Budgets above
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,17 +63,17 @@ def source_targets(sources: DataFrame) -> DataFrame:
     return stepped.withColumn("target", F.coalesce(target, F.col("__limit").cast("double")).cast("double")).select("source", "rows", "source_size", "weight", "target")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row of `docs`: (id, source, size long, source_size long, target double, taken long).
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Sequence[str] = ()) -> DataFrame:
+    """Per row of `docs`: (id, source, size long, source_size long, target double, taken long), then the columns `carry`.
 
     A source's words are taken in whole epochs and, for the rest of its rounded-down target, in the order of the hash
     keys; the document at the cut is taken in part, so the words taken are the target to within one word. Null or
     blank texts have size 0 and are never taken. A null source is a source of its own, last in order. Ties of keys
-    (repeated ids) fall back to size and text hash. Null ids are kept. An empty table gives an empty table. Other
+    (repeated ids) fall back to size, text hash and the carried columns. Null ids are kept. An empty table gives an empty table. Other
     columns are not read.
     """
     rows = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("tie")
+        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("tie"), *carry
     )
     name = F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("id").cast("string"), F.lit("")))
     rows = rows.withColumn("key", F.conv(F.substring(F.md5(name), 1, KEY_BITS // 4), 16, 10).cast("long"))
@@ -83,7 +85,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     width = F.floor(F.lit(1 << KEY_BITS) / F.col("__ranges")).cast("long") + 1
     ranged = ranged.withColumn("__range", F.floor(F.col("key") / width).cast("long"))
 
-    order = ["key", "size", "tie"]
+    order = ["key", "size", "tie", *carry]
     inside = Window.partitionBy("source", "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before_ranges = Window.partitionBy("source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sums = ranged.groupBy("source", "__range").agg(F.sum("size").alias("__sum"))
@@ -96,7 +98,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.least(F.col("size"), F.greatest(rest - at, F.lit(0)))
-    return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.cast("long").alias("taken"), *carry)
 
 
 TARGET_SQL = f"""

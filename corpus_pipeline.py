@@ -12,28 +12,41 @@ from pyspark.sql import functions as F
 from codelens_spark.plans.stage import stage
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with a row number, written once so that it stays the same in every plan."""
+    return stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; texts that are null, have no letter or fit no learned language go."""
-    from codelens_spark.llm.langid import accepted, identify
+    """Documents whose language is recognised, row by row; texts that are null, have no letter or fit no learned language go."""
+    from codelens_spark.llm.langid import accepted, fit, identify
 
-    found = identify(docs).filter(accepted()).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_semi")
+    net = fit(docs)
+    if net is None:
+        return docs.filter(F.lit(False))
+    rows = _numbered(docs)
+    found = identify(rows, id_col="__row", net=net).filter(accepted()).select("__row")
+    return rows.join(found, "__row", "left_semi").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, its least doc_id, stays."""
+    """One row of each near-duplicate component stays: that of its least doc_id, null last."""
     from codelens_spark.llm.jaccard import ngram_jaccard_join
 
-    kept = ngram_jaccard_join(docs).filter("component_id = doc_id or doc_id is null").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    rows = _numbered(docs)
+    parts = ngram_jaccard_join(rows, id_col="__row").select(F.col("__row"), "component_id").join(rows.select("__row", "doc_id"), "__row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"]
+    kept = parts.groupBy("component_id").agg(first.alias("__row")).select("__row")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them; the one at a source's cut stays whole."""
+    """Rows as often as the mix of sources takes them; the one at a source's cut stays whole."""
     from codelens_spark.llm.mixing import mix_sources
 
-    taken = mix_sources(docs).filter("taken > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__times"))
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]))
+    rows = _numbered(docs)
+    taken = mix_sources(rows, carry=["__row"]).filter("taken > 0").select("__row", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    joined = rows.join(taken, "__row")
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
 
 

@@ -4,15 +4,17 @@ import hashlib
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from codelens_spark.llm import queries
 from codelens_spark.llm.bpe import read_ranks
 from codelens_spark.llm.jaccard import ngram_jaccard_join
-from codelens_spark.llm.langid import identify
+from codelens_spark.llm.langid import CLASSES, FILTERS, WIDTHS, Network, accepted, identify
 from codelens_spark.llm.mixing import mix_sources
 from tools.check import TABLES, rows
 
@@ -54,6 +56,36 @@ def test_stages_by_hand(spark, tmp_path):
     assert got == want and len(got) > 100
 
 
+def test_rows_decide_for_themselves(spark):
+    """Repeated and null ids: one row a component, each row's own language decision, each row's own share of the mix."""
+    a, b = (" ".join(f"{w}{i}" for i in range(40)) for w in ("alpha", "beta"))
+    rows = [(1, a), (1, a), (2, b), (2, "other words " + a), (None, a), (None, b), (None, "quite another text of its own here"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCS).repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept) == sorted((str(i), str(t)) for i, t in [rows[0], rows[2], rows[6], rows[7]])
+
+    said = small(spark).unionByName(spark.createDataFrame([(4, "123", "en", "s", None), (None, "the of and", "en", "s", None), (None, "7", "en", "s", None)], DOCS))
+    out = corpus_pipeline.language_id(spark, said, "").collect()
+    assert [r["text"] for r in out if r["doc_id"] is None] == ["the of and"] and "123" not in {r["text"] for r in out}
+    assert len([r for r in out if r["doc_id"] == 4]) == 1
+
+    mixed = spark.createDataFrame([(None, f"{'w ' * (i + 1)}{i}", "en", f"s{i % 3}", None) for i in range(60)], DOCS)
+    want = Counter()
+    for r in mix_sources(mixed.withColumn("n", F.col("text")), carry=["n"]).collect():
+        want[r["n"]] += -(-r["taken"] // r["size"])
+    got = Counter(r["text"] for r in corpus_pipeline.source_mix(spark, mixed, "").collect())
+    assert got == +want and len(got) < 60
+
+
+def test_rejected_lettered_text(spark):
+    flat = Network(["a", "b", "c", "d"], [np.zeros((w, CLASSES, FILTERS), np.float32) for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros((FILTERS * len(WIDTHS), 4), np.float32), np.zeros(4, np.float32))
+    docs = spark.createDataFrame([(1, "letters", "a", "s", None)], DOCS)
+    found = identify(docs, net=flat)
+    assert [(r["lang_pred"], r["score"]) for r in found.collect()] == [("a", 0.25)] and found.filter(accepted()).count() == 0
+    flat.offset[1] = 1.0
+    assert identify(docs, net=flat).filter(accepted()).count() == 1
+
+
 def test_empty_documents(spark):
     none = spark.createDataFrame([], DOCS)
     for _, apply in corpus_pipeline.STAGES:
