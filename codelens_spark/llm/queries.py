@@ -127,3 +127,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licences import scan_licences
 
     return scan_licences(table(spark, sf_dir, "documents"))
+
+
+@query("op11_pii_anchors")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: counts, digest of the base kinds, and all spans."""
+    from .personal import personal_digests
+
+    return personal_digests(table(spark, sf_dir, "documents"))
