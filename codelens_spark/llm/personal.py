@@ -219,7 +219,8 @@ def personal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Per row: (id, n_email, n_ip, n_card, n_phone, base_sha256, spans): counts and a digest of the base kinds, and all
     spans as text `kind:start:end` joined by commas; see personal_spans."""
     found = personal_spans(docs, id_col, text_col)
-    counts = [F.size(F.filter("spans", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in BASE]
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [of(kind) for kind in BASE]
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     return found.select(id_col, *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
