@@ -135,3 +135,49 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .personal import personal_digests
 
     return personal_digests(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+with t as (select d.row, d.doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from (select row_number() over () as row, * from documents) d),
+n as (select row, doc_id, count(*) as n from t group by all),
+tot as (select count(*) as docs, sum(n)::bigint as words from n),
+p as (select row, term, count(*) as tf from t group by all),
+w as (select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)))::bigint as w from p, tot group by term),
+q as (select i.row as item, i.item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from (select row_number() over () as row, * from (select distinct item_id, text from benchmark)) i),
+s as (select q.item, any_value(q.item_id) as item_id, n.row, any_value(n.doc_id) as doc_id,
+        sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (75 + (25 * n.n * tot.docs) // tot.words))))::bigint as score
+    from q join w using (term) join p using (term) join n on n.row = p.row, tot group by q.item, n.row),
+r as (select item_id, row_number() over (partition by item order by score desc, doc_id nulls last)::int as rank, doc_id, score from s where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 20
+"""
+
+
+@query("op13_lexical_search", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item among all documents."""
+    from .lexical import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+with v as (select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e
+    from embeddings where label is not null and embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.id as anchor_id, a.label = d.label as same, d.id, list_sum(list_transform(list_zip(a.e, d.e), lambda p: p[1] * p[2]))::bigint as score
+    from v a join v d on a.id <> d.id where a.id % 100 = 0),
+p as (select anchor_id, id, score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+n as (select p.anchor_id, p.id as positive_id, p.score as positive_score, s.id as negative_id, s.score as negative_score,
+        row_number() over (partition by p.anchor_id, p.id order by s.score desc, s.id)::int as rank
+    from p join s on p.anchor_id = s.anchor_id and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positives and hard negatives of every hundredth embedding."""
+    from .negatives import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings"))

@@ -63,9 +63,9 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def _word_hashes(b: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _word_hashes(b: np.ndarray, breaks: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of `b` and where each starts; no word crosses a position of `breaks`."""
-    word = ~_BLANK[b]
+    word = ~gap[b]
     first = word.copy()
     first[1:] &= ~word[:-1]
     last = word.copy()
@@ -103,12 +103,12 @@ def _pieces(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, i
             i = j
 
 
-def word_hashes(column: pa.Array) -> Iterator[np.ndarray]:
-    """For each text, in order, the hashes of its words."""
+def word_hashes(column: pa.Array, gap: np.ndarray = _BLANK) -> Iterator[np.ndarray]:
+    """For each text, in order, the hashes of its words. `gap` marks the bytes between words, white space among them."""
     data, at = text_buffers(column)
     pending: list[np.ndarray] = []
     for i, j, lo, hi in _pieces(data, at):
-        words, start = _word_hashes(data[lo:hi], at[i:j] - lo)
+        words, start = _word_hashes(data[lo:hi], at[i:j] - lo, gap)
         if at[i] < lo or hi < at[j]:  # part of one long text
             pending.append(words)
             if hi == at[j]:
