@@ -114,8 +114,8 @@ def _statistics(vocabulary: int, docs: int, words: int):
 class Block:
     """The items of one block by their places in the vocabulary, with weights: what every stage needs to know."""
 
-    def __init__(self, items: list, vocabulary: np.ndarray):
-        self.vocabulary = vocabulary
+    def __init__(self, items: list, vocabulary: np.ndarray, bundle: int):
+        self.vocabulary, self.bundle = vocabulary, bundle
         size = [len(i["terms"]) for i in items]
         self.item = np.repeat(np.arange(len(items)), size)
         self.term = np.searchsorted(vocabulary, np.concatenate([np.array(i["terms"], np.int64) for i in items]).view(np.uint64))
@@ -139,9 +139,9 @@ class Block:
 
     def bundles_of(self, terms: np.ndarray) -> list[np.ndarray]:
         """Per bundle which of the given terms its items have."""
-        held = [np.zeros(len(terms), bool) for _ in range(-(-self.items // BUNDLE))]
+        held = [np.zeros(len(terms), bool) for _ in range(-(-self.items // self.bundle))]
         for k, t in enumerate(terms.tolist()):
-            for b in np.unique(self.item[self.at[t]: self.at[t + 1]] // BUNDLE).tolist():
+            for b in np.unique(self.item[self.at[t]: self.at[t + 1]] // self.bundle).tolist():
                 held[b][k] = True
         return held
 
@@ -167,13 +167,13 @@ def _owned(block: Block, owner: int):
     return run
 
 
-def _add(block: Block, owner: int, docs: int, words: int, k: int):
+def _add(block: Block, owner: int, docs: int, words: int):
     """One stage: a bundle's accumulators of one slice and the owner's postings there -> the accumulators after it."""
 
     def run(carried: pa.Table, met: pa.Table) -> pa.Table:
         name = (met if met.num_rows else carried).slice(0, 1).to_pylist()[0]
-        bundle, first = name["bundle"], name["bundle"] * BUNDLE
-        items = min(BUNDLE, block.items - first)
+        bundle, first = name["bundle"], name["bundle"] * block.bundle
+        items = min(block.bundle, block.items - first)
         item, doc, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if carried.num_rows:
             had = carried.slice(0, 1).to_pylist()[0]
@@ -201,7 +201,7 @@ def _add(block: Block, owner: int, docs: int, words: int, k: int):
     return run
 
 
-def _floors(k: int):
+def _floors(k: int, size: int):
     """Accumulators -> per item the greatest k-th best sum of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,14 +213,14 @@ def _floors(k: int):
                 item, score = item[order].astype(np.int64), score[order]
                 start = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1]))) if len(item) else np.zeros(0, np.int64)
                 full = start[np.diff(np.append(start, len(item))) >= k]
-                for i, s in zip((item[full] + bundle * BUNDLE).tolist(), score[full + k - 1].tolist()):
+                for i, s in zip((item[full] + bundle * size).tolist(), score[full + k - 1].tolist()):
                     best[i] = max(best.get(i, 0), s)
         yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array(list(best.values()), pa.int64())], names=["item", "floor"])
 
     return run
 
 
-def _selected(k: int):
+def _selected(k: int, size: int):
     """A bundle's last accumulators and the ids of the slice's documents -> the k best of every item."""
 
     def run(carried: pa.Table, slices: pa.Table) -> pa.Table:
@@ -232,7 +232,7 @@ def _selected(k: int):
             order = np.lexsort((name, -score, item))
             place = np.arange(len(order)) - np.searchsorted(item[order], item[order])
             top = order[place < k]
-            for column, values in zip(out, (item[top].astype(np.int64) + row["bundle"] * BUNDLE, name[top], score[top])):
+            for column, values in zip(out, (item[top].astype(np.int64) + row["bundle"] * size, name[top], score[top])):
                 column.append(values)
         flat = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out]
         return pa.table(flat, names=["item", "doc", "score"])
@@ -254,11 +254,11 @@ def _search(block: Block, texts: DataFrame, k: int, owners: int) -> DataFrame |
     carried = postings.sparkSession.createDataFrame([], _CARRIED)
     for owner in range(owners):
         met = postings.drop("docs", "words").mapInArrow(_owned(block, owner), _MET)
-        carried = carried.groupBy("bundle", "slice").cogroup(met.groupBy("bundle", "slice")).applyInArrow(_add(block, owner, docs, words, k), _CARRIED)
+        carried = carried.groupBy("bundle", "slice").cogroup(met.groupBy("bundle", "slice")).applyInArrow(_add(block, owner, docs, words), _CARRIED)
         carried = stage(carried, "accumulators")
-        floors = carried.select("bundle", "item", "score").mapInArrow(_floors(k), "item long, floor long").groupBy("item").agg(F.max("floor").alias("floor")).toPandas()
+        floors = carried.select("bundle", "item", "score").mapInArrow(_floors(k, block.bundle), "item long, floor long").groupBy("item").agg(F.max("floor").alias("floor")).toPandas()
         block.floor[floors["item"]] = np.maximum(block.floor[floors["item"]], floors["floor"])
-    return carried.groupBy("slice").cogroup(postings.select("slice", "ids").groupBy("slice")).applyInArrow(_selected(k), "item long, doc long, score long")
+    return carried.groupBy("slice").cogroup(postings.select("slice", "ids").groupBy("slice")).applyInArrow(_selected(k, block.bundle), "item long, doc long, score long")
 
 
 def ranked_search(items: DataFrame, docs: DataFrame, k: int = K, owners: int = OWNERS, item_col: str = "item_id", id_col: str = "doc_id", text_col: str = "text", item_text_col: str = "text") -> DataFrame:
@@ -286,7 +286,7 @@ def ranked_search(items: DataFrame, docs: DataFrame, k: int = K, owners: int = O
     for (number,) in sorted(bags.select("block").distinct().collect()):
         rows = bags.filter(F.col("block") == number).orderBy("row").collect()
         vocabulary = np.unique(np.concatenate([np.array(r["terms"], np.int64) for r in rows]).view(np.uint64))
-        best = _search(Block(rows, vocabulary), texts, k, owners)
+        best = _search(Block(rows, vocabulary, BUNDLE), texts, k, owners)
         if best is None:
             break
         order = Window.partitionBy("item").orderBy(F.desc("score"), "doc")
