@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import estimated_tokens
-from ..plans.skew import limit_per_key
+from ..plans.budget import skip_greedy
+from ..plans.scan import number_rows, ranked_rows
+from ..plans.skew import attach, limit_per_key
+from ..plans.stage import stage
 
 QUERY_BLOCK = 512
 CORPUS_BLOCK = 16_384
@@ -91,55 +94,33 @@ def centroids(vectors: DataFrame, by: str, vec: str = "embedding") -> DataFrame:
 
 
 def prune_context(hits: DataFrame, max_tokens: int, share: float = 0.75, best_first: bool = True) -> DataFrame:
-    """Fit each query's few hits into its token budget: hits(query_id, source_tokens, vec_id, text, score, rn).
+    """Fit each query's hits into its token budget: hits(query_id, source_tokens, vec_id, text, score, rn).
 
-    Greedy in score order; an item that does not fit is skipped, but while nothing has been taken it is
-    halved until it fits. Returns the taken items in order. The input is a top-k result (`knn`), so the
-    array folded here has k entries.
+    Greedy in score order, then by rn and vec_id; an item that does not fit is skipped, but while nothing has been taken
+    it is halved until it fits. Returns the taken items in order with `pos`. A query may have any number of hits: places
+    and choices are made on sizes alone (`plans.budget`), and only the texts that are taken move.
     """
-    size = estimated_tokens(F.col("text"))
-    item = F.struct(
-        (F.col("score") * (-1 if best_first else 1)).alias("by"),
-        F.col("rn"),
-        F.col("vec_id"),
-        F.col("text"),
-        F.col("score"),
-        F.length("text").alias("len"),
-        size.alias("tokens"),
-    )
-    budget = F.lit(int(max_tokens * share)) - F.col("source_tokens")
-    grouped = hits.groupBy("query_id", budget.alias("budget")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-    def halved(i: Column) -> Column:
-        lens = F.transform(F.sequence(F.lit(1), F.lit(31)), lambda h: F.floor(i["len"] / F.pow(F.lit(2), h)).cast("int"))
-        return F.get(F.filter(lens, lambda n: F.floor(n / 4) <= F.col("budget")), F.lit(0))
-
-    def entry(i: Column, text: Column, tokens: Column, cut: bool) -> Column:
-        return F.array(
-            F.struct(
-                i["vec_id"].alias("vec_id"), text.alias("text"), i["score"].alias("score"), tokens.cast("long").alias("tokens"), F.lit(cut).alias("truncated")
-            )
-        )
-
-    def step(acc: Column, i: Column) -> Column:
-        fits = acc["used"] + i["tokens"] <= F.col("budget")
-        part = i["text"].substr(F.lit(1), halved(i))
-        part_tokens = F.floor(halved(i) / 4).cast("long")
-        first_cut = (F.size(acc["taken"]) == 0) & (halved(i) > 0)
-        return F.struct(
-            F.when(fits, acc["used"] + i["tokens"]).when(first_cut, acc["used"] + part_tokens).otherwise(acc["used"]).alias("used"),
-            F.when(fits, F.concat(acc["taken"], entry(i, i["text"], i["tokens"], False)))
-            .when(first_cut, F.concat(acc["taken"], entry(i, part, part_tokens, True)))
-            .otherwise(acc["taken"])
-            .alias("taken"),
-        )
-
-    empty = F.struct(
-        F.lit(0).cast("long").alias("used"),
-        F.array().cast("array<struct<vec_id:bigint,text:string,score:double,tokens:bigint,truncated:boolean>>").alias("taken"),
-    )
-    folded = grouped.filter("budget > 0").withColumn("taken", F.aggregate("items", empty, step)["taken"])
-    return folded.select("query_id", F.posexplode("taken").alias("pos", "t")).select("query_id", "pos", "t.*")
+    by = F.col("score") * (-1 if best_first else 1)
+    room = F.lit(int(max_tokens * share)) - F.col("source_tokens")
+    slim = hits.select("query_id", "rn", "vec_id", "score", F.length("text").alias("len"), estimated_tokens(F.col("text")).cast("long").alias("tokens"), room.cast("long").alias("room"))
+    placed = stage(ranked_rows(slim.filter("room > 0 and len is not null"), [by, "rn", "vec_id"], "place", ["query_id"]), "hits")
+
+    # whatever comes first is taken, whole or halved until it fits; what is left is a plain choice of what fits
+    halves = F.transform(F.sequence(F.lit(1), F.lit(31)), lambda h: F.floor(F.col("len") / F.pow(F.lit(2), h)).cast("int"))
+    halved = F.get(F.filter(halves, lambda n: F.floor(n / 4) <= F.col("room")), F.lit(0))
+    cut = F.col("tokens") > F.col("room")
+    first = placed.filter("place = 1").withColumns({"cut": cut, "kept": F.when(cut, halved).otherwise(F.col("len"))})
+    first = first.withColumn("tokens", F.when(F.col("cut"), F.floor(F.col("kept") / 4)).otherwise(F.col("tokens")).cast("long"))
+    left = first.select("query_id", (F.col("room") - F.col("tokens")).alias("room"))
+    rest = attach(placed.filter("place > 1").drop("room"), left, ["query_id"], how="inner")
+    more = attach(rest, skip_greedy(rest, ["query_id"], "place", "tokens", "room").withColumn("fits", F.lit(True)), ["query_id", "place"], how="inner", salts=1)
+    more = more.select("query_id", "place", "rn", "vec_id", "tokens", F.lit(False).alias("cut"), F.col("len").alias("kept"))
+    taken = stage(first.select(*more.columns).unionByName(more), "taken")
+
+    texts = hits.join(taken.select("query_id", "rn", "vec_id").distinct(), ["query_id", "rn", "vec_id"], "left_semi").dropDuplicates(["query_id", "rn", "vec_id"])
+    joined = number_rows(taken, ["query_id"], "place", "pos", start=0).join(texts.select("query_id", "rn", "vec_id", "text", "score"), ["query_id", "rn", "vec_id"])
+    text = F.when(F.col("cut"), F.col("text").substr(F.lit(1), F.col("kept"))).otherwise(F.col("text"))
+    return joined.select("query_id", "pos", "vec_id", text.alias("text"), "score", "tokens", F.col("cut").alias("truncated"))
 
 
 def apply_embedder(docs: DataFrame, text: str, embedder, out: str = "embedding") -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scan import ranked_rows
 from ..plans.skew import first_per_key, limit_per_key
 from .predicates import is_test_path
 
@@ -45,8 +46,8 @@ def rank_conditions(df: DataFrame, keys: Sequence[str] = ("fn",)) -> DataFrame:
 
 
 def _ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """A rank inside each key. The keys here (a symbol, a directory, a function) have few rows."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    """A rank inside each key, whatever the number of rows of one key (a folder, a symbol)."""
+    return ranked_rows(df, order, "rank", keys).withColumn("rank", F.col("rank").cast("int"))
 
 
 def min_path(paths: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..plans.scan import Run, number_rows, ranked_rows, running
 from ..plans.skew import attach, first_per_key, limit_per_key
+from ..plans.stage import stage
 
 
 def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -81,17 +82,15 @@ def gap_marks(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def take_prefix_budget(df: DataFrame, keys: Sequence[str], order: Sequence[Column], size: str, budget: int) -> DataFrame:
     """Ordered items while their running size stays within the budget; -1 takes everything.
 
-    A null or negative size counts as 0. Of the items with a size no more than `budget` can be taken, so only
-    that many of a key go on to the ordered scan, beside the items that cost nothing.
+    A null or negative size counts as 0. Items get their places inside the key by one range sort, and the sizes are
+    summed block by block, so neither costly nor free items of a key meet in one task.
     """
     if budget == -1:
         return df.withColumn("running_size", F.lit(None).cast("long"))
     keys = list(keys)
-    costs = df.withColumn("__cost", F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)))
-    few = limit_per_key(costs.filter("__cost > 0"), keys, order, int(budget) + 1, rank="__rn").drop("__rn")
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    taken = few.unionByName(costs.filter("__cost = 0")).withColumn("running_size", F.sum("__cost").over(w))
-    return taken.filter(F.col("running_size") <= budget).drop("__cost")
+    placed = stage(ranked_rows(df, order, "__place", keys), "placed")
+    cost = F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long")
+    return running(placed, keys, "__place", [Run("running_size", "sum", cost)]).filter(F.col("running_size") <= budget).drop("__place")
 
 
 def section(lines: DataFrame, keys: Sequence[str], start: Column, end: Column, first_only: bool = False) -> DataFrame:

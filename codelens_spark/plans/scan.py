@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import attach
 from .stage import stage
 
 BLOCK = 1 << 16
@@ -121,16 +122,19 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: str, name: str, start
     return running(df, keys, order, [seen], levels=levels).withColumn(name, F.col(name) + F.lit(start - 1))
 
 
-def ranked_rows(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
-    """Place of each row in a total order, from 1, without one window over all rows.
+def ranked_rows(df: DataFrame, order: Sequence[Column | str], name: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Place of each row in a total order, from 1, in the whole table or inside its key, without a window over all rows.
 
-    Rows are range-sorted once and written with their range; a row's place is its place inside the range plus the
-    sizes of the ranges before, of which there is one row per range.
+    Rows are range-sorted once, by key and order, and written with their range, so a key with a large share of all rows
+    lies in many ranges. A row's place is its place among its key's rows in the range plus the numbers of these in the
+    ranges before, of which there is one row per range and key.
     """
+    keys = list(keys)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stage(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranged")
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("__part").agg(F.count("*").alias("__rows")).select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    placed = ranged.withColumn("__inside", inside).join(offsets, "__part")
+    ranged = stage(df.repartitionByRange(parts, *keys, *order).withColumn("__part", F.spark_partition_id()), "ranged")
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(*keys, "__part").agg(F.count("*").alias("__rows"))
+    offsets = counts.select(*keys, "__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part", *keys).orderBy(*order))
+    placed = attach(ranged.withColumn("__inside", inside), offsets, [*keys, "__part"], how="inner", salts=1)
     return placed.select(*df.columns, (F.col("__inside") + F.col("__before")).alias(name))
