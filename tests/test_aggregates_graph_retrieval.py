@@ -216,7 +216,7 @@ def test_line_feeds_are_white_space(spark, rows):
 
 
 def test_numbers_as_ordered_text(spark):
-    got = [r.t for r in spark.range(0, 200_000, 997).select(G.ordered_number(F.col("id")).alias("t")).collect()]
+    got = [r.t for r in spark.range(0, 200_000, 997).select(F.expr(G.ordered_number("id")).alias("t")).collect()]
     assert got == sorted(got)
 
 
