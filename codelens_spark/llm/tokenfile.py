@@ -5,7 +5,7 @@ A file holds the ids of consecutive documents in ascending id order. Layout:
     frame ... frame | index frame | seek table (a skippable frame)
 
 Every document starts a new frame; documents of more than FRAME_IDS ids go on in further frames. The index frame holds
-one record per document: id (int64), number of ids (int64), number of its first frame (int64). The seek table is that of
+one record per document: id (int64), number of ids (int64), number of its first frame (int64; -1 - number if the id is null). The seek table is that of
 the public seekable format: per frame compressed size, decompressed size and checksum (the low 32 bits of xxHash64 of
 the decompressed bytes), each 32 bits, then the number of frames, a descriptor byte and a magic number. A reader takes
 the tail, the index frame and the frames of the documents it wants, and decompresses nothing else.
@@ -15,6 +15,8 @@ Ids are little-endian unsigned 16-bit integers if the vocabulary has at most 65,
 from __future__ import annotations
 
 import functools
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -37,7 +39,7 @@ VOCABULARY = "word_bpe_49k.json"
 END = 1
 FRAME_IDS = 1 << 20
 LEVEL = 3
-CACHE = 300_000
+CACHE = 800_000  # words
 FILE_BYTES = 64 << 20  # text per file
 # fixed values of the public seekable format
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -68,8 +70,9 @@ class Writer:
         self.out.write(packed)
         self.frames.append((len(packed), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, len(ids), len(self.frames)))
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        first = len(self.frames)
+        self.docs.append((doc_id or 0, len(ids), first if doc_id is not None else -1 - first))
         for at in range(0, len(ids), FRAME_IDS):
             self._frame(ids[at: at + FRAME_IDS].astype(self.kind).tobytes())
 
@@ -96,7 +99,9 @@ class Reader:
         index = self.frames(count - 1, count)
         width, docs = np.frombuffer(index[:16], "<i8")
         self.kind = np.dtype("<u2" if width == 2 else "<u4")
-        self.docs = np.frombuffer(index[16:], _DOC, int(docs))
+        self.docs = np.frombuffer(index[16:], _DOC, int(docs)).copy()
+        self.nameless = self.docs["frame"] < 0
+        self.docs["frame"][self.nameless] = -1 - self.docs["frame"][self.nameless]
 
     def _at(self, start: int, size: int) -> bytes:
         self.file.seek(start)
@@ -127,31 +132,84 @@ class Reader:
         self.file.close()
 
 
+def _byte_letters() -> str:
+    """The letter that stands for each byte: printable bytes for themselves, the others for code points from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return "".join(chr(b) if b in plain else chr(next(others)) for b in range(256))
+
+
+# fixed values: the vocabulary file's own split pattern, for lower-case ASCII and Latin-1 letters
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]*\Z")
+_LETTERS = _byte_letters()
+
+
 class WordEncoder:
     """The tokenizer, with a bounded cache over words.
 
     Its normalisation and splitting never join anything across ASCII white space, so words between such blanks are
-    encoded on their own and the ids strung together."""
+    encoded on their own and the ids strung together. Words of printable ASCII and Latin-1 letters are in normal form;
+    they are put in lower case, split by the file's pattern, and their pieces go straight to its merge model. Other
+    words, and those that hold the text of a special token, go through the whole tokenizer. The cache has two
+    generations: when the younger is full it becomes the older, so frequent words stay.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tool.model
+        self.special = [t.content.encode() for t in self.tool.get_added_tokens_decoder().values()]
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.half = max(1, cache // 2)
         self.width = 2 if self.tool.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
+        # the direct way is right for files of this kind only
+        self.direct = self._follows_pattern(path)
+
+    def _follows_pattern(self, path: str) -> bool:
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        split = {"Split": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+        normal = [n.get("type") for n in (said.get("normalizer") or {}).get("normalizers", [])]
+        steps = (said.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        return (
+            normal == ["NFC", "Replace", "Lowercase"]
+            and [t.get("type") for t in steps] == ["Split", "ByteLevel"]
+            and steps[0]["pattern"].get("Regex") == split["Split"]
+            and not steps[1].get("use_regex") and not steps[1].get("add_prefix_space")
+        )
+
+    def _word(self, word: bytes) -> bytes:
+        if self.direct and word.isalpha():  # for bytes: ASCII letters alone
+            return self._pack([token.id for token in self.model.tokenize(word.lower().decode())])
+        text = word.decode()
+        if not self.direct or not _SIMPLE.match(text) or any(s in word for s in self.special):
+            return self._pack(self.tool.encode(text, add_special_tokens=False).ids)
+        ids = []
+        for piece in _PIECES.findall(text.lower()):
+            if not piece.isascii():
+                piece = "".join([_LETTERS[b] for b in piece.encode()])
+            ids += [token.id for token in self.model.tokenize(piece)]
+        return self._pack(ids)
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def __call__(self, text: bytes) -> np.ndarray:
         words = text.split()  # for bytes: blank, \t, \n, \v, \f, \r
-        out = list(map(self.known.get, words))
+        out = list(map(self.young.get, words))
         if None in out:
-            new = list({w for w, k in zip(words, out) if k is None})
-            found = self.tool.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            made = {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(new, found)}
-            if len(self.known) < CACHE:
-                self.known.update(made)
-            out = [made[w] if k is None else k for w, k in zip(words, out)]
+            for k in [k for k, found in enumerate(out) if found is None]:
+                word = words[k]
+                found = self.young.get(word) or self.old.get(word)
+                if found is None:
+                    found = self._word(word)
+                if len(self.young) >= self.half:
+                    self.young, self.old = {}, self.young
+                self.young[word] = out[k] = found
         return np.frombuffer(b"".join(out), self.kind)
 
 
@@ -187,17 +245,17 @@ def write_tokens(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
 
     The list has (file, part, first_id, docs, n_ids), one row per file, in the order of part; only files that it
     names belong to the result, so files of failed attempts are ignored. Null texts are empty (the end id alone).
-    Rows with a null id are left out, for they have no place in the order; repeated ids stand side by side, ordered by
-    text. An empty table writes no file. `folder` must be reachable by all executors (default: the checkpoint folder).
+    Rows with a null id come last; repeated ids stand side by side, ordered by text. An empty table writes no file. `folder` must be reachable by all executors (default: the checkpoint folder).
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
     where, name = open_fs(folder)
     where.create_dir(name, recursive=True)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
-    ordered = rows.repartitionByRange(files, "id", F.xxhash64("text")).sortWithinPartitions("id", "text")
+    by = F.col("id").asc_nulls_last()
+    ordered = rows.repartitionByRange(files, by, F.xxhash64("text")).sortWithinPartitions(by, "text")
     ordered = ordered.select(F.spark_partition_id().alias("part"), "id", "text")
     return stage(ordered.mapInArrow(_write_part(folder, path, end), "file string, first_id long, docs long, n_ids long, part int"), "token-files")
 
@@ -230,7 +288,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     n_ids = part["ids"].astype(np.int64)
                     starts = start + np.cumsum(n_ids) - n_ids
                     start += int(n_ids.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array(part["id"].astype(np.int64)), pa.array(starts), pa.array(n_ids), pa.array(sums, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
+                    names = pa.array(part["id"].astype(np.int64), mask=reader.nameless[lo: lo + len(part)])
+                    yield pa.RecordBatch.from_arrays([names, pa.array(starts), pa.array(n_ids), pa.array(sums, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_digests(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -252,7 +311,7 @@ def read_documents(spark: SparkSession, files: DataFrame, ids: Sequence[int], id
         for batch in batches:
             for file in batch.column("file").to_pylist():
                 with Reader(file) as reader:
-                    for n in np.flatnonzero(np.isin(reader.docs["id"], wanted)).tolist():
+                    for n in np.flatnonzero(np.isin(reader.docs["id"], wanted) & ~reader.nameless).tolist():
                         tokens = pa.array([reader.document(n).astype(np.int32)], pa.list_(pa.int32()))
                         yield pa.RecordBatch.from_arrays([pa.array([int(reader.docs["id"][n])], pa.int64()), tokens], names=["id", "ids"])
 

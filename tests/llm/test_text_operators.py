@@ -16,7 +16,7 @@ from codelens_spark.llm.langid import accepted, identify
 from codelens_spark.llm.licences import TEMPLATES, scan_licences
 from codelens_spark.llm.mixing import mix_sources
 from codelens_spark.llm.sharding import shard_by_bytes
-from codelens_spark.llm.tokenfile import Reader, Writer, read_documents, token_digests, write_tokens
+from codelens_spark.llm.tokenfile import WordEncoder, Reader, Writer, read_documents, token_digests, write_tokens
 
 ODD = [None, "", "  a  b\n\n c's 'll ÄÖ 日本語 🙂🙂 ﷽ \t\t x  ", "<|endoftext|>", "　 x", "aaaa" * 40, "é́\x00\x01", "one two", "one two", "ΑΣ Σ x"]
 
@@ -169,9 +169,8 @@ def test_byte_bpe_pieces(monkeypatch, tik):
 
 
 def test_token_files(spark, documents):
-    texts = [*ODD, "the quick brown fox " * 60_000]
+    texts = [*ODD, "the quick brown fox " * 60_000, "a <|endoftext|> b<|startoftext|>c <|EndOfText|>"]
     tool = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tool.encode_special_tokens = True
     want = [tool.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
     out = sorted(token_digests(documents(text_rows(texts)).repartition(4)).collect())
     start = 0
@@ -182,8 +181,20 @@ def test_token_files(spark, documents):
     some = {r["doc_id"]: list(r["ids"]) for r in read_documents(spark, files, [3, 6, 99]).collect()}
     assert some == {3: want[3], 6: want[6]}
     assert token_digests(documents([])).collect() == []
-    twice = token_digests(documents([(1, "b"), (1, "a"), (None, "c")])).collect()
-    assert len(twice) == 2
+    # null ids come last, repeated ids by text
+    twice = token_digests(documents([(1, "b"), (None, "c c"), (1, "a"), (-4, "d"), (None, None)])).collect()
+    assert sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in twice) == [(0, -4, 2), (2, 1, 2), (4, 1, 2), (6, None, 1), (7, None, 3)]
+
+
+def test_words_are_encoded_like_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tool, encode = Tokenizer.from_file(path), WordEncoder(path, cache=40)
+    assert encode.direct
+    odd = ["don't WE'LL i'M 'S''re", "ÀÖØÞß ÿ×÷ Straße İstanbul ΣΑΣ cafe\u0301", "x\x1cy a\x85b a\u00a0b \u2028c", "ﬁ ² ½ ª µ º 中文 🙂👍🏽", "a_b-c--d...'ll 12'34", "\x7f\x00a \x1f", "<|endoftext|>x<|startoftext|>"]
+    rng = np.random.default_rng(6)
+    letters = np.array([*map(chr, range(1, 0x180)), *"'stre", "'ll", " ", "\u0301", "<|endoftext|>", "中"])
+    for text in odd + ["".join(rng.choice(letters, rng.integers(0, 14))) for _ in range(4000)]:
+        assert encode(text.encode()).tolist() == tool.encode(text, add_special_tokens=False).ids, text
 
 
 def test_seekable_file(tmp_path, monkeypatch):
