@@ -245,7 +245,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
 
     The list has (file, part, first_id, docs, n_ids), one row per file, in the order of part; only files that it
     names belong to the result, so files of failed attempts are ignored. Null texts are empty (the end id alone).
-    Rows with a null id come last; repeated ids stand side by side, ordered by text. An empty table writes no file. `folder` must be reachable by all executors (default: the checkpoint folder).
+    Rows with a null id come last; repeated ids stand side by side, ordered by a hash of their text. An empty table writes no file. `folder` must be reachable by all executors (default: the checkpoint folder).
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
@@ -255,7 +255,8 @@ def write_tokens(docs: DataFrame, folder: str | None = None, id_col: str = "doc_
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     by = F.col("id").asc_nulls_last()
-    ordered = rows.repartitionByRange(files, by, F.xxhash64("text")).sortWithinPartitions(by, "text")
+    order = [by, F.xxhash64("text"), F.col("text")]
+    ordered = rows.repartitionByRange(files, *order[:2]).sortWithinPartitions(*order)
     ordered = ordered.select(F.spark_partition_id().alias("part"), "id", "text")
     return stage(ordered.mapInArrow(_write_part(folder, path, end), "file string, first_id long, docs long, n_ids long, part int"), "token-files")
 

