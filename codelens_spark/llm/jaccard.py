@@ -12,11 +12,12 @@ Those words are the join keys; a text goes into its own band and, if a partner c
 Candidates are verified on their exact shingle sets.
 
 Copies and groups: inside a batch copies of one set and repeated keys are reduced to one row before anything is
-shuffled. A key links its members only to the key's least member (linear, not all pairs). Members of a key that are still
-apart after these links are verified are compared by a second parity sketch of up to 4096 one-bit cells, whose Hamming
-distance also bounds |A xor B| from below; first only a spanning forest of the pairs that pass is verified, then
-whatever pair still passes between different components. So every pair that shares a key is verified, refuted by the
-bound, or already connected. Keys with many members are compared block by block in separate groups.
+shuffled, and equal sets are then linked to the least text that has them. A key links its members only to the key's least
+member (linear, not all pairs). Members of a key that are still apart after these links are verified are compared by a
+second parity sketch of one-bit cells, whose Hamming distance also bounds |A xor B| from below. That goes in rounds: each
+verifies the nearest pairs of every component that pass the bound, a few in the first round and eight times as many in
+each further one, until a round leaves no pair out. So every pair that shares a key is verified, refuted by the bound, or
+already connected. Keys with many members are compared block by block in separate groups.
 """
 
 from __future__ import annotations
@@ -118,8 +119,11 @@ def frequent_shingles(texts: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def _width(n: np.ndarray) -> np.ndarray:
-    """Bytes of the one-bit-cell sketch of a set of size n: a power of two from 8 to 512."""
-    return 1 << np.clip(np.frexp(np.maximum(n, 1).astype(float))[1] - 1, 3, 9)
+    """Bytes of the one-bit-cell sketch of a set of size n: a power of two, 8 to 512, but never fewer cells than n.
+
+    Two sets that may be similar have the same width, or one has twice the other's."""
+    power = np.frexp(np.maximum(n, 1).astype(float))[1] - 1
+    return 1 << np.maximum(np.clip(power, 3, 9), power - 2)
 
 
 def _cells(sets: list[np.ndarray], n: np.ndarray) -> np.ndarray:
@@ -242,74 +246,137 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def _passing(sketch: np.ndarray, n: np.ndarray, component: np.ndarray, side: np.ndarray, crossed: bool, forest: bool) -> list[tuple[int, int]]:
-    """Pairs of one group in different components whose size ratio and Hamming distance allow a link.
-
-    `crossed`: only pairs with one member on each side. `forest`: only as many as join the components, nearest first."""
-    found = []
-    for at in range(0, len(n), 256):
-        rows = slice(at, at + 256)
-        other = component[rows, None] != component[None]
-        other &= (5 * n[rows, None] >= 4 * n[None]) & (5 * n[None] >= 4 * n[rows, None])
-        other &= side[rows, None] < side[None] if crossed else np.arange(len(n))[rows, None] < np.arange(len(n))[None]
-        a, b = np.nonzero(other)
-        for cut in range(0, len(a), 1 << 16):
-            x, y = a[cut: cut + (1 << 16)] + at, b[cut: cut + (1 << 16)]
-            distance = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
+class _Sketches:
+    """Sketches of the rows of a batch by width, with a version folded to half of it for partners of that width."""
+
+    def __init__(self, column: pa.Array):
+        data, offsets = text_buffers(column)
+        self.width = np.diff(offsets)
+        self.row = np.zeros(len(column), np.int64)
+        self.whole: dict[int, np.ndarray] = {}
+        self.half: dict[int, np.ndarray] = {}
+        for width in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == width)
+            self.row[own] = np.arange(len(own))
+            bits = np.empty((len(own), width), np.uint8)
+            for cut in range(0, len(own), 256):
+                bits[cut: cut + 256] = data[offsets[own[cut: cut + 256]][:, None] + np.arange(width)[None]]
+            bits = bits.view(np.uint64)
+            self.whole[width] = bits
+            if width > 8:
+                self.half[width] = bits[:, : width // 16] ^ bits[:, width // 16:]
+
+    def distances(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Hamming distances of the pairs (x, y), at the smaller width of the two."""
+        out = np.zeros(len(x), np.int64)
+        for width in self.whole:
+            for a, b in ((x, y), (y, x)):
+                same = (self.width[a] == width) & (self.width[b] == width)
+                for pairs, bits in ((same if a is x else same[:0], self.whole), ((self.width[a] == width) & (self.width[b] * 2 == width), self.half)):
+                    at = np.flatnonzero(pairs)
+                    step = max(1, PAIR_BYTES // width)
+                    for cut in range(0, len(at), step):
+                        k = at[cut: cut + step]
+                        other = self.whole[width][self.row[b[k]]] if bits is self.whole else self.whole[width // 2][self.row[b[k]]]
+                        out[k] = np.bitwise_count(bits[width][self.row[a[k]]] ^ other).sum(axis=1, dtype=np.int64)
+        return out
+
+
+class _Nearest:
+    """The nearest `most` pairs of every component, collected in bounded memory; `left` if any had more."""
+
+    def __init__(self, most: int):
+        self.most, self.left, self.size, self.room = most, False, 0, PAIRS
+        self.held: list[np.ndarray] = []
+
+    def add(self, distance: np.ndarray, component: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        self.held.append(np.stack((component, distance, np.minimum(a, b), np.maximum(a, b))))
+        self.size += len(a)
+        if self.size > self.room:
+            self._reduce()
+
+    def take(self) -> Iterator[pa.RecordBatch]:
+        """What is held, which is then forgotten."""
+        self._reduce()
+        rows, self.held, self.size, self.room = self.held[0], [], 0, PAIRS
+        for at in range(0, rows.shape[1], 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(rows[2, at: at + (1 << 16)]), pa.array(rows[3, at: at + (1 << 16)])], names=["a", "b"])
+
+    def _reduce(self) -> None:
+        rows = np.concatenate(self.held, axis=1) if self.held else np.zeros((4, 0), np.int64)
+        order = np.lexsort((rows[3], rows[2], rows[1], rows[0]))
+        rows = rows[:, order]
+        fresh = np.ones(rows.shape[1], bool)
+        fresh[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
+        rows = rows[:, fresh]
+        start = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1]))) if rows.shape[1] else np.zeros(0, np.int64)
+        place = np.arange(rows.shape[1]) - np.repeat(start, np.diff(np.append(start, rows.shape[1])))
+        self.left |= bool((place >= self.most).any())
+        rows = rows[:, place < self.most]
+        self.held, self.size = [rows], rows.shape[1]
+        self.room = max(PAIRS, 2 * self.size)
+
+
+SMALL = 64  # groups up to this size are paired together
+PAIRS = 1 << 18
+PAIR_BYTES = 4 << 20
+
+
+def _pairs(ends: np.ndarray, starts: np.ndarray, side: np.ndarray, crossed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs inside the groups, small groups together, large ones row by row.
+
+    In a crossed group only pairs with one member on each side count."""
+    size = ends - starts
+    place = np.arange(len(side))
+    until = np.repeat(np.where(size <= SMALL, ends, starts), size)  # large groups have no small pairs
+    for gap in range(1, min(SMALL, int(size.max(initial=0)))):
+        x = place[until - place > gap]
+        yield x, x + gap
+    for start, end in zip(starts[size > SMALL].tolist(), ends[size > SMALL].tolist()):
+        for at in range(start, end, 64):
+            x = np.repeat(np.arange(at, min(end, at + 64)), end - start)
+            y = np.tile(np.arange(start, end), min(end, at + 64) - at)
+            keep = side[x] < side[y] if crossed[start] else x < y
+            yield x[keep], y[keep]
+
+
+def _compare(most: int):
+    """Rows sorted by (key, i, j) -> passing pairs (a, b) between components; a row of nulls if any were left out."""
+
+    def whole_groups(rows: pa.RecordBatch, marks: np.ndarray, best: _Nearest) -> Iterator[pa.RecordBatch]:
+        doc, component, n, side = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc", "component", "n", "block"))
+        starts = np.flatnonzero(np.concatenate(([True], (marks[:, 1:] != marks[:, :-1]).any(axis=0))))
+        ends = np.append(starts[1:], rows.num_rows)
+        crossed = marks[1] != marks[2]
+        sketches = _Sketches(rows.column("bits"))
+        for x, y in _pairs(ends, starts, side, crossed):
+            near = (component[x] != component[y]) & (5 * n[x] >= 4 * n[y]) & (5 * n[y] >= 4 * n[x]) & (~crossed[x] | (side[x] != side[y]))
+            x, y = x[near], y[near]
+            distance = sketches.distances(x, y)
             near = 9 * distance <= n[x] + n[y]
-            found.append(np.stack((distance[near], x[near], y[near])))
-    if not found:
-        return []
-    distance, x, y = np.concatenate(found, axis=1)
-    if not forest:
-        return list(zip(x.tolist(), y.tolist()))
-    root = {c: c for c in component.tolist()}
-
-    def find(c: int) -> int:
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
-
-    out = []
-    for k in np.argsort(distance, kind="stable").tolist():
-        p, q = find(int(component[x[k]])), find(int(component[y[k]]))
-        if p != q:
-            root[p] = q
-            out.append((int(x[k]), int(y[k])))
-    return out
-
-
-def _compare(forest: bool):
-    """Rows sorted by (key, i, j): the passing pairs of every group, each once per batch."""
-
-    def group(rows: pa.RecordBatch) -> set[tuple[int, int]]:
-        doc, component, n, side = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "component", "n", "block"))
-        raw = [np.frombuffer(v, np.uint64) for v in rows.column("bits").to_pylist()]
-        width = min(map(len, raw))
-        sketch = np.stack([np.bitwise_xor.reduce(v.reshape(-1, width), axis=0) for v in raw])  # a sketch folds onto half its size
-        crossed = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
-        return {tuple(sorted((int(doc[x]), int(doc[y])))) for x, y in _passing(sketch, n, component, side, crossed, forest)}
+            x, y = x[near], y[near]
+            best.add(distance[near], component[x], doc[x], doc[y])
+            if best.room > PAIRS:  # more than memory should hold
+                yield from best.take()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        best = _Nearest(most)
+        held: list[pa.RecordBatch] = []
         for batch in _and_end(batches):
-            if batch is not None:
-                held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            if held is None or not held.num_rows:
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+            if not held:
                 continue
-            table = held.combine_chunks().to_batches()[0]
-            marks = np.stack([table.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j")])
-            starts = np.flatnonzero(np.concatenate(([True], (marks[:, 1:] != marks[:, :-1]).any(axis=0))))
-            ends = np.append(starts[1:], table.num_rows)
-            whole = len(starts) if batch is None else len(starts) - 1  # the last group may go on in the next batch
-            pairs: set[tuple[int, int]] = set()
-            for a, b in zip(starts[:whole].tolist(), ends[:whole].tolist()):
-                if b - a > 1:
-                    pairs |= group(table.slice(a, b - a))
-            held = None if batch is None else pa.Table.from_batches([table.slice(int(starts[-1]))])
-            flat = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["a", "b"])
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+            marks = np.stack([rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "i", "j")])
+            last = 0 if (marks == marks[:, -1:]).all() else int(np.flatnonzero((marks != marks[:, -1:]).any(axis=0))[-1]) + 1
+            cut = rows.num_rows if batch is None else last  # the last group may go on in the next batch
+            if cut:
+                yield from whole_groups(rows.slice(0, cut), marks[:, :cut], best)
+            held = [rows.slice(cut)] if cut < rows.num_rows else []
+        yield from best.take()
+        if best.left:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -319,10 +386,13 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
     yield None
 
 
-def _apart(members: DataFrame, joined: DataFrame, facts: DataFrame, forest: bool) -> DataFrame:
-    """Pairs (a, b) that share a key, lie in different components and may be similar by their sketches."""
-    placed = members.select("key", "doc").join(joined.withColumnRenamed("node", "doc"), "doc", "left")
-    placed = placed.select("key", "doc", F.coalesce("component", "doc").alias("component")).distinct()
+def _apart(members: DataFrame, joined: DataFrame, facts: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b) that share a key, lie in different components and may be similar by their sketches: the nearest
+    `most` of every component and task, and a row of nulls where there are more.
+
+    joined(doc, component, same): equal sets are compared once, by the least text that has them."""
+    placed = members.select("key", "doc").join(joined, "doc", "left")
+    placed = placed.select("key", F.coalesce("same", "doc").alias("doc"), F.coalesce("component", "doc").alias("component")).distinct()
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
     split = split.filter("lo < hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     rows = placed.join(split, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
@@ -331,7 +401,7 @@ def _apart(members: DataFrame, joined: DataFrame, facts: DataFrame, forest: bool
     ids = staged_small(rows.select("doc").distinct(), "ids", BROADCAST_IDS)
     rows = rows.join(facts.join(ids, "doc", "left_semi"), "doc")
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.select("key", "i", "j", "block", "doc", "component", "n", "bits").mapInArrow(_compare(forest), "a long, b long").distinct()
+    return dealt.select("key", "i", "j", "block", "doc", "component", "n", "bits").mapInArrow(_compare(most), "a long, b long")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,13 +423,18 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return overlap.filter(F.col("both") * 100 >= PERCENT * (F.col("na") + F.col("nb") - F.col("both")))
 
 
+def _placed(links: DataFrame, same: DataFrame) -> DataFrame:
+    """(doc, component, same): the component of every linked text and, where other texts have its set, the least of them."""
+    return stage(components(links).withColumnRenamed("node", "doc").join(same, "doc", "left"), "placed")
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of `docs`: (id, n_shingles long, component_id long, n_links long).
+    """Per row of `docs`: (id, n_shingles long, component_id long).
 
-    component_id is the least id reached by links; n_links counts the links that were verified for the text (a
-    connected group is not expanded into all its pairs). Texts that are null or without words have n_shingles 0 and
-    are linked with nothing. Rows with a null id have a null component_id. Repeated ids share a component. Other
-    columns of `docs` are not read. An empty table gives an empty table.
+    component_id is the least id reached by links. A connected group is not expanded into all its pairs, so links are
+    not counted. Texts that are null or without words have n_shingles 0 and are linked with nothing. Rows with a null id
+    have a null component_id. Repeated ids share a component. Other columns of `docs` are not read. An empty table gives
+    an empty table.
     """
     spark = docs.sparkSession
     parts = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -371,36 +446,37 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     about = shared.filter("kind = 0").select("doc", "rep", "n", "f", "g", "bits")
     members = shared.filter("kind = 1").select("key", "doc", "rep")
 
-    copies = about.filter("doc <> rep and n > 0").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     facts = about.select("doc", "n", "f", "g")
+    least = facts.filter("n > 0").groupBy("n", "f", "g").agg(F.min("doc").alias("a"))
+    equal = stage(facts.join(least, ["n", "f", "g"]).groupBy("doc").agg(F.collect_set("a").alias("least")), "equal")
+    # an id that stands for several sets is compared as itself
+    same = equal.filter("size(least) = 1 and least[0] <> doc").select("doc", F.get("least", F.lit(0)).alias("same"))
+    equal = equal.select(F.explode("least").alias("a"), F.col("doc").alias("b")).filter("a <> b")
     fact_a, fact_b = facts.toDF("a", "na", "fa", "ga"), facts.toDF("b", "nb", "fb", "gb")
     stars = members.filter("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b")).distinct()
     stars = stars.join(fact_a, "a").join(fact_b, "b").filter("5 * na >= 4 * nb and 5 * nb >= 4 * na")
-    same = "na = nb and fa = fb and ga = gb"
-    stars = stage(stars.select("a", "b", F.expr(same).alias("same")).distinct(), "stars")
-    links = stage(
-        stars.filter("same").select("a", "b").unionByName(copies).unionByName(_verified(known, stars.filter("not same").select("a", "b")).select("a", "b")),
-        "found",
-    )
-    joined = components(links)
-    done = stars.select("a", "b")
+    done = stage(stars.filter("not (na = nb and fa = fb and ga = gb)").select("a", "b").distinct(), "stars")
+    links = stage(equal.unionByName(_verified(known, done).select("a", "b")), "found")
+    joined = _placed(links, same)
     facts = about.select("doc", "n", "bits")
-    for forest in (True, False):
-        near = stage(_apart(members, joined, facts, forest).join(done, ["a", "b"], "left_anti"), "near")
-        if near.isEmpty():
-            break  # nothing passes between components, with or without the forest
-        more = stage(_verified(known, near).select("a", "b"), "found")
-        done, links = done.unionByName(near), links.unionByName(more)
-        if not more.isEmpty():
-            joined = components(links)
-
-    ends = links.select(F.col("a").alias("doc")).unionAll(links.select("b")).groupBy("doc").agg(F.count(F.lit(1)).alias("n_links"))
-    found = joined.withColumnRenamed("node", "doc").join(ends, "doc")
-    rows = about.select("doc", "n").join(found, "doc", "left").select(
-        F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    most = 1
+    while True:
+        found = stage(_apart(members, joined, facts, most), "near")
+        near = stage(found.filter("a is not null").distinct().join(done, ["a", "b"], "left_anti"), "near")
+        some = not near.isEmpty()
+        if some:
+            more = stage(_verified(known, near).select("a", "b"), "found")
+            done = done.unionByName(near)
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                joined = _placed(links, same)
+        if found.filter("a is null").isEmpty():
+            break  # every pair that passed has been verified
+        most *= 8
+
+    rows = about.select("doc", "n").join(joined, "doc", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
     nameless = texts.filter("doc is null").select(F.lit(0).cast("long").alias("doc"), "text").mapInArrow(_sizes, "n long")
-    return rows.unionByName(nameless.select(F.lit(None).cast("long").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
+    return rows.unionByName(nameless.select(F.lit(None).cast("long").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

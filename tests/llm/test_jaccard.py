@@ -81,6 +81,72 @@ def test_against_brute_force(spark, documents, monkeypatch, block):
     assert got(ngram_jaccard_join(documents(rows).repartition(7))) == brute(rows)
 
 
+def test_a_pair_beside_refuted_ones_is_not_lost(spark, documents):
+    """Texts of 104 common words and tails of their own: 1-2 and 1-3 fall short of the threshold, 2-3 reaches it exactly."""
+    common = [f"c{i}" for i in range(104)]
+    rng = random.Random(11)
+    rows = []
+    for t in range(400):
+        tails = [[f"t{rng.random()}" for _ in range(n)] for n in (14, 12, 13)]
+        rows += [(10 * t + i, " ".join([f"{t}{c}" for c in common] + tail)) for i, tail in enumerate(tails, 1)]
+    expected = []
+    for t in range(400):
+        expected += brute(rows[3 * t: 3 * t + 3])
+    assert got(ngram_jaccard_join(documents(rows))) == expected
+    assert sum(c != i for i, _, c in expected) == 400
+
+
+def near(rng, base, change):
+    copy = list(base)
+    for _ in range(change):
+        copy[rng.randrange(len(copy))] = f"n{rng.random()}"
+    return copy
+
+
+def test_many_triples_near_the_threshold(spark, documents):
+    rng = random.Random(5)
+    rows = []
+    for t in range(700):
+        base = [f"b{t}x{i}" for i in range(rng.choice([30, 60, 110, 200]))]
+        cut = int(len(base) * 0.11)
+        rows += [(3 * t + k, " ".join(base + [f"e{rng.random()}" for _ in range(cut + rng.randrange(-2, 4))])) for k in range(2)]
+        rows.append((3 * t + 2, " ".join(near(rng, base, max(1, int(len(base) * rng.choice([0.01, 0.02, 0.03])))))))
+    expected = []
+    for t in range(700):
+        expected += brute(rows[3 * t: 3 * t + 3])
+    assert got(ngram_jaccard_join(documents(rows))) == expected
+
+
+def test_every_passing_pair_of_a_batch_comes_out(monkeypatch):
+    """The comparison of groups against a plain loop, for small, large and crossed groups and every number of rounds."""
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
+    sets = [np.unique(np.concatenate((base[rng.random(len(base)) > rng.choice([0.02, 0.1])], rng.integers(0, 2**63, int(rng.integers(0, 30)), dtype=np.uint64)))) for _ in range(60)]
+    sets += [base[:5], base[: int(rng.integers(10, 20))]]
+    n = np.array([len(x) for x in sets], np.int64)
+    width = jaccard._width(n)
+    bits = np.split(jaccard._cells(sets, n), np.cumsum(width)[:-1])
+    component = rng.integers(0, 40, len(sets))
+    rows = [(1, 0, 0, 0, d) for d in range(40)] + [(2, 0, 1, d % 2, d) for d in range(len(sets))] + [(3, 0, 0, 0, d) for d in (3, 50, 61)] + [(4, 0, 1, 1, 5), (4, 0, 1, 1, 6)]
+    schema = ["key", "i", "j", "block", "doc", "component", "n", "bits"]
+    table = pa.table([*[pa.array([r[c] for r in rows]) for c in range(5)], pa.array([int(component[r[4]]) for r in rows]), pa.array([int(n[r[4]]) for r in rows]), pa.array([bits[r[4]].tobytes() for r in rows])], names=schema)
+    want = set()
+    for key, i, j, block, x in rows:
+        for key2, i2, j2, block2, y in rows:
+            if (key, i, j) == (key2, i2, j2) and x < y and component[x] != component[y] and (i == j or block != block2) and 5 * min(n[x], n[y]) >= 4 * max(n[x], n[y]):
+                w = min(width[x], width[y])
+                fold = [np.bitwise_xor.reduce(bits[d].reshape(-1, w), axis=0) for d in (x, y)]
+                if 9 * int(np.bitwise_count(fold[0] ^ fold[1]).sum()) <= n[x] + n[y]:
+                    want.add((x, y))
+    assert len(want) > 50
+    for batch in (3, 200):
+        out = pa.Table.from_batches(list(jaccard._compare(10**6)(iter(table.to_batches(max_chunksize=batch)))))
+        assert {(r["a"], r["b"]) for r in out.to_pylist()} == want
+        few = pa.Table.from_batches(list(jaccard._compare(1)(iter(table.to_batches(max_chunksize=batch))))).to_pylist()
+        assert {"a": None, "b": None} in few and {(r["a"], r["b"]) for r in few if r["a"] is not None} <= want
+
+
 def test_odd_rows(spark, documents):
     long = " ".join(f"x{i % 7919}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one  TWO"), (6, "one two three"), (7, long), (8, long + " y"), (9, "Größe ÄÖ a b c"), (10, "GRößE ÄÖ a b c"), (11, "größe äö a b c")]
