@@ -9,6 +9,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.dictionary import find_words
+from ..plans.skew import attach
 from . import rules as R
 
 
@@ -59,17 +61,19 @@ def classify_ordered(
     return named.withColumn(out, chain.otherwise(R.OTHER)).drop("__low")
 
 
-def rules_from_table(rule_rows: DataFrame, limit: int = 10_000) -> tuple[R.Category, ...]:
-    """User rules (rule_ord, category, keyword) as categories; a rule table is configuration and must be small."""
-    rows = rule_rows.select("rule_ord", "category", "keyword").orderBy("rule_ord").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"a rule table may hold at most {limit} keywords")
-    merged: list[tuple[str, list[str]]] = []
-    for row in rows:
-        if not merged or merged[-1][0] != row.category:
-            merged.append((row.category, []))
-        merged[-1][1].append(row.keyword.lower())
-    return tuple(R.Category(name, tuple(words)) for name, words in merged)
+def classify_by_table(df: DataFrame, col: str, rule_rows: DataFrame, out: str = "category") -> DataFrame:
+    """First matching category by a table of rules (rule_ord, category, keyword) of any size; `Other Error` when none matches.
+
+    Keywords are sought, ignoring case, in the distinct texts (`plans.dictionary`); the least (rule_ord, category) wins.
+    Null and empty keywords match nothing, a null text is in no category of the table.
+    """
+    named = df.withColumn("__text", F.md5(F.lower(F.col(col)).cast("binary")))
+    texts = df.filter(F.col(col).isNotNull()).select(F.lower(F.col(col)).alias("text")).distinct()
+    texts = texts.select(F.md5(F.col("text").cast("binary")).alias("text_id"), "text")
+    rules = rule_rows.select("rule_ord", "category", F.lower("keyword").alias("word"))
+    best = find_words(rules, texts).join(rules, "word").groupBy("text_id").agg(F.min(F.struct("rule_ord", "category"))["category"].alias("__found"))
+    found = attach(named, best.withColumnRenamed("text_id", "__text"), ["__text"], salts=1)
+    return found.withColumn(out, F.coalesce("__found", F.lit(R.OTHER))).drop("__text", "__found")
 
 
 def classify_error(detail: Column) -> Column:

@@ -382,14 +382,12 @@ def _with_share(counts: DataFrame, total: DataFrame) -> DataFrame:
 
 
 def category_rollup(ev: DataFrame) -> DataFrame:
-    """Counts and share by big category, by small category within it, and by action label."""
+    """Counts and share by big category, by small category within it, and by action label, in one pass."""
     total = ev.agg(F.count("*"))
     fine = ev.groupBy("big", "small", action_label(F.col("decision")).alias("action")).agg(F.count("*").alias("tests"))
-    null = F.lit(None).cast("string")
-    big = fine.groupBy("big").agg(F.sum("tests").alias("tests")).select(F.lit("big").alias("level"), "big", null.alias("small"), null.alias("action"), "tests")
-    small = fine.groupBy("big", "small").agg(F.sum("tests").alias("tests")).select(F.lit("small").alias("level"), "big", "small", null.alias("action"), "tests")
-    act = fine.groupBy("action").agg(F.sum("tests").alias("tests")).select(F.lit("action").alias("level"), null.alias("big"), null.alias("small"), "action", "tests")
-    return _with_share(big.unionByName(small).unionByName(act), total)
+    level = F.when(F.grouping("action") == 0, "action").when(F.grouping("small") == 0, "small").otherwise("big")
+    sets = fine.groupingSets([["big"], ["big", "small"], ["action"]], "big", "small", "action").agg(level.alias("level"), F.sum("tests").alias("tests"))
+    return _with_share(sets.select("level", "big", "small", "action", "tests"), total)
 
 
 def tests_by_category(ev: DataFrame) -> DataFrame:
@@ -446,6 +444,34 @@ def def_counts(defs: DataFrame, by: str = "token") -> DataFrame:
     return places.groupBy(by).agg(F.count("*").alias("definitions"))
 
 
+def def_sketches(defs: DataFrame, log: str, by: str = "token", precision: int = 14) -> DataFrame:
+    """One sketch of the distinct definition positions per log and token: (log, token, sketch), to be kept and merged."""
+    place = F.concat_ws("\u0001", "uri", F.col("line").cast("string"), F.col("ch").cast("string"))
+    return defs.groupBy(log, by).agg(F.hll_sketch_agg(place, precision).alias("sketch"))
+
+
+def merged_def_counts(sketches: DataFrame, by: str = "token") -> DataFrame:
+    """Estimated distinct definition positions per token over any number of logs, from their sketches alone.
+
+    With precision 14 the estimate lies within 3 % of the exact number in all but rare cases."""
+    return sketches.groupBy(by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("definitions"))
+
+
+def size_sketches(tasks: DataFrame, log: str, by: str, size: str) -> DataFrame:
+    """One quantile sketch of an integer size per log and group: (log, by, sketch, n), to be kept and merged."""
+    value = F.col(size).cast("long")
+    return tasks.groupBy(log, by).agg(F.call_function("kll_sketch_agg_bigint", value, F.lit(400)).alias("sketch"), F.count(value).alias("n"))
+
+
+def merged_size_profile(sketches: DataFrame, by: str, quantiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """Group size and estimated quantiles from the sketches of any number of logs; a quantile's rank is off by 1 % at most
+    in all but rare cases. The sketches of a group are folded pairwise: one row per log."""
+    folded = sketches.groupBy(by).agg(F.sum("n").alias("n"), F.collect_list("sketch").alias("all"))
+    merged = F.aggregate(F.slice("all", F.lit(2), F.size("all")), F.get("all", F.lit(0)), lambda a, b: F.call_function("kll_sketch_merge_bigint", a, b))
+    cols = [F.call_function("kll_sketch_get_quantile_bigint", F.col("one"), F.lit(float(q))).alias(f"p{int(q * 100)}") for q in quantiles]
+    return folded.withColumn("one", merged).select(by, "n", *cols)
+
+
 def need_filter(tokens: DataFrame, max_terms: int, by: str = "fn") -> DataFrame:
     """Distinct words per function and whether they exceed what a prompt may list unfiltered."""
     words = tokens.groupBy(by, "word").agg(F.lit(1).alias("one"))

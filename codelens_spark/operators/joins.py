@@ -12,18 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, file_stem, normalized_name, strip
+from ..plans.dictionary import find_words
 from ..plans.intervals import prefix_max_at, stab_all, stab_best
 from ..plans.skew import attach, first_per_key
 from ..plans.stage import stage
 
-RUN_PIECE = 64
-#: What words look like, and the runs of a text that such words can occur in.
-WORD_KINDS = (
-    (r"^[\p{L}\p{M}\p{N}\p{Pc}]+$", r"[\p{L}\p{M}\p{N}\p{Pc}]+"),
-    (r"^(?=[\s\S]*[^\p{L}\p{M}\p{N}\p{Pc}])\S+$", r"\S+"),
-    (r"\s", r"[\s\S]+"),
-)
-
 
 def match_tasks(symbols: DataFrame, tasks: DataFrame, name: str = "symbol_name", path: str = "path") -> DataFrame:
     """Symbols that a task names, with the task's columns."""
@@ -143,50 +136,10 @@ def exclude_overlap(refs: DataFrame, focal: DataFrame, key: str = "uri") -> Data
 def contains_join(words: DataFrame, texts: DataFrame, keyed: bool = False) -> DataFrame:
     """Distinct (key?, word, text_id) where the text contains `word` as a substring.
 
-    A word of letters, marks, digits and connectors can only occur inside one run of these, and a word without
-    white space inside one run of other characters, so matching is done on the vocabulary of distinct runs:
-    every run is cut into its substrings of the lengths that words have, and these meet the words in an
-    equi-join. Texts then join the matched runs. Words with white space are sought in whole texts the same
-    way. Empty and null words match nothing.
+    One pass over the texts for words of any kind and length (`plans.dictionary`). Empty and null words match nothing.
     """
-    found = None
-    for words_like, run in WORD_KINDS:
-        own = words.filter(F.col("word").rlike(words_like))
-        if own.isEmpty():
-            continue
-        hits = _contained(own, texts, run, keyed)
-        found = hits if found is None else found.unionByName(hits)
-    return found if found is not None else _contained(words.limit(0), texts, WORD_KINDS[0][1], keyed)
-
-
-def _contained(words: DataFrame, texts: DataFrame, run: str, keyed: bool) -> DataFrame:
     key = ["key"] if keyed else []
-    vocab_words = words.select("word").distinct()
-    runs = texts.select(
-        *key, "text_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(run), F.lit(0)))).alias("text")
-    )
-    # runs go by their digest, since a run may be a whole text and each of its pieces names it
-    runs = runs.withColumn("run", F.md5(F.col("text").cast("binary")))
-    sizes = vocab_words.agg(F.array_sort(F.collect_set(F.length("word"))).alias("sizes"))
-    # long runs are cut into overlapping pieces, so that no row expands without bound
-    reach = F.element_at("sizes", -1) - 1
-    starts = F.sequence(F.lit(1), F.length("text"), F.lit(RUN_PIECE))
-    vocab = runs.groupBy("run").agg(F.first("text").alias("text")).withColumn("sizes", sizes.scalar()).filter(F.size("sizes") > 0)
-    vocab = vocab.select("run", "sizes", F.explode(F.transform(starts, lambda p: F.col("text").substr(p, reach + RUN_PIECE))).alias("piece"))
-    subs = F.flatten(
-        F.transform(
-            F.filter("sizes", lambda n: n <= F.length("piece")),
-            lambda n: F.transform(F.sequence(F.lit(1), F.length("piece") - n + 1), lambda i: F.col("piece").substr(i, n)),
-        )
-    )
-    match = vocab.select("run", F.explode(F.array_distinct(subs)).alias("word")).join(vocab_words, "word").distinct()
-    where = runs.select(*key, "text_id", "run")
-    if keyed:
-        local = words.select("key", "word").distinct()
-        hits = where.join(match, "run").join(local, ["key", "word"])
-    else:
-        hits = where.join(match, "run")
-    return hits.select(*key, "word", "text_id").distinct()
+    return find_words(words, texts, keyed).select(*key, "word", "text_id").distinct()
 
 
 def propagate_same_line(tokens: DataFrame, matched: DataFrame) -> DataFrame:

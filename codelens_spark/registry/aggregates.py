@@ -9,6 +9,7 @@ from ..functions import rules as R
 from ..operators import aggregates as A
 from ..operators import topk as T
 from ..plans.scan import ranked_rows
+from ..plans.stage import stage
 from .core import query, r6
 
 
@@ -383,14 +384,29 @@ def _(spark, sf):
     return V.v_token(spark, sf).select("id", definition.alias("need_definition"), example.alias("need_example"))
 
 
+@query(
+    "udf4_large_rule_table",
+    sql="""with r as (select item_id rule_ord, 'c' || item_id category, lower(unnest(string_split(text, ' '))) word from benchmark),
+    w as (select word, min(struct_pack(o := rule_ord, c := category)) r from r where length(word) >= 9 group by word),
+    h as (select doc_id, min(r) r from documents join w on contains(lower(text), word) group by doc_id)
+    select doc_id, coalesce(r.c, 'Other Error') category from documents left join h using (doc_id)""",
+)
+def _(spark, sf):
+    from ..functions.classify import classify_by_table
+
+    rules = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("rule_ord"), F.concat(F.lit("c"), "item_id").alias("category"), F.explode(F.split("text", " ")).alias("keyword"))
+    docs = V.wide_table(spark, sf, "documents", "doc_id", "text")
+    return classify_by_table(docs, "text", rules.filter(F.length("keyword") >= 9)).select("doc_id", "category")
+
+
 @query("udf4_rule_table", sql="select event_id, upper(event_type) category from events")
 def _(spark, sf):
-    from ..functions.classify import classify_ordered, rules_from_table
+    from ..functions.classify import classify_by_table
 
     events = V.table(spark, sf, "events")
     rules = events.select("event_type").distinct().select(F.length("event_type").alias("rule_ord"), F.upper("event_type").alias("category"), F.col("event_type").alias("keyword"))
     rows = events.select("event_id", F.concat(F.lit("an "), F.upper("event_type"), F.lit(" happened")).alias("message"))
-    return classify_ordered(rows, "message", rules_from_table(rules)).select("event_id", "category")
+    return classify_by_table(rows, "message", rules).select("event_id", "category")
 
 
 def _matrix_sql(metric: str) -> str:
@@ -524,6 +540,16 @@ def _(spark, sf):
     return A.def_counts(V.v_token(spark, sf).withColumnRenamed("word", "token"))
 
 
+@query("a29_def_sketches", "v_token", "select word token, count(distinct (uri, line, ch)) definitions, true in_bounds from v_token group by word")
+def _(spark, sf):
+    """Sketches per file, merged per token; the estimate must lie within its error bound of the exact count."""
+    defs = V.v_token(spark, sf).withColumnRenamed("word", "token").withColumn("log", F.col("uri"))
+    kept = stage(A.def_sketches(defs, "log"), "sketches")
+    guess = A.merged_def_counts(kept).withColumnRenamed("definitions", "guess")
+    exact = A.def_counts(defs)
+    return exact.join(guess, "token").select("token", "definitions", (F.abs(F.col("guess") - F.col("definitions")) <= F.col("definitions") * 0.03 + 1).alias("in_bounds"))
+
+
 @query("a29_need_filter", "v_token", "select uri fn, count(distinct word) words, count(distinct word) > 30 filter_terms from v_token group by uri")
 def _(spark, sf):
     return A.need_filter(V.v_token(spark, sf).withColumnRenamed("uri", "fn"), 30)
@@ -539,6 +565,21 @@ def _(spark, sf):
     return A.size_profile(o, "o_orderpriority", "d")
 
 
+@query(
+    "a30_size_sketches",
+    sql="select o_orderpriority, count(*) n, true in_bounds from orders group by o_orderpriority",
+)
+def _(spark, sf):
+    """Sketches per month, merged per group; the ranks of the estimated quantiles must be off by 2 % at most."""
+    o = V.table(spark, sf, "orders").select("o_orderpriority", (F.col("o_orderkey") % 997).alias("d"), F.date_trunc("month", "o_orderdate").alias("log"))
+    kept = stage(A.size_sketches(o, "log", "o_orderpriority", "d"), "sketches")
+    guess = A.merged_size_profile(kept, "o_orderpriority")
+    marks = o.join(guess.drop("n"), "o_orderpriority").groupBy("o_orderpriority").agg(
+        F.count("*").alias("n"), *[F.avg((F.col("d") <= F.col(f"p{q}")).cast("int")).alias(f"r{q}") for q in (25, 50, 75)]
+    )
+    return marks.select("o_orderpriority", "n", ((F.abs(F.col("r25") - 0.25) < 0.02) & (F.abs(F.col("r50") - 0.5) < 0.02) & (F.abs(F.col("r75") - 0.75) < 0.02)).alias("in_bounds"))
+
+
 @query("a31_lang_counts", sql="select lang, count(*) files from documents group by lang")
 def _(spark, sf):
     return A.lang_counts(V.table(spark, sf, "documents"))

@@ -170,6 +170,18 @@ def _(spark, sf):
     return J.exclude_overlap(*_pieces(spark, sf))
 
 
+@query(
+    "j1_match_fuzzy",
+    sql="""with w as (select distinct p_brand uri, lower(p_type) word from part),
+    h as (select w.uri, word, min(p_partkey) ord from w join part on p_brand = w.uri and contains(lower(p_name), word) group by w.uri, word)
+    select h.uri, word, ord, p_name as name from h join part on p_partkey = ord""",
+)
+def _(spark, sf):
+    part = V.table(spark, sf, "part")
+    symbols = part.select(F.col("p_brand").alias("uri"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"))
+    return J.match_fuzzy(symbols, part.select(F.col("p_brand").alias("uri"), F.col("p_type").alias("name")).distinct()).select("uri", "word", "ord", "name")
+
+
 @query(
     "j7_contains_join",
     sql="""with w as (select distinct unnest(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]*')) word from benchmark)
@@ -400,6 +412,24 @@ def _(spark, sf):
     return S.union_corpora(a, b).groupBy("lang").agg(F.count("*").alias("docs"), F.sum("size").alias("chars"))
 
 
+@query(
+    "s10_bucketed_map",
+    sql="""select c_custkey key, case when c_custkey % 300 = 0 then 'third' when c_custkey in (select s_suppkey * 3 from supplier) then (select min(s_name) from supplier where s_suppkey * 3 = c_custkey)
+      else c_name end as value from customer union all select s_suppkey * 3, case when s_suppkey * 3 % 300 = 0 then 'third' else s_name end from supplier where s_suppkey * 3 not in (select c_custkey from customer)""",
+)
+def _(spark, sf):
+    """A map written once and changed twice, the second time in few buckets."""
+    from ..plans.stage import new_path
+    from ..sources.maps import read_map, upsert
+
+    folder = new_path(spark, "map")
+    named = lambda t, k, v: V.table(spark, sf, t).select(k.alias("key"), F.col(v).alias("value"))
+    upsert(named("customer", F.col("c_custkey"), "c_name"), "key", folder, buckets=16)
+    upsert(named("supplier", F.col("s_suppkey") * 3, "s_name"), "key", folder)
+    upsert(read_map(spark, folder).filter("key % 300 = 0").select("key", F.lit("third").alias("value")), "key", folder)
+    return read_map(spark, folder)
+
+
 @query(
     "s10_merge_map",
     sql="""select c_custkey key, c_name as value from customer where c_custkey not in (select s_suppkey * 3 from supplier) union all select s_suppkey * 3, s_name from supplier""",

@@ -52,6 +52,22 @@ def _(spark, sf):
     return J.read_state(spark, f"{out}/log").select("ord", "big", "small", "total", "bigs", "smalls")
 
 
+@query(
+    "r2_category_batches",
+    sql=f"""with e as (select event_type big, case when k < 10 then null else 'c' || k end small from ({V.EVENTS}))
+    select (select count(*) from e) total, (select count(distinct big) from e) bigs, (select count(*) from (select distinct big, small from e)) smalls, (select count(*) from e) logged""",
+)
+def _(spark, sf):
+    """Over several micro-batches, with a null category: the totals at the end do not depend on how events are dealt."""
+    out = new_path(spark, "categories")
+    small = F.when(F.col("k") >= 10, F.concat(F.lit("c"), F.col("k").cast("string")))
+    ev = _event_batches(spark, sf, 4).select(F.col("event_id").alias("ord"), F.col("event_type").alias("big"), small.alias("small"))
+    J.stream_category_state(ev, out).awaitTermination()
+    log = J.read_state(spark, f"{out}/log")
+    last = [F.max(c).alias(c) for c in ("total", "bigs", "smalls")]
+    return log.agg(*last, F.count("*").alias("logged"))
+
+
 @query("r3_progress", sql=f"select user_id task from ({V.EVENTS}) group by user_id")
 def _(spark, sf):
     """Over several micro-batches: which report comes first depends on arrival, that every task is written once does not."""

@@ -11,8 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..plans.scan import Run, running
 
@@ -41,83 +40,135 @@ def read_action_counts(spark: SparkSession, out: str) -> DataFrame:
     return latest.select("action", "last.n", "last.errors")
 
 
-def stream_category_state(events: DataFrame, out: str, available_now: bool = True) -> StreamingQuery:
+class _Categories(StatefulProcessor):
+    """Per big category: its small categories with their counts, in the state store.
+
+    Hands on the batch's events (kind 0) and one row per category that they change (kind 1): how often it came, its
+    first place in the batch, and whether it is new. Rows are taken piece by piece, so a batch of one category needs
+    memory for its different small categories only. Null is a category like any other.
+    """
+
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.smalls = handle.getMapState("smalls", "known boolean, small string", "n bigint", self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        big, added, first = key[0], {}, {}
+        new_big = not self.smalls.exists()
+        for part in rows:
+            events = part[["ord", "small"]].astype({"small": object})
+            yield pd.DataFrame({"kind": 0, "ord": events["ord"], "big": big, "small": events["small"], "n": 1, "new_small": False, "new_big": False})
+            for small, places in events.groupby("small", dropna=False)["ord"]:
+                small = None if pd.isna(small) else small
+                added[small] = added.get(small, 0) + len(places)
+                first[small] = min(first.get(small, places.min()), places.min())
+        changes = []
+        for small, count in added.items():
+            name = (small is not None, small or "")
+            old = self.smalls.getValue(name)[0] if self.smalls.containsKey(name) else None
+            self.smalls.updateValue(name, ((old or 0) + count,))
+            changes.append((1, first[small], big, small, count, old is None, False))
+        if changes:
+            out = pd.DataFrame(changes, columns=["kind", "ord", "big", "small", "n", "new_small", "new_big"])
+            out.loc[out["ord"].idxmin(), "new_big"] = new_big
+            yield out
+
+    def close(self) -> None:
+        pass
+
+
+class _FirstReport(StatefulProcessor):
+    """Per task: a flag that it has been reported, in the state store."""
+
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean", self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        best = None
+        for part in rows:
+            row = part.loc[[part["ord"].idxmin()], ["task", "ord", "ok"]]
+            best = row if best is None or row["ord"].iloc[0] < best["ord"].iloc[0] else best
+        if best is not None and not self.seen.exists():
+            self.seen.update((True,))
+            yield best
+
+    def close(self) -> None:
+        pass
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _start_with_state(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:
+    """Start a query whose state needs the RocksDB store; other queries of the session keep their own setting."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        return start()
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+
+
+def _time_mode(keep_ms: int | None) -> str:
+    return "None" if keep_ms is None else "ProcessingTime"
+
+
+def stream_category_state(events: DataFrame, out: str, available_now: bool = True, keep_ms: int | None = None) -> StreamingQuery:
     """Per event: total categorisations and distinct category counts after it: events(ord, big, small, ...).
 
-    State between batches is the category table and the running total, not the events.
+    The categories live in the state store, by big category; an epoch reads and writes only what changed in it, beside
+    one row of totals. Null is a category. With `keep_ms` a small category that has not come for that long is forgotten,
+    and is new when it comes again; without it all are kept.
     """
-    cats, log = f"{out}/categories", f"{out}/log"
+    changes, log, totals = (f"{out}/{name}" for name in ("changes", "log", "totals"))
+    schema = "kind int, ord long, big string, small string, n long, new_small boolean, new_big boolean"
+    rows = events.select(F.col("ord").cast("long").alias("ord"), "big", "small")
+    marked = rows.groupBy("big").transformWithStateInPandas(_Categories(keep_ms), schema, "Append", _time_mode(keep_ms))
 
     def work(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch = batch.select("ord", "big", "small")
-        cat_schema = "big string, small string, n bigint"
-        # each epoch holds the whole category table, so only the one before is read
-        if epoch > 0:
-            pairs = spark.read.schema(cat_schema).parquet(f"{cats}/epoch={epoch - 1}")
-        else:
-            pairs = spark.createDataFrame([], cat_schema)
-        totals = {
-            "n0": pairs.agg(F.coalesce(F.sum("n"), F.lit(0))),
-            "b0": pairs.agg(F.count_distinct("big")),
-            "s0": pairs.agg(F.count("*")),
-        }
-        ahead = pairs.select("big", "small")
-        fresh = (
-            batch.join(ahead.select("big", F.lit(1).alias("old_big")).distinct(), "big", "left")
-            .join(ahead.withColumn("old_small", F.lit(1)), ["big", "small"], "left")
-            .withColumn("fresh_big", F.when(F.col("old_big").isNull(), F.col("big")))
-            .withColumn("fresh_small", F.when(F.col("old_small").isNull(), F.concat_ws("\u0001", "big", "small")))
+        batch.write.mode("overwrite").parquet(f"{changes}/epoch={epoch}")
+        batch = spark.read.schema(schema).parquet(f"{changes}/epoch={epoch}")
+        before = spark.read.parquet(f"{totals}/epoch={epoch - 1}").first() if epoch else {"total": 0, "bigs": 0, "smalls": 0}
+        new = batch.filter("kind = 1").select("ord", F.col("new_small").cast("int").alias("ns"), F.col("new_big").cast("int").alias("nb"))
+        # several categories may be new at one place only if places repeat
+        new = new.groupBy("ord").agg(F.sum("ns").alias("ns"), F.sum("nb").alias("nb"))
+        line = batch.filter("kind = 0").select("ord", "big", "small").join(new, "ord", "left").na.fill(0, ["ns", "nb"])
+        seen = running(line, [], "ord", [Run("i", "sum", F.lit(1).cast("long")), Run("b", "sum", F.col("nb")), Run("s", "sum", F.col("ns"))], levels=2)
+        counted = [(F.lit(before[name]) + F.col(c)).cast("long").alias(name) for name, c in (("total", "i"), ("bigs", "b"), ("smalls", "s"))]
+        seen.select("ord", "big", "small", *counted).write.mode("overwrite").parquet(f"{log}/epoch={epoch}")
+        after = batch.filter("kind = 1").agg(
+            (F.lit(before["total"]) + F.coalesce(F.sum("n"), F.lit(0))).alias("total"),
+            (F.lit(before["bigs"]) + F.count_if("new_big")).alias("bigs"),
+            (F.lit(before["smalls"]) + F.count_if("new_small")).alias("smalls"),
         )
-        seen = running_distinct_from(fresh).withColumns({name: one.scalar() for name, one in totals.items()})
-        seen.select(
-            "ord",
-            "big",
-            "small",
-            (F.col("n0") + F.col("i")).alias("total"),
-            (F.col("b0") + F.col("b")).alias("bigs"),
-            (F.col("s0") + F.col("s")).alias("smalls"),
-        ).write.mode("overwrite").parquet(f"{log}/epoch={epoch}")
-        counted = batch.groupBy("big", "small").agg(F.count("*").alias("n"))
-        merged = pairs.unionByName(counted).groupBy("big", "small").agg(F.sum("n").alias("n"))
-        merged.write.mode("overwrite").parquet(f"{cats}/epoch={epoch}")
-
-    return _start(events, work, out, available_now)
-
-
-def running_distinct_from(fresh: DataFrame) -> DataFrame:
-    """Running counts i (events), b and s (newly seen categories) over a batch in `ord` order."""
-    def firsts(col: str, flag: str) -> DataFrame:
-        return fresh.filter(F.col(col).isNotNull()).groupBy(col).agg(F.min("ord").alias("ord")).select("ord", F.lit(1).alias(flag))
+        after.coalesce(1).write.mode("overwrite").parquet(f"{totals}/epoch={epoch}")
 
-    flagged = fresh.join(firsts("fresh_big", "nb"), "ord", "left").join(firsts("fresh_small", "ns"), "ord", "left").na.fill(0, ["nb", "ns"])
-    return running(flagged, [], "ord", [Run("i", "sum", F.lit(1)), Run("b", "sum", F.col("nb")), Run("s", "sum", F.col("ns"))], levels=2)
+    return _start_with_state(events.sparkSession, lambda: _start(marked, work, out, available_now))
 
 
-def stream_progress(done: DataFrame, out: str, available_now: bool = True) -> StreamingQuery:
+def stream_progress(done: DataFrame, out: str, available_now: bool = True, keep_ms: int | None = None) -> StreamingQuery:
     """First completion of each task, written once however often it is reported: done(task, ord, ok).
 
     One flag per task is kept in the state store; of a task's reports in its first micro-batch the least `ord` counts.
+    With `keep_ms` flags are dropped that long after the first report, so the state holds the tasks of that time only,
+    and a report that comes later still counts as a first one.
     """
     state = f"{out}/tasks"
-
-    def first_report(key: tuple, reports: Iterator[pd.DataFrame], seen: GroupState) -> Iterator[pd.DataFrame]:
-        best = None
-        for part in reports:
-            row = part.loc[[part["ord"].idxmin()], ["task", "ord", "ok"]]
-            best = row if best is None or row["ord"].iloc[0] < best["ord"].iloc[0] else best
-        if not seen.exists and best is not None:
-            seen.update((True,))
-            yield best
-
-    firsts = done.select("task", "ord", "ok").groupBy("task").applyInPandasWithState(
-        first_report, "task bigint, ord bigint, ok boolean", "seen boolean", "append", GroupStateTimeout.NoTimeout
+    firsts = done.select("task", "ord", "ok").groupBy("task").transformWithStateInPandas(
+        _FirstReport(keep_ms), "task bigint, ord bigint, ok boolean", "Append", _time_mode(keep_ms)
     )
 
     def work(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
 
-    return _start(firsts, work, out, available_now)
+    return _start_with_state(done.sparkSession, lambda: _start(firsts, work, out, available_now))
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:

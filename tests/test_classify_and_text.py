@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from codelens_spark.functions import conditions as C
 from codelens_spark.functions import rules as R
 from codelens_spark.functions import text as X
-from codelens_spark.functions.classify import classify_error, classify_ordered, collection_status, is_unclear, map_stage, rules_from_table
+from codelens_spark.functions.classify import classify_by_table, classify_error, classify_ordered, collection_status, is_unclear, map_stage
 from codelens_spark.functions.udfs import token_counter
 from codelens_spark.operators import predicates as P
 from codelens_spark.operators.aggregates import token_totals
@@ -52,11 +52,19 @@ def test_ten_categories_and_unclear(spark):
     assert flags == {"": True, "x: 1": True, "a\nb": True, "an error": False, "undefined: foo in some place": False}
 
 
-def test_rules_from_table(spark):
+def test_classify_by_table(spark):
     rules = spark.createDataFrame([(1, "A", "Foo"), (2, "A", "bar"), (3, "B", "o")], "rule_ord int, category string, keyword string")
-    df = spark.createDataFrame([("FOO",), ("o bar",), ("so",), ("x",)], "m string")
-    got = [r.category for r in classify_ordered(df, "m", rules_from_table(rules)).collect()]
-    assert got == ["A", "A", "B", R.OTHER]
+    df = spark.createDataFrame([("FOO",), ("o bar",), ("so",), ("x",), (None,)], "m string")
+    got = {r.m: r.category for r in classify_by_table(df, "m", rules).collect()}
+    assert got == {"FOO": "A", "o bar": "A", "so": "B", "x": R.OTHER, None: R.OTHER}
+
+
+def test_classify_by_a_table_of_100_000_keywords(spark, monkeypatch):
+    monkeypatch.setattr("codelens_spark.plans.dictionary.WORDS", 40_000)  # several blocks
+    rules = spark.range(100_000).select((100_000 - F.col("id")).alias("rule_ord"), F.concat(F.lit("c"), "id").alias("category"), F.concat(F.lit("Key"), "id", F.lit(";")).alias("keyword"))
+    df = spark.createDataFrame([(i, f"a key{i}; and KEY{i // 2}; x") for i in range(0, 100_000, 997)] + [(-1, "nothing")], "n int, m string")
+    got = {r.n: r.category for r in classify_by_table(df, "m", rules).collect()}
+    assert got == {-1: R.OTHER, **{i: f"c{i}" for i in range(0, 100_000, 997)}}
 
 
 def test_error_types(spark):

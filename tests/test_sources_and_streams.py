@@ -5,7 +5,7 @@ import json
 import pytest
 
 from codelens_spark.operators import aggregates as A
-from codelens_spark.sources import corpus, logs, writers
+from codelens_spark.sources import corpus, logs, maps, writers
 from codelens_spark.streaming import jobs
 
 
@@ -190,3 +190,64 @@ def test_progress_stream(spark, tmp_path):
     feed(spark, src, [(2, 3, True), (3, 4, True)], schema)
     jobs.stream_progress(stream(), out).awaitTermination()
     assert sorted((r.task, r.ord, r.ok) for r in jobs.read_state(spark, f"{out}/tasks").collect()) == [(1, 0, True), (2, 2, False), (3, 4, True)]
+
+
+def test_category_state_with_nulls_and_a_hot_category(spark, tmp_path):
+    schema = "ord long, big string, small string"
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    stream = lambda: spark.readStream.schema(schema).json(str(src))
+    batches = [[(0, "A", None), (1, None, "x"), (2, "A", None), (3, None, None)], [(4, "A", None), (5, None, "x"), (6, "A", ""), *((7 + i, "A", f"s{i % 40}") for i in range(300))], [(400, "A", "s3"), (401, "B", None)]]
+    bigs, smalls, want, total = set(), set(), [], 0
+    for rows in batches:  # the query is started anew for each
+        feed(spark, src, rows, schema)
+        jobs.stream_category_state(stream(), out).awaitTermination()
+        for place, big, small in rows:
+            total += 1
+            bigs.add(big)
+            smalls.add((big, small))
+            want.append((place, total, len(bigs), len(smalls)))
+    got = sorted((r.ord, r.total, r.bigs, r.smalls) for r in jobs.read_state(spark, f"{out}/log").collect())
+    assert got == want
+    # an epoch writes the categories that changed in it and no others
+    changed = jobs.read_state(spark, f"{out}/changes").filter("kind = 1").groupBy("epoch").count().collect()
+    assert {r.epoch: r["count"] for r in changed} == {0: 3, 1: 43, 2: 2}
+    assert jobs.STORE not in {r.key for r in spark.sql("set").collect()}
+
+
+def test_progress_state_is_bounded_by_time(spark, tmp_path):
+    schema = "task long, ord long, ok boolean"
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    stream = lambda: spark.readStream.schema(schema).json(str(src))
+    sizes = []
+    for n in range(3):
+        feed(spark, src, [(task, 100 * n + task, True) for task in range(20 * n, 20 * n + 20)], schema)
+        query = jobs.stream_progress(stream(), out, keep_ms=1)
+        query.awaitTermination()
+        sizes.append(max(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]))
+    assert jobs.read_state(spark, f"{out}/tasks").count() == 60
+    feed(spark, src, [(0, 999, False)], schema)
+    jobs.stream_progress(stream(), out, keep_ms=1).awaitTermination()
+    assert jobs.read_state(spark, f"{out}/tasks").filter("task = 0").count() == 2  # forgotten in between
+    assert sizes[-1] < 3 * 20 * 2
+
+
+def test_bucketed_map(spark, tmp_path):
+    folder = str(tmp_path / "map")
+    table = lambda rows: spark.createDataFrame(rows, "k string, v long")
+    assert maps.upsert(table([(f"k{i}", i) for i in range(100)] + [(None, -1)]), "k", folder, buckets=8) == 0
+    first = {r.k: r.v for r in maps.read_map(spark, folder).collect()}
+    before = maps._latest(spark, folder)
+    assert maps.upsert(table([("k3", 300)]), "k", folder) == 1
+    after = maps._latest(spark, folder)
+    assert len(after) == 8 and len({e["folder"] for e in before} & {e["folder"] for e in after}) == 7  # seven buckets kept
+    assert {r.k: r.v for r in maps.read_map(spark, folder).collect()} == first | {"k3": 300}
+    assert maps.upsert(table([(None, 7), ("new", 8)]), "k", folder) == 2
+    assert {r.k: r.v for r in maps.read_map(spark, folder).collect()} == first | {"k3": 300, None: 7, "new": 8}
+    # what a failed upsert leaves behind is not read
+    table([("k1", 999)]).write.parquet(f"{folder}/data/lost/bucket=0")
+    assert {r.k: r.v for r in maps.read_map(spark, folder).collect()}["k1"] == 1
+    empty = str(tmp_path / "empty")
+    maps.upsert(table([]), "k", empty)
+    assert maps.read_map(spark, empty).count() == 0
+    with pytest.raises(ValueError):
+        maps.read_map(spark, str(tmp_path / "none"))
