@@ -15,7 +15,7 @@ Copies and groups: inside a batch copies of one set and repeated keys are reduce
 shuffled, and equal sets are then linked to the least text that has them. A key links its members only to the key's least
 member (linear, not all pairs). Members of a key that are still apart after these links are verified are compared by a
 second parity sketch of one-bit cells, whose Hamming distance also bounds |A xor B| from below. That goes in rounds: each
-verifies the nearest pairs of every component that pass the bound, a few in the first round and eight times as many in
+verifies the nearest pairs of every component that pass the bound, four in the first round and eight times as many in
 each further one, until a round leaves no pair out. So every pair that shares a key is verified, refuted by the bound, or
 already connected. Keys with many members are compared block by block in separate groups.
 """
@@ -119,11 +119,11 @@ def frequent_shingles(texts: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def _width(n: np.ndarray) -> np.ndarray:
-    """Bytes of the one-bit-cell sketch of a set of size n: a power of two, 8 to 512, but never fewer cells than n.
+    """Bytes of the one-bit-cell sketch of a set of size n: the power of two, 8 at least, with 1.6 to 3.2 cells a shingle.
 
-    Two sets that may be similar have the same width, or one has twice the other's."""
-    power = np.frexp(np.maximum(n, 1).astype(float))[1] - 1
-    return 1 << np.maximum(np.clip(power, 3, 9), power - 2)
+    So unrelated sets of any size are told apart. Two sets that may be similar have the same width, or one has twice the
+    other's."""
+    return 1 << np.maximum(3, np.ceil(np.log2(np.maximum(n, 1) / 5)).astype(np.int64))
 
 
 def _cells(sets: list[np.ndarray], n: np.ndarray) -> np.ndarray:
@@ -386,22 +386,23 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
     yield None
 
 
-def _apart(members: DataFrame, joined: DataFrame, facts: DataFrame, most: int) -> DataFrame:
+def _apart(members: DataFrame, joined: DataFrame, facts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) that share a key, lie in different components and may be similar by their sketches: the nearest
-    `most` of every component and task, and a row of nulls where there are more.
+    `most` of every component and task, and a row of nulls where there are more. Also the members of the keys that
+    hold more than one component: only these can matter to a later round.
 
     joined(doc, component, same): equal sets are compared once, by the least text that has them."""
-    placed = members.select("key", "doc").join(joined, "doc", "left")
+    placed = members.join(joined, "doc", "left")
     placed = placed.select("key", F.coalesce("same", "doc").alias("doc"), F.coalesce("component", "doc").alias("component")).distinct()
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
     split = split.filter("lo < hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(split, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = stage(rows.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "doc", "component"), "apart")
-    ids = staged_small(rows.select("doc").distinct(), "ids", BROADCAST_IDS)
+    live = stage(placed.join(split, "key"), "apart")
+    ids = staged_small(live.select("doc").distinct(), "ids", BROADCAST_IDS)
+    rows = live.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "doc", "component")
     rows = rows.join(facts.join(ids, "doc", "left_semi"), "doc")
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.select("key", "i", "j", "block", "doc", "component", "n", "bits").mapInArrow(_compare(most), "a long, b long")
+    return dealt.select("key", "i", "j", "block", "doc", "component", "n", "bits").mapInArrow(_compare(most), "a long, b long"), live.select("key", "doc")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,9 +460,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = stage(equal.unionByName(_verified(known, done).select("a", "b")), "found")
     joined = _placed(links, same)
     facts = about.select("doc", "n", "bits")
-    most = 1
+    members, most = members.select("key", "doc"), 4
     while True:
-        found = stage(_apart(members, joined, facts, most), "near")
+        found, members = _apart(members, joined, facts, most)
+        found = stage(found, "near")
         near = stage(found.filter("a is not null").distinct().join(done, ["a", "b"], "left_anti"), "near")
         some = not near.isEmpty()
         if some:
