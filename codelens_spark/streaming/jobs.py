@@ -102,17 +102,23 @@ class _FirstReport(StatefulProcessor):
 
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+NEEDED = {
+    STORE: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # state that expires by time asks for batches without data for ever, so a query that takes what is there would not end
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
 def _start_with_state(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:
-    """Start a query whose state needs the RocksDB store; other queries of the session keep their own setting."""
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKS)
+    """Start a query with the settings that its state needs; other queries of the session keep their own."""
+    before = {key: spark.conf.get(key, None) for key in NEEDED}
+    for key, value in NEEDED.items():
+        spark.conf.set(key, value)
     try:
         return start()
     finally:
-        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def _time_mode(keep_ms: int | None) -> str:

@@ -222,11 +222,11 @@ def test_progress_state_is_bounded_by_time(spark, tmp_path):
     for n in range(3):
         feed(spark, src, [(task, 100 * n + task, True) for task in range(20 * n, 20 * n + 20)], schema)
         query = jobs.stream_progress(stream(), out, keep_ms=1)
-        query.awaitTermination()
+        assert query.awaitTermination(120)
         sizes.append(max(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]))
     assert jobs.read_state(spark, f"{out}/tasks").count() == 60
     feed(spark, src, [(0, 999, False)], schema)
-    jobs.stream_progress(stream(), out, keep_ms=1).awaitTermination()
+    assert jobs.stream_progress(stream(), out, keep_ms=1).awaitTermination(120)
     assert jobs.read_state(spark, f"{out}/tasks").filter("task = 0").count() == 2  # forgotten in between
     assert sizes[-1] < 3 * 20 * 2
 
