@@ -28,7 +28,7 @@ TREES = 12
 LEAF = 192  # sampled vectors stand for rows; a branch ends at about this many rows
 SPILL = 0.3  # of the distance two vectors at the threshold can have, projected
 DIRECTIONS = 8  # tried before a branch ends as dense
-SAMPLE = 20_000
+SAMPLE, SAMPLE_BYTES = 20_000, 64 << 20
 BLOCK = 1024
 SEED = 5
 
@@ -196,6 +196,7 @@ def near_duplicates(
     distinct = stage(good.groupBy("hash", "vec").agg(F.min("id").alias("pos"), F.count(F.lit(1)).alias("copies")), "distinct")
     total = distinct.count()
 
+    sample = max(1, min(sample, SAMPLE_BYTES // (8 * width)))
     share = min(1.0, sample / max(1, total))
     drawn = distinct.filter(F.pmod(F.xxhash64("hash", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
     picked = drawn.orderBy("hash", "pos").select("vec").limit(2 * sample).toPandas()["vec"]

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .words import text_buffers
 
+MOST_LANGUAGES = 1000
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
@@ -167,12 +168,15 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(out_codes, pa.binary()), pa.array(out_langs, pa.string())], names=["codes", "lang"])
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS) -> Network | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS, languages_at_most: int = MOST_LANGUAGES) -> Network | None:
     """Train on a sample: of every language about `texts` labelled rows that are not held out, chosen by a hash of
-    their id. None if no row has a label. Only the sample's windows (at most 4 of 256 bytes a text) reach the driver."""
+    their id. None if no row has a label. More than `languages_at_most` languages raise, for the network has a row of
+    weights for each and its sample grows with them; raise the bound to learn more. Only the sample's windows (at most 4 of 256 bytes a text) reach the driver."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"))
     usable = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("id")))
-    counts = {r["lang"]: r["count"] for r in usable.select("lang").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()}
+    counts = {r["lang"]: r["count"] for r in usable.select("lang").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages_at_most + 1).collect()}
+    if len(counts) > languages_at_most:
+        raise ValueError(f"more than {languages_at_most} languages: pass a larger languages_at_most")
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, texts / n))])

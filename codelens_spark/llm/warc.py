@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.skew import attach
 from ..plans.stage import new_path, stage
 from .tokenfile import open_fs
 from .words import text_buffers
@@ -24,6 +25,8 @@ from .words import text_buffers
 VERSION = b"WARC/1.1"
 CHUNK = 1 << 16
 GZIP_LEVEL = 1
+NAMELESS = "-"  # stands for a null id in record names
+SALTS = 32
 DATE = "2024-01-01T00:00:00Z"  # pages carry no time
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = (
@@ -56,10 +59,14 @@ def _member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def capture_records(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> list[bytes]:
+def _name(page_id: int | None) -> str:
+    return NAMELESS if page_id is None else str(page_id)
+
+
+def capture_records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> list[bytes]:
     """Request, response or revisit, and metadata of one page."""
     own_digest = digest(payload)
-    name = f"{page_id}/{own_digest}"
+    name = f"{_name(page_id)}/{own_digest}"
     target, main = _clean(url), record_id("response", name)
     base = lambda kind, own: [("WARC-Type", kind), ("WARC-Record-ID", f"<{own}>"), ("WARC-Date", DATE), ("WARC-Target-URI", target)]
     size = str(len(payload))
@@ -68,12 +75,12 @@ def capture_records(page_id: int, url: str | None, payload: bytes, refers_to: in
     kind = "response" if refers_to is None else "revisit"
     answer = base(kind, main) + [("WARC-Payload-Digest", f"sha1:{own_digest}"), ("Content-Type", "application/http;msgtype=response")]
     if refers_to is not None:
-        answer += [("WARC-Refers-To", f"<{record_id('response', f'{refers_to}/{own_digest}')}>"), ("WARC-Profile", REVISIT_PROFILE)]
+        answer += [("WARC-Refers-To", f"<{record_id('response', f'{_name(refers_to)}/{own_digest}')}>"), ("WARC-Profile", REVISIT_PROFILE)]
     metadata = base("metadata", record_id("metadata", name)) + [("WARC-Concurrent-To", f"<{main}>"), ("Content-Type", "application/warc-fields")]
     return [
         _record(request, f"GET {target} HTTP/1.1\r\n\r\n".encode()),
         _record(answer, http if refers_to is not None else http + payload),
-        _record(metadata, f"page-id: {page_id}\r\npayload-bytes: {size}\r\n".encode()),
+        _record(metadata, f"page-id: {_name(page_id)}\r\npayload-bytes: {size}\r\n".encode()),
     ]
 
 
@@ -104,22 +111,26 @@ def _write(folder: str):
 def write_captures(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write all pages as WARC captures; returns (file, records), the list of the files that count.
 
-    Of pages with equal payloads the one with the largest id is the response, the others are revisits of it. A null
-    html is an empty payload; a null url an empty target. Rows with a null id are left out (a record needs a name).
-    A record is named by id and payload, so rows that repeat both make the same records, which count once when read;
-    an id with several payloads makes several captures. An empty table writes no file. Payloads are never shuffled to
-    find equals, only their digests; they move once, to meet their role.
+    Of pages with equal payloads the one with the largest id is the response, the others are revisits of it; null ids
+    come after all others, and are responses if there is no other id. A null html is an empty payload; a null url an
+    empty target. Every row makes a record. A record is named by id and payload, so rows that repeat both make records of
+    one name; an id with several payloads makes several captures. An empty table writes no file. Payloads are never
+    shuffled to find equals, only their digests; they move once, to meet their role. Digests and null ids that many rows
+    share are salted.
     """
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
     where, name = open_fs(folder)
     where.create_dir(name, recursive=True)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).filter("page_id is not null")
-    rows = rows.withColumn("sha", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
-    named = stage(rows.select("page_id", "sha").distinct(), "digests")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = rows.withColumn("sha", F.sha1(F.coalesce("html", F.lit("")).cast("binary"))).withColumn("name", F.coalesce(F.col("page_id").cast("string"), F.lit(NAMELESS)))
+    named = stage(rows.select("page_id", "name", "sha").distinct(), "digests")
     leaders = named.groupBy("sha").agg(F.max("page_id").alias("leader"))
-    role = named.join(leaders, "sha").select("page_id", "sha", F.when(F.col("page_id") != F.col("leader"), F.col("leader")).alias("refers"))
-    cast = rows.join(role, ["page_id", "sha"]).select("page_id", "url", "html", "refers")
+    role = attach(named, leaders, ["sha"], how="inner").select("name", "sha", F.when(~F.col("page_id").eqNullSafe(F.col("leader")), F.col("leader")).alias("refers"))
+    nameless = F.col("name") == NAMELESS
+    role = role.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(nameless, SALTS - 1).otherwise(0))))
+    rows = rows.withColumn("salt", F.when(nameless, F.pmod(F.xxhash64("url"), F.lit(SALTS))).otherwise(0).cast("int"))
+    cast = rows.join(role, ["name", "sha", "salt"]).select("page_id", "url", "html", "refers")
     return stage(cast.mapInArrow(_write(folder), "file string, records long"), "warc-files")
 
 
@@ -203,41 +214,44 @@ def read_records(files: DataFrame, with_payload: bool = True) -> DataFrame:
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: (capture_id, response, requests array, metadata array, orphan boolean).
+    """One nested row per capture: (capture_id, response, requests array, metadata array, orphan boolean, copies long).
 
     A capture is a response, revisit or resource record; the records concurrent to it, whichever of the two names the
     other, belong to it. Records that name a capture that is not there form a row with a null response, marked as
-    orphan. Records read twice count once.
+    orphan. Records of one name are one record; copies says how many of the capture's own there are.
     """
-    rows = records.filter("record_id is not null").drop("file", "at").dropDuplicates(["record_id"])
+    inner = [c for c in records.columns if c not in ("file", "at")]
+    named = records.filter("record_id is not null").groupBy("record_id").agg(F.first(F.struct(*inner)).alias("record"), F.count(F.lit(1)).alias("copies"))
+    rows = named.select("record.*", "copies")
     main = F.col("type").isin("response", "revisit", "resource")
-    packed = F.struct(*[F.col(c) for c in rows.columns]).alias("record")
-    named = rows.filter(main & F.col("concurrent_to").isNotNull()).select(F.col("concurrent_to").alias("record_id"), F.col("record_id").alias("capture"))
-    sides = rows.filter(~main).join(named, "record_id", "left")
-    sides = sides.select(F.coalesce("capture", "concurrent_to", "record_id").alias("capture_id"), F.struct(*[F.col(c) for c in rows.columns]).alias("record"))
-    mains = rows.filter(main).select(F.col("record_id").alias("capture_id"), packed)
+    packed = F.struct(*[F.col(c) for c in inner]).alias("record")
+    other = rows.filter(main & F.col("concurrent_to").isNotNull()).select(F.col("concurrent_to").alias("record_id"), F.col("record_id").alias("capture"))
+    sides = rows.filter(~main).join(other, "record_id", "left")
+    sides = sides.select(F.coalesce("capture", "concurrent_to", "record_id").alias("capture_id"), packed, F.lit(0).cast("long").alias("copies"))
+    mains = rows.filter(main).select(F.col("record_id").alias("capture_id"), packed, "copies")
     kind = F.col("record.type")
     grouped = mains.unionByName(sides).groupBy("capture_id").agg(
         F.max(F.when(kind.isin("response", "revisit", "resource"), F.col("capture_id"))).alias("there"),
         F.sort_array(F.collect_list(F.when(kind == "request", F.struct("record.record_id", "record.target", "record.date", "record.payload_bytes")))).alias("requests"),
         F.sort_array(F.collect_list(F.when(kind == "metadata", F.struct("record.record_id", F.map_entries("record.fields").alias("fields"))))).alias("metadata"),
         F.first(F.when(kind.isin("response", "revisit", "resource"), F.col("record")), ignorenulls=True).alias("response"),
+        F.max("copies").alias("copies"),
     )
-    return grouped.select("capture_id", "response", "requests", "metadata", F.col("there").isNull().alias("orphan"))
+    return grouped.select("capture_id", "response", "requests", "metadata", F.col("there").isNull().alias("orphan"), "copies")
 
 
 def page_captures(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write all pages, read the archives back, assemble the captures, and give per page
-    (id, payload_bytes long, payload_digest string, record_type string, refers_to long)."""
+    (id, payload_bytes long, payload_digest string, record_type string, refers_to long), one row per row of `pages`."""
     files = write_captures(pages, folder, id_col, url_col, html_col)
     captures = assemble(read_records(files, with_payload=False)).filter(~F.col("orphan"))
     note = F.map_from_entries(F.col("metadata")[0]["fields"])
     flat = captures.select(
-        F.col("response.record_id").alias("rid"), note["page-id"].cast("long").alias("page"), note["payload-bytes"].cast("long").alias("bytes"),
+        F.col("response.record_id").alias("rid"), F.nullif(note["page-id"], F.lit(NAMELESS)).cast("long").alias("page"), note["payload-bytes"].cast("long").alias("bytes"), "copies",
         F.col("response.payload_bytes").alias("stored"), F.col("response.payload_digest").alias("sum"), F.col("response.type").alias("type"), F.col("response.refers_to").alias("refers"),
     )
     flat = stage(flat, "captures")
-    referred = flat.select(F.col("rid").alias("refers"), F.col("page").alias("refers_to"))
-    joined = flat.join(referred, "refers", "left")
+    referred = flat.filter("type = 'response'").select(F.col("rid").alias("refers"), F.col("page").alias("refers_to"))
+    joined = attach(flat, referred, ["refers"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     size = F.when(F.col("type") == "response", F.col("stored")).otherwise(F.col("bytes"))
     return joined.select(F.col("page").alias(id_col), size.alias("payload_bytes"), F.col("sum").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")

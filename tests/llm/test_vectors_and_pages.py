@@ -126,9 +126,9 @@ PAGES = [
 def test_captures(spark):
     out = sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in page_captures(pages(spark, PAGES)).collect()), key=repr)
     want = []
-    for i, html in sorted({(r[0], r[2] or "") for r in PAGES if r[0] is not None}):
+    for i, html in [(r[0], r[2] or "") for r in PAGES]:  # a row for each row
         raw = html.encode()
-        leader = max(r[0] for r in PAGES if r[0] is not None and (r[2] or "") == html)
+        leader = max((r[0] for r in PAGES if r[0] is not None and (r[2] or "") == html), default=None)
         want.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if leader == i else "revisit", None if leader == i else leader))
     assert out == sorted(want, key=repr)
     assert page_captures(pages(spark, [])).collect() == []
