@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 _LOCAL: dict[str, str] = {}
+_RUN = threading.local()  # .staged: tables that this thread has written and not deleted, oldest first
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -37,4 +40,34 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
+    _staged().append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _staged() -> list[str]:
+    if not hasattr(_RUN, "staged"):
+        _RUN.staged = []
+    return _RUN.staged
+
+
+def settled(make: Callable[[], DataFrame], tag: str, also: Sequence[DataFrame] = ()) -> DataFrame:
+    """The staged result of `make`, without the tables that were staged on the way to it.
+
+    These are deleted once the result is written, and so are the files of `also`, staged tables that nothing needs any
+    more. The result must be all that is used of what `make` computed.
+    """
+    staged = _staged()
+    first = len(staged)
+    result = stage(make(), tag)
+    spark = result.sparkSession
+    gone = staged[first:-1] + [p for p in staged[:first] if any(f.startswith(_plain(p)) for d in also for f in map(_plain, d.inputFiles()))]
+    for path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    staged[:] = [p for p in staged if p not in set(gone)]
+    return result
+
+
+def _plain(path: str) -> str:
+    """A path without its scheme, for comparing `file:/x` with `file:///x` and `/x`."""
+    return "/" + path.split(":", 1)[-1].lstrip("/") if ":" in path.split("/", 1)[0] else path
