@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.stage import stage
+from ..plans.stage import settled, stage
 from .components import components
-from .small import staged_small
+from .small import arrow_batches, staged_small
 from .words import mix, shingle_sets, text_buffers
 
 PERCENT = 80
@@ -41,6 +41,7 @@ _ODD = np.uint64(0xD6E8FEB86659FD93)
 BLOCK = 2048
 RUN = 150_000
 SLICE = 4 << 20
+BATCH_ROWS = 1000
 _BLOBS = "part int, kind int, x binary, y binary, z binary, f binary, g binary, h binary"
 _SHARED = "kind int, key long, doc long, rep long, n long, f long, g long, bits binary"
 
@@ -320,6 +321,7 @@ class _Nearest:
 SMALL = 64  # groups up to this size are paired together
 PAIRS = 1 << 18
 PAIR_BYTES = 4 << 20
+COMPARED = 8192  # rows compared together
 
 
 def _pairs(ends: np.ndarray, starts: np.ndarray, side: np.ndarray, crossed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -365,7 +367,7 @@ def _compare(most: int):
         for batch in _and_end(batches):
             if batch is not None and batch.num_rows:
                 held.append(batch)
-            if not held:
+            if not held or batch is not None and sum(b.num_rows for b in held) < COMPARED:
                 continue
             rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
             marks = np.stack([rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "i", "j")])
@@ -426,21 +428,11 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _placed(links: DataFrame, same: DataFrame) -> DataFrame:
     """(doc, component, same): the component of every linked text and, where other texts have its set, the least of them."""
-    return stage(components(links).withColumnRenamed("node", "doc").join(same, "doc", "left"), "placed")
+    return components(links).withColumnRenamed("node", "doc").join(same, "doc", "left")
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of `docs`: (id, n_shingles long, component_id long).
-
-    component_id is the least id reached by links. A connected group is not expanded into all its pairs, so links are
-    not counted. Texts that are null or without words have n_shingles 0 and are linked with nothing. Rows with a null id
-    have a null component_id. Repeated ids share a component. Other columns of `docs` are not read. An empty table gives
-    an empty table.
-    """
-    spark = docs.sparkSession
-    parts = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    known = texts.filter("doc is not null")
+def _components_of(known: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Facts of all texts (doc, ..., n, bits), and (doc, component, same) of those that are linked."""
     blobs = known.mapInArrow(_sketch(parts, frequent_shingles(known)), _BLOBS)
     shared = blobs.repartition(max(1, parts // 16), "part").sortWithinPartitions("part").mapInArrow(_meet, _SHARED)
     shared = stage(shared, "shared")
@@ -457,8 +449,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = members.filter("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b")).distinct()
     stars = stars.join(fact_a, "a").join(fact_b, "b").filter("5 * na >= 4 * nb and 5 * nb >= 4 * na")
     done = stage(stars.filter("not (na = nb and fa = fb and ga = gb)").select("a", "b").distinct(), "stars")
-    links = stage(equal.unionByName(_verified(known, done).select("a", "b")), "found")
-    joined = _placed(links, same)
+    links = settled(lambda: equal.unionByName(_verified(known, done).select("a", "b")), "found")
+    joined = settled(lambda: _placed(links, same), "placed")
     facts = about.select("doc", "n", "bits")
     members, most = members.select("key", "doc"), 4
     while True:
@@ -467,15 +459,31 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         near = stage(found.filter("a is not null").distinct().join(done, ["a", "b"], "left_anti"), "near")
         some = not near.isEmpty()
         if some:
-            more = stage(_verified(known, near).select("a", "b"), "found")
+            more = settled(lambda: _verified(known, near).select("a", "b"), "found")
             done = done.unionByName(near)
             if not more.isEmpty():
                 links = links.unionByName(more)
-                joined = _placed(links, same)
+                joined = settled(lambda: _placed(links, same), "placed")
         if found.filter("a is null").isEmpty():
             break  # every pair that passed has been verified
         most *= 8
+    return about, joined
+
 
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of `docs`: (id, n_shingles long, component_id long).
+
+    component_id is the least id reached by links. A connected group is not expanded into all its pairs, so links are
+    not counted. Texts that are null or without words have n_shingles 0 and are linked with nothing. Rows with a null id
+    have a null component_id. Repeated ids share a component. Other columns of `docs` are not read. An empty table gives
+    an empty table.
+    """
+    spark = docs.sparkSession
+    parts = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    known = texts.filter("doc is not null")
+    with arrow_batches(spark, BATCH_ROWS):
+        about, joined = _components_of(known, parts)
     rows = about.select("doc", "n").join(joined, "doc", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
     nameless = texts.filter("doc is null").select(F.lit(0).cast("long").alias("doc"), "text").mapInArrow(_sizes, "n long")
     return rows.unionByName(nameless.select(F.lit(None).cast("long").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.stage import stage
@@ -14,3 +17,15 @@ def staged_small(df: DataFrame, tag: str, most: int = BROADCAST_ROWS) -> DataFra
     """`df` as a written table; marked for broadcast if it has at most `most` rows, else joined by shuffling."""
     table = stage(df, tag)
     return F.broadcast(table) if table.count() <= most else table
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs run inside hand at most `rows` rows at a time to Python: for long texts, whose batches fill memory outside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

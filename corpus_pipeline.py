@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelens_spark.plans.stage import stage
+from codelens_spark.plans.stage import settled, stage
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -63,7 +63,9 @@ ORACLE_SQL = None  # language ID is a trained network
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of `sf_dir`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, apply in STAGES[:-1]:
-        docs = stage(apply(spark, docs, sf_dir), name)
+        # what a stage staged on its way, and the documents it was given, are deleted when its own are written
+        docs = settled(lambda apply=apply, docs=docs: apply(spark, docs, sf_dir), name, also=done)
+        done = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
