@@ -14,10 +14,10 @@ COPIES = 8
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Hash-spread an input that arrives in fewer partitions than there are cores (one unsplittable file,
-    say) before heavy row-wise work. Inputs with enough partitions, as on a cluster, pass unchanged."""
+    """Hash-spread an input that lies in fewer files than there are cores (one file with one row group,
+    say) before heavy row-wise work. Inputs of as many files, as on a cluster, pass unchanged; the rows are the same."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *cols)
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, *cols)
 
 
 def salt_of(df: DataFrame, salts: int = SALTS) -> Column:

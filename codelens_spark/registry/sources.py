@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import views as V
 from ..operators import aggregates as A
-from ..plans.stage import new_path
+from ..plans.stage import new_path, stage
 from ..sources import corpus, logs, writers
 from .core import query
 
@@ -146,3 +146,75 @@ def _(spark, sf):
     writers.write_matrix(out, ["main-nofix", "unknown"], path)
     back = spark.read.schema("project string, nofix string, absent string").option("header", True).csv(path)
     return back.select("project", F.round(F.col("nofix").cast("double"), 6).alias("nofix"), "absent")
+
+
+# ---- the same over real files, one per row, written first and then found by the readers ----
+
+
+def _written(spark, files, tag):
+    """The folder below which files(path, content) have been written."""
+    root = new_path(spark, tag)
+    stage(writers.write_files(files, root), "written")
+    return root
+
+
+def _number(path, pattern):
+    return F.regexp_extract(path, pattern, 1).cast("long")
+
+
+@query(
+    "s1_log_files",
+    sql="""select process, count(*) entries, cast(sum(n) as bigint) time_ms, count(distinct doc_id) files from (
+      select doc_id, case when i % 3 = 0 then 'generateTest' else 'FixWithLLM_' || i end process, length(l) n
+      from (select doc_id, unnest(a) l, unnest(range(len(a))) i from (select doc_id, string_split(text, chr(10)) a from documents where doc_id % 10 not in (5, 7)))) group by process
+    union all select null, count(*), 0, count(*) from documents where doc_id % 10 = 7""",
+)
+def _(spark, sf):
+    """Logs in folders, among them files that are no list and reports, which are left out."""
+    entry = F.transform(
+        F.split("text", "\n"),
+        lambda l, i: F.struct(F.when(i % 3 == 0, "generateTest").otherwise(F.concat(F.lit("FixWithLLM_"), i.cast("string"))).alias("process"), F.length(l).cast("string").alias("time")),
+    )
+    name = F.when(F.col("doc_id") % 10 == 5, F.concat_ws("/", F.lit("r"), "doc_id", F.lit("diagnostic_report.json"))).otherwise(F.concat(F.lit("run "), "source", F.lit("/d"), "doc_id", F.lit(".json")))
+    docs = V.table(spark, sf, "documents")
+    root = _written(spark, docs.select(name.alias("path"), F.when(F.col("doc_id") % 10 == 7, "{ no\nlist").otherwise(F.to_json(entry, {"pretty": "true"})).alias("content")), "logs")
+    read = logs.read_process_logs(spark, root)
+    return read.groupBy("process").agg(F.count("*").alias("entries"), F.coalesce(F.sum("time_ms"), F.lit(0)).cast("long").alias("time_ms"), F.count_distinct("file").alias("files"))
+
+
+@query(
+    "s2_report_files",
+    sql="""select doc_id, cast(unnest(range(len(a))) + 1 as int) round, md5(unnest(a)) message from (select doc_id, string_split(text, chr(10)) a from documents where doc_id % 10 <> 7)""",
+)
+def _(spark, sf):
+    rounds = F.transform(F.split("text", "\n"), lambda l, i: F.struct((i + 1).alias("round"), F.array(l).alias("diagnosticMessages")))
+    content = F.when(F.col("doc_id") % 10 == 7, "[1").otherwise(F.to_json(F.struct(rounds.alias("roundHistory")), {"pretty": "true"}))
+    root = _written(spark, V.table(spark, sf, "documents").select(F.concat(F.lit("a/b/r"), "doc_id", F.lit(".JSON")).alias("path"), content.alias("content")), "reports")
+    read = logs.read_diag_rounds(spark, root)
+    return read.select(_number("file", r"/r(\d+)\.JSON$").alias("doc_id"), "round", F.md5("message").alias("message"))
+
+
+@query(
+    "s3_corpus_files",
+    sql="""select case doc_id % 5 when 0 then 'src/a' || doc_id || '.py' when 2 then 'lib x/c' || doc_id || '.go' else 'x/build.d/e' || doc_id || '.h' end path,
+    case doc_id % 5 when 0 then 'Python' when 2 then 'Go' else 'C/C++ Header' end lang, length(text) size, md5(text) digest from documents where doc_id % 5 in (0, 2, 4)""",
+)
+def _(spark, sf):
+    n, name = F.col("doc_id") % 5, F.col("doc_id").cast("string")
+    path = F.when(n == 0, F.concat(F.lit("src/a"), name, F.lit(".py"))).when(n == 1, F.concat(F.lit("node_modules/x/b"), name, F.lit(".js"))).when(n == 2, F.concat(F.lit("lib x/c"), name, F.lit(".go")))
+    path = path.when(n == 3, F.concat(F.lit("docs/d"), name, F.lit(".txt"))).otherwise(F.concat(F.lit("x/build.d/e"), name, F.lit(".h")))
+    root = _written(spark, V.table(spark, sf, "documents").select(path.alias("path"), F.col("text").alias("content")), "corpus")
+    return corpus.read_corpus(spark, root).select("path", "lang", "size", F.md5("content").alias("digest"))
+
+
+@query(
+    "s4_map_files",
+    sql="""select 't' || unnest(range(len(a))) test_name, 'p' || item_id project, unnest(a) file_name, cast(unnest(range(len(a))) as int) ord from (select item_id, string_split(text, chr(10)) a from benchmark)""",
+)
+def _(spark, sf):
+    entries = F.transform(
+        F.split("text", "\n"),
+        lambda l, i: F.struct(F.concat(F.lit("t"), i.cast("string")), F.struct(F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("project_name"), l.alias("file_name"))),
+    )
+    files = V.table(spark, sf, "benchmark").select(F.concat(F.lit("m"), "item_id", F.lit(".json")).alias("path"), F.to_json(F.map_from_entries(entries), {"pretty": "true"}).alias("content"))
+    return logs.read_test_map(spark, _written(spark, files, "maps")).select("test_name", "project", "file_name", "ord")

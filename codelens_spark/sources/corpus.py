@@ -21,11 +21,11 @@ def classify_files(files: DataFrame, ext_map: Mapping[str, str] = R.CODE_EXTENSI
 def read_corpus(spark: SparkSession, root: str, ext_map: Mapping[str, str] = R.CODE_EXTENSIONS, ignore: Sequence[str] = R.IGNORED_DIRS) -> DataFrame:
     """All code files below `root`, with paths relative to it. Other extensions are not even opened."""
     glob = "*.{" + ",".join(ext_map) + "}"
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("wholetext", True)
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
     base = F.regexp_replace(F.lit(root), r"^[a-z]+://?|/+$", "")
     path = F.regexp_replace(F.col("_metadata.file_path"), r"^[a-z]+:/*", "/")
     rel = path.substr(F.length(F.concat(F.lit("/"), F.regexp_replace(base, "^/", ""))) + 2, F.length(path))
-    return classify_files(reader.text(root).select(F.url_decode(rel).alias("path"), F.col("value").alias("content")), ext_map, ignore)
+    return classify_files(reader.text(root, wholetext=True).select(F.url_decode(rel).alias("path"), F.col("value").alias("content")), ext_map, ignore)
 
 
 def split_lines(docs: DataFrame, key: str, text: str, first: int = 0) -> DataFrame:

@@ -14,8 +14,8 @@ from . import schemas as S
 
 def _files(spark: SparkSession, paths: str | Sequence[str], glob: str) -> DataFrame:
     """(file, content) of every matching file below the paths; one row per file."""
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("wholetext", True)
-    return reader.text(paths if isinstance(paths, str) else list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    return reader.text(paths if isinstance(paths, str) else list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
 
 
 def parse_process_logs(files: DataFrame) -> DataFrame:

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,3 +68,25 @@ def write_matrix(df: DataFrame, cols: Sequence[str], out: str, order: Sequence[s
 def upsert_map(existing: DataFrame, new: DataFrame, key: str, out: str) -> None:
     """Write the merged map to a new place; the old one may still be read meanwhile."""
     merge_map(existing, new, key).write.mode("errorifexists").json(out)
+
+
+def write_files(files: DataFrame, root: str) -> DataFrame:
+    """Write each row of files(path, content) as a file of its own below `root`; returns (path, bytes).
+
+    Nothing is written until the result is read or written. Paths are relative and should differ; a null content is an
+    empty file. A task that is repeated writes the same files again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            sizes = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = (content.as_py() or "").encode()
+                where.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                with where.open_output_stream(f"{base}/{path}", compression=None) as out:
+                    out.write(data)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["path", "bytes"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, bytes long")

@@ -120,3 +120,24 @@ def test_malformed_graphs_give_error_rows(spark, packed):
 
 def test_paths_without_functions(spark):
     assert G.enumerate_paths(*tables(spark, [], [])).collect() == []
+
+
+@pytest.mark.parametrize("hub", [100_000, 7])
+def test_bfs_through_hubs(spark, hub):
+    """A star with a thousand rays, reached from many roots, and a ring behind it."""
+    edges = [("hub", f"n{i}") for i in range(1000)] + [(f"r{i}", "hub") for i in range(30)] + [(f"n{i}", f"n{(i + 1) % 1000}") for i in range(1000)] + [("hub", "n1"), ("n3", "hub"), ("r0", "r0")]
+    roots = [(i, f"r{i}") for i in range(30)] + [(99, "nowhere"), (0, "n5")]
+    df, start = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(roots, "root long, node string")
+    out = {}
+    for d in (df.repartition(5),):
+        out = {(r.root, r.node): (r.depth, r.truncated) for r in G.bfs(d, start, 3, hub=hub).collect()}
+    want = {}
+    for root, first in roots:
+        level, seen = {first}, {first}
+        for depth in range(4):
+            for node in level:
+                if depth < want.get((root, node), (9,))[0]:
+                    want[(root, node)] = (depth, depth >= 3)
+            level = {b for a, b in edges if a in level} - seen
+            seen |= level
+    assert out == want
