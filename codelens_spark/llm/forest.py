@@ -6,12 +6,14 @@ parted. A branch ends early where most vectors lie within the projected threshol
 tried: that is a dense group, which a cut would part again and again. Thresholds come from a bounded sample, but every vector is routed through every tree. Vectors that share a
 leaf are compared; pairs with enough cosine are links. A pair that meets in several leaves is counted in the first of
 them only (each vector carries its list of leaves), so no table of all pairs is ever made: a leaf gives counts per
-vector and a spanning forest of its links. Leaves with many vectors (a dense group cannot be split apart) are compared
+vector and a spanning forest of its links. The sample of a large table is too thin for small leaves, so leaves that hold
+too many rows are cut further, by trees grown from bounded samples of their own, until they are small or dense. Leaves with many vectors (a dense group cannot be split apart) are compared
 block by block in separate groups.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +33,9 @@ DIRECTIONS = 8  # tried before a branch ends as dense
 SAMPLE, SAMPLE_BYTES = 20_000, 64 << 20
 BLOCK = 1024
 SEED = 5
+OVERFULL = 4  # times LEAF rows: a leaf with more is cut further
+LEAF_SAMPLE = 2000  # vectors of an overfull leaf that its own tree is grown from, about
+ROUTED_ROWS = 50_000  # rows of an overfull leaf that one task routes, about
 
 
 @dataclass
@@ -112,6 +117,66 @@ def _route(forest: list[Tree], margin: float):
     return run
 
 
+def _grow(leaf_rows: int, margin: float, reach: float):
+    """A sample of one leaf -> its tree; none if the leaf is dense and stays whole."""
+
+    def run(table: pa.Table) -> pa.Table:
+        leaf, n = table.column("leaf")[0].as_py(), table.column("n")[0].as_py()
+        sample = _matrix(table.column("vec"))
+        sample = sample[np.lexsort(sample.T)]
+        tree, leaves = grow(sample, max(8.0, leaf_rows * len(sample) / n), margin, reach, np.random.default_rng([SEED, leaf & 0xFFFFFFFF]), 0)
+        blob = pickle.dumps(tree) if leaves > 1 else None
+        return pa.table({"leaf": pa.array([leaf], pa.int64()), "tree": pa.array([blob], pa.binary())})
+
+    return run
+
+
+def _reroute(margin: float):
+    """Some rows of one leaf and its tree -> the smaller leaves that each row reaches."""
+
+    def run(rows: pa.Table, trees: pa.Table) -> pa.Table:
+        if not rows.num_rows or not trees.num_rows:
+            return pa.table({"pos": pa.array([], pa.int64()), "was": pa.array([], pa.int64()), "part": pa.array([], pa.int32())})
+        row, part = route(pickle.loads(trees.column("tree")[0].as_py()), _matrix(rows.column("vec")), margin)
+        pos = rows.column("pos").to_numpy()[row]
+        return pa.table({"pos": pa.array(pos), "was": pa.array(np.full(len(row), rows.column("leaf")[0].as_py(), np.int64)), "part": pa.array(part.astype(np.int32))})
+
+    return run
+
+
+def _refined(routed: DataFrame, leaf_rows: int, margin: float, reach: float) -> DataFrame:
+    """`routed` with the overfull leaves cut further. Only leaf numbers move; vectors move where their leaf is cut."""
+    vectors = routed.select("pos", "vec")
+    spread = routed.select("pos", F.explode(F.col("leaves").cast("array<bigint>")).alias("leaf"))
+    whole: DataFrame | None = None  # leaves that cannot be cut
+    cut = False
+    while True:
+        over = spread.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > OVERFULL * leaf_rows)
+        over = stage(over if whole is None else over.join(whole, "leaf", "left_anti"), "overfull")
+        if over.isEmpty():
+            break
+        inside = spread.join(over, "leaf")
+        drawn = F.pmod(F.xxhash64("pos", "leaf"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.lit(float(LEAF_SAMPLE)) / F.col("n")
+        sampled = inside.filter(drawn).join(vectors, "pos").groupBy("leaf")
+        trees = stage(sampled.applyInArrow(_grow(leaf_rows, margin, reach), "leaf long, tree binary"), "trees")
+        dense = over.join(trees.filter("tree is not null"), "leaf", "left_anti").select("leaf")
+        whole = stage(dense if whole is None else dense.unionByName(whole), "dense")
+        trees = trees.filter("tree is not null").join(over, "leaf")
+        if trees.isEmpty():
+            break
+        cut = True
+        parts = F.ceil(F.col("n") / ROUTED_ROWS).cast("int")
+        rows = inside.join(trees.select("leaf"), "leaf").withColumn("share", F.pmod(F.xxhash64("pos"), parts).cast("int")).join(vectors, "pos").select("leaf", "share", "pos", "vec")
+        copies = trees.withColumn("share", F.explode(F.sequence(F.lit(0), parts - 1))).select(F.col("leaf").alias("of"), F.col("share").alias("to"), "tree")
+        found = rows.groupBy("leaf", "share").cogroup(copies.groupBy("of", "to")).applyInArrow(_reroute(margin), "pos long, was long, part int")
+        smaller = found.select("pos", F.xxhash64("was", "part").alias("leaf"))
+        spread = stage(spread.join(trees.select("leaf"), "leaf", "left_anti").select("pos", "leaf").unionByName(smaller).distinct(), "spread")
+    if not cut:
+        return routed.withColumn("leaves", F.col("leaves").cast("array<bigint>"))
+    lists = spread.groupBy("pos").agg(F.array_sort(F.collect_list("leaf")).alias("leaves"))
+    return stage(routed.drop("leaves").join(lists, "pos").select(*routed.columns), "routed")
+
+
 def _leaf_links(pos: np.ndarray, vec: np.ndarray, copies: np.ndarray, leaves: list[np.ndarray], block: np.ndarray, leaf: int, crossed: bool, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links first met in this leaf: how many each vector has (copies counted), and a spanning forest of them."""
     count = np.zeros(len(pos), np.int64)
@@ -211,6 +276,7 @@ def near_duplicates(
         forest.append(tree)
 
     routed = stage(distinct.select("pos", "vec", "copies").mapInArrow(_route(forest, margin), "pos long, vec array<double>, copies long, leaves array<int>"), "routed")
+    routed = _refined(routed, LEAF, margin, reach)
     spread = routed.withColumn("leaf", F.explode("leaves"))
     blocks = spread.groupBy("leaf").count().filter("count > 1").select("leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     dealt = spread.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("pos"), F.col("blocks")).cast("int"))

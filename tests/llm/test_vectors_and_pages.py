@@ -117,6 +117,35 @@ def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string, digest string, file string")
 
 
+def test_leaves_of_a_thin_sample_are_cut_further(spark, monkeypatch):
+    """A forest from 150 vectors of 6000 leaves some hundreds of rows in a leaf; one group is dense and stays whole."""
+    monkeypatch.setattr(forest, "LEAF", 40)
+    monkeypatch.setattr(forest, "LEAF_SAMPLE", 100)
+    monkeypatch.setattr(forest, "ROUTED_ROWS", 70)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(700, 16))
+    rows = [(i, (centres[i % 700] + rng.normal(scale=rng.choice([0.05, 0.12, 0.4]), size=16)).astype(np.float32)) for i in range(5200)]
+    rows += [(6000 + i, (centres[0] * 3 + rng.normal(scale=0.3, size=16)).astype(np.float32)) for i in range(800)]
+    sizes = []
+    kept = forest._refined
+
+    def watched(routed, *rest):
+        out = kept(routed, *rest)
+        for df in (routed, out):
+            sizes.append(sorted(r["count"] for r in df.selectExpr("explode(leaves) as leaf").groupBy("leaf").count().collect()))
+        return out
+
+    monkeypatch.setattr(forest, "_refined", watched)
+    out = near_duplicates(table(spark, rows).repartition(4), sample=150).collect()
+    before, after = sizes
+    assert np.median(after) < 160 < np.median(before)
+    count, label = links_of(rows)
+    found = {r["vec_id"]: r for r in out}
+    assert len(out) == len(rows) and all(found[i]["n_links"] <= n for i, n in count.items())
+    assert sum(found[i]["n_links"] for i in count) >= 0.97 * sum(count.values())
+    assert np.mean([found[i]["component_id"] == c for i, c in label.items()]) > 0.97
+
+
 PAGES = [
     (1, "http://a/", "<p>x</p>", None, None), (2, "http://b/ c\r\nInjected: 1", "<p>x</p>", None, None), (5, None, "<p>x</p>", None, None), (3, "http://d/", None, None, None), (4, "u", "", None, None),
     (6, "u", "é\r\n\r\nWARC/1.1\r\n" * 5000, None, None), (None, "u", "lost", None, None), (7, "u", "same", None, None), (7, "u", "same", None, None), (8, "u", "one", None, None), (8, "u", "other", None, None),
