@@ -38,6 +38,17 @@ UNHANDLED = "Unhandled Exception"
 
 UNRESOLVED = ("could not be resolved",)
 
+# fixed values: how syntax errors are worded; both lists of categories have them
+SYNTAX_WORDS = (
+    "syntax error", "misplaced construct", "expected", "unexpected token", "was not closed", 'insert "',
+    "delete this token", "invalid compilationunit", "unexpected indentation", "unindent not expected",
+    "invalid character constant", "statements must be separated", "no new variables on left side of :=",
+    "positional argument cannot appear after keyword arguments", "unterminated", "illegal character",
+    "await allowed only within async function", 'expecting "}"', "invalid escape sequence",
+    "not properly closed by a double-quote", "missing ',' in composite literal",
+    "enum classes must not be local",
+)
+
 # Intended reading of the seven-category list: separators restored, case folded, patterns as patterns.
 SEVEN = (
     Category(
@@ -64,14 +75,8 @@ SEVEN = (
     Category(
         SYNTAX,
         (
-            "syntax error", "misplaced construct", "expected", "unexpected token", "was not closed", 'insert "',
-            "delete this token", "invalid compilationunit", "unexpected indentation", "unindent not expected",
-            "invalid character constant", "statements must be separated", "no new variables on left side of :=",
-            "positional argument cannot appear after keyword arguments", "unterminated", "illegal character",
-            "await allowed only within async function", 'expecting "}"', "invalid escape sequence",
-            "not properly closed by a double-quote", "missing ',' in composite literal",
-            "enum classes must not be local", "missing ',' before newline in composite literal",
-            "must implement the inherited abstract method", "must override or implement a supertype method",
+            *SYNTAX_WORDS,
+            "missing ',' before newline in composite literal", "must implement the inherited abstract method", "must override or implement a supertype method",
             "name clash", "does not override", "cannot override final method",
             "cannot reduce the visibility of the inherited method",
         ),
@@ -243,7 +248,7 @@ CONSTRUCTOR_FIRST = (
         needs_context=UNRESOLVED,
         veto=True,
     ),
-    Category(SYNTAX, SEVEN[2].keywords[:22]),
+    Category(SYNTAX, SYNTAX_WORDS),
     Category(MEMBER, SEVEN[3].keywords + ("cannot invoke .* on the array type", "error() string")),
     Category(
         TYPE,
