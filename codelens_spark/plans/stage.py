@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL: dict[str, str] = {}
 _RUN = threading.local()  # .staged: tables that this thread has written and not deleted, oldest first
 
@@ -35,11 +36,17 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` once as parquet and read it back.
 
     Unlike a cached or locally checkpointed frame the result outlives any executor, and the reader
-    gets real size statistics, so joins on the staged table are planned from its true size.
+    gets real size statistics, so joins on the staged table are planned from its true size. The shuffle files behind it
+    are removed as soon as it is written, not when the driver happens to collect garbage.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _staged().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
