@@ -42,6 +42,7 @@ BLOCK = 2048
 RUN = 150_000
 SLICE = 4 << 20
 BATCH_ROWS = 1000
+PART_BYTES = 4 << 20  # text whose keys make a part, about
 _BLOBS = "part int, kind int, x binary, y binary, z binary, f binary, g binary, h binary"
 _SHARED = "kind int, key long, doc long, rep long, n long, f long, g long, bits binary"
 
@@ -431,10 +432,14 @@ def _placed(links: DataFrame, same: DataFrame) -> DataFrame:
     return components(links).withColumnRenamed("node", "doc").join(same, "doc", "left")
 
 
-def _components_of(known: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+def _components_of(known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Facts of all texts (doc, ..., n, bits), and (doc, component, same) of those that are linked."""
+    # keys travel packed by part: as many parts as keep one small, whatever the number of partitions
+    size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    tasks = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(tasks, -(-size // PART_BYTES))
     blobs = known.mapInArrow(_sketch(parts, frequent_shingles(known)), _BLOBS)
-    shared = blobs.repartition(max(1, parts // 16), "part").sortWithinPartitions("part").mapInArrow(_meet, _SHARED)
+    shared = blobs.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_meet, _SHARED)
     shared = stage(shared, "shared")
     about = shared.filter("kind = 0").select("doc", "rep", "n", "f", "g", "bits")
     members = shared.filter("kind = 1").select("key", "doc", "rep")
@@ -479,11 +484,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     an empty table.
     """
     spark = docs.sparkSession
-    parts = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     known = texts.filter("doc is not null")
     with arrow_batches(spark, BATCH_ROWS):
-        about, joined = _components_of(known, parts)
+        about, joined = _components_of(known)
     rows = about.select("doc", "n").join(joined, "doc", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
     nameless = texts.filter("doc is null").select(F.lit(0).cast("long").alias("doc"), "text").mapInArrow(_sizes, "n long")
     return rows.unionByName(nameless.select(F.lit(None).cast("long").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
