@@ -93,7 +93,8 @@ class Templates:
 
 def _hashes(spark: SparkSession, known: Templates) -> dict[tuple[str, str], int]:
     pairs = sorted({p for group in (*known.grams, *known.needs) for p in group})
-    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()
+    listed = ", ".join(f"('{a}', '{b}')" for a, b in pairs)  # letters and digits only
+    rows = spark.sql(f"select a, b, xxhash64(a, b) as h from values {listed} as t(a, b)").collect()
     return {(r["a"], r["b"]): r["h"] for r in rows}
 
 
