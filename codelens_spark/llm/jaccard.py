@@ -15,7 +15,7 @@ Copies and groups: inside a batch copies of one set and repeated keys are reduce
 shuffled, and equal sets are then linked to the least text that has them. A key links its members only to the key's least
 member (linear, not all pairs). Members of a key that are still apart after these links are verified are compared by a
 second parity sketch of one-bit cells, whose Hamming distance also bounds |A xor B| from below. That goes in rounds: each
-verifies the nearest pairs of every component that pass the bound, four in the first round and eight times as many in
+verifies the nearest pairs of every component that pass the bound, one a task in the first round and eight times as many in
 each further one, until a round leaves no pair out. So every pair that shares a key is verified, refuted by the bound, or
 already connected. Keys with many members are compared block by block in separate groups.
 """
@@ -444,20 +444,20 @@ def _components_of(known: DataFrame) -> tuple[DataFrame, DataFrame]:
     about = shared.filter("kind = 0").select("doc", "rep", "n", "f", "g", "bits")
     members = shared.filter("kind = 1").select("key", "doc", "rep")
 
-    facts = about.select("doc", "n", "f", "g")
-    least = facts.filter("n > 0").groupBy("n", "f", "g").agg(F.min("doc").alias("a"))
-    equal = stage(facts.join(least, ["n", "f", "g"]).groupBy("doc").agg(F.collect_set("a").alias("least")), "equal")
+    facts = about.select("doc", "n", F.xxhash64("n", "f", "g").alias("set"))
+    least = facts.filter("n > 0").groupBy("set").agg(F.min("doc").alias("a"))
+    equal = stage(facts.select("doc", "set").join(least, "set").groupBy("doc").agg(F.collect_set("a").alias("least")), "equal")
     # an id that stands for several sets is compared as itself
     same = equal.filter("size(least) = 1 and least[0] <> doc").select("doc", F.get("least", F.lit(0)).alias("same"))
     equal = equal.select(F.explode("least").alias("a"), F.col("doc").alias("b")).filter("a <> b")
-    fact_a, fact_b = facts.toDF("a", "na", "fa", "ga"), facts.toDF("b", "nb", "fb", "gb")
+    fact_a, fact_b = facts.toDF("a", "na", "set_a"), facts.toDF("b", "nb", "set_b")
     stars = members.filter("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b")).distinct()
     stars = stars.join(fact_a, "a").join(fact_b, "b").filter("5 * na >= 4 * nb and 5 * nb >= 4 * na")
-    done = stage(stars.filter("not (na = nb and fa = fb and ga = gb)").select("a", "b").distinct(), "stars")
+    done = stage(stars.filter("set_a <> set_b").select("a", "b").distinct(), "stars")
     links = settled(lambda: equal.unionByName(_verified(known, done).select("a", "b")), "found")
     joined = settled(lambda: _placed(links, same), "placed")
     facts = about.select("doc", "n", "bits")
-    members, most = members.select("key", "doc"), 4
+    members, most = members.select("key", "doc"), 1
     while True:
         found, members = _apart(members, joined, facts, most)
         found = stage(found, "near")
