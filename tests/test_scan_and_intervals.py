@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codelens_spark.operators import joins as J
 from codelens_spark.operators import windows as W
+from codelens_spark.plans.intervals import stab_all, stab_best
 from codelens_spark.plans.scan import Run, number_rows, running
 from codelens_spark.plans.skew import attach, first_per_key, limit_per_key
 
@@ -211,3 +212,40 @@ def test_first_and_limit_per_key(spark, rows):
     assert rows(first_per_key(df.select("k"), ["k"], ["k"])) == [("a",), ("b",)]
     top = limit_per_key(df, ["k"], [F.col("v")], 3)
     assert rows(top, "k", "o", "rn") == [("a", 97, 3), ("a", 98, 2), ("a", 99, 1), ("b", 7, 1)]
+
+
+def _stabbed(spark, data, points, **limit):
+    iv = spark.createDataFrame(data, "uri string, s long, e long, ord long").withColumn("name", F.col("ord") % 7)
+    asks = spark.createDataFrame(points, "uri string, line long")
+    best = stab_best(asks, iv, ["uri"], "line", "s", "e", [F.col("e") - F.col("s")], ["name", "s", "e"], **limit)
+    return best, stab_all(asks, iv, ["uri"], "line", "s", "e", **limit)
+
+
+def test_stabbing_by_sweep_and_by_nodes(spark, rows):
+    """Keys of both sides of the limit, stretched positions, ties, nulls and points asked twice, over many Arrow batches."""
+    rnd = random.Random(8)
+    data = [(k, s * f, e * f, i) for (k, s, e, i) in skewed(250, 6) for f in [rnd.choice([1, 1 << 33])]]
+    data += [(None, 0, 9, 900), ("a", None, 9, 901), ("a", 3, None, 902), ("a", 9, 3, 903), ("b", 5, 9, None)]
+    points = [(k, p * f) for k in ["a", "b", "c", None] for p in range(0, 415, 5) for f in (1, 1 << 33)] + [("a", 5), ("a", None)]
+    valid = [d for d in data if None not in d[:3]]
+    pairs = [(k, p, i) for k, p in points if k and p is not None for kk, s, e, i in valid if kk == k and s <= p <= e]
+    least = {}
+    for k, p in {p for p in points if None not in p}:
+        hits = [(e - s, i is not None, i % 7 if i is not None else 0, s, e) for kk, s, e, i in valid if kk == k and s <= p <= e]
+        if hits:
+            least[(k, p)] = min(hits)[3:]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        for limit in (1, 300, 100_000):
+            best, every = _stabbed(spark, data, points, crowd=limit)
+            assert rows(best, "uri", "line", "s", "e") == sorted(((*k, *v) for k, v in least.items()), key=repr)
+            assert rows(every, "uri", "line", "ord") == sorted(pairs, key=repr)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_stabbing_sends_a_row_once(spark):
+    for df in _stabbed(spark, [("a", 0, 9 << 40, 1)], [("a", 1 << 33)]):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Join" not in plan
