@@ -11,6 +11,7 @@ from codelens_spark.operators import windows as W
 from codelens_spark.operators.retrieval import prune_context
 from codelens_spark.plans.budget import skip_greedy
 from codelens_spark.plans.scan import ranked_rows
+from codelens_spark.plans.stage import stage
 
 
 def greedy(sizes, room):
@@ -141,3 +142,30 @@ def test_bfs_through_hubs(spark, hub):
             level = {b for a, b in edges if a in level} - seen
             seen |= level
     assert out == want
+
+
+@pytest.mark.parametrize("hub", [4, 1000])
+def test_bfs_of_many_roots(spark, hub):
+    """More roots than share a number, one of them null, that meet in nodes at different depths."""
+    rnd = random.Random(12)
+    links = [(f"n{rnd.randrange(40)}", f"n{rnd.randrange(40)}") for _ in range(70)] + [("n1", None), (None, "n2")]
+    asks = [(r, f"n{rnd.randrange(40)}") for r in range(150) for _ in range(1 + r % 2)] + [(None, "n1"), (7, None)]
+    want = {}
+    for root, node in asks:
+        level = {node}
+        for depth in range(4):
+            for n in level:
+                want[(root, n)] = min(depth, want.get((root, n), depth))
+            level = {d for s, d in links if s in level and s is not None}
+    edges, roots = spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame(asks, "root long, node string")
+    got = G.bfs(edges, roots, 3, hub=hub).collect()
+    assert len(got) == len(want)
+    assert {(r.root, r.node): (r.depth, r.truncated) for r in got} == {k: (d, d >= 3) for k, d in want.items()}
+
+
+def test_bfs_follows_an_edge_once_for_all_roots(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(G, "stage", lambda df, tag: staged.append((tag, s := stage(df, tag))) or s)
+    edges = spark.createDataFrame([("a", f"b{i}") for i in range(20)], "src string, dst string")
+    assert G.bfs(edges, spark.createDataFrame([(r, "a") for r in range(50)], "root long, node string"), 1).count() == 50 * 21
+    assert [df.count() for tag, df in staged if tag == "bfs"] == [1, 20]
