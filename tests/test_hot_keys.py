@@ -119,6 +119,40 @@ def test_malformed_graphs_give_error_rows(spark, packed):
     assert got == {("g", ("q",), "BREAK without EXIT_MERGED"), ("g", ("!(q)",), "CONTINUE without LOOP"), ("h", (), "BREAK without EXIT_MERGED")}
 
 
+def random_flow(rnd, fn, size):
+    kinds = ["CONDITION", "STATEMENT"] * 9 + ["LOOP", "BREAK", "CONTINUE", "RETURN", "EXIT", "BLOCK", "TRY", "TRY_ENDED", "CATCH", "ELSE", "EXIT_MERGED", "MERGED", "FINALLY", "OTHER", None]
+    nodes = [(fn, "in", "ENTRY", None, None)]
+    nodes += [(fn, f"n{k}", rnd.choice(kinds), rnd.choice([None, "", f"t{k}", f"except E{k}:"]), rnd.choice([None, "", f"q{k}"])) for k in range(size)]
+    edges = [(fn, "in", "n0", "next", 0)]
+    for k in range(size):
+        for _ in range(rnd.randrange(1, 5)):
+            to = [f"n{j}" for j in range(k + 1, size)]
+            edges.append((fn, f"n{k}", rnd.choice([*to[:3], *to, "gone", None]), rnd.choice(["next", "next", "next", "true", "true", "false", "false", "odd", None]), rnd.choice([0, 1, 2, 12345, None])))
+    return nodes, edges
+
+
+def test_walked_paths_are_those_of_the_rounds(spark, monkeypatch):
+    rnd = random.Random(5)
+    flows = [random_flow(rnd, f"f{n:03d}", rnd.randrange(3, 12)) for n in range(150)]
+    flows.append(([("loop", i, t, f"y{i}", "q") for i, t in (("in", "ENTRY"), ("l", "LOOP"), ("c", "CONDITION"), ("s", "STATEMENT"), ("out", "EXIT"))],
+                  [("loop", *e, 0) for e in (("in", "l", "next"), ("l", "c", "next"), ("c", "s", "true"), ("c", "l", "false"), ("s", "l", "next"), ("l", "out", "false"))]))
+    flows += [([("two", "in", "ENTRY", None, None), ("two", "a", "STATEMENT", "x", None)] * 2, [("two", "in", "a", "next", 0)]), ([(None, "in", "ENTRY", None, None)], []), chain(spark, 7, "crowd")]
+    nodes, edges = tables(spark, [n for f in flows for n in f[0]], [e for f in flows for e in f[1]])
+    rounds, left = G._in_rounds, set()
+
+    def watched(n, e, *more):
+        left.update(r.fn for r in n.select("fn").distinct().collect())
+        return rounds(n, e, *more)
+
+    plain = lambda df: sorted((tuple(r) for r in df.select("fn", "path_id", "conds", "code", "error").collect()), key=repr)
+    want = plain(rounds(nodes, edges, 2, "python", 10, 5, 4096))
+    monkeypatch.setattr(G, "_in_rounds", watched)
+    monkeypatch.setattr(G, "CROWD", 30)
+    assert plain(G.enumerate_paths(nodes, edges)) == want
+    assert len(want) > 200
+    assert {"two", "crowd"} <= left and len(left) < 20  # all others are walked where their rows meet
+
+
 def test_paths_without_functions(spark):
     assert G.enumerate_paths(*tables(spark, [], [])).collect() == []
 
