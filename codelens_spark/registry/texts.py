@@ -18,8 +18,9 @@ from ..functions.classify import action_label
 from .core import query
 
 
-def _templates(name: str, texts: Sequence[str], expected: dict[str, Sequence], make: Callable[[Column], dict[str, Column]]) -> None:
-    """`{n}` in texts and expected strings stands for the customer key."""
+def _templates(name: str, texts: Sequence[str], expected: dict[str, Sequence], make: Callable[[Column], dict[str, Column]], once: Callable[[Column], Column] | None = None) -> None:
+    """`{n}` in texts and expected strings stands for the customer key. `make` gets the text, or what `once` makes of it,
+    as a column of its own."""
 
     def cell(values: Sequence, col: str) -> str:
         if all(isinstance(v, str) or v is None for v in values):
@@ -34,6 +35,8 @@ def _templates(name: str, texts: Sequence[str], expected: dict[str, Sequence], m
     def _(spark, sf):
         body = F.get(F.array(*[F.lit(t) for t in texts]), (F.col("c_custkey") % len(texts)).cast("int"))
         rows = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.replace(body, F.lit("{n}"), F.col("c_custkey").cast("string")).alias("t"))
+        if once:
+            rows = rows.select("id", once(F.col("t")).alias("t"))
         return rows.select("id", *[c.alias(k) for k, c in make(F.col("t")).items()])
 
 
@@ -82,7 +85,8 @@ ANSWERS = [
 _templates(
     "x3_categorization", ANSWERS,
     {"summary": ["s{n}", "s{n}", None, None], "decision": ["2", "3", None, None], "big": ["B", "B2", None, None], "small": ["c", "c2", None, None]},
-    lambda t: {"summary": X.categorization(t)["root_cause_summary"], "decision": X.categorization(t)["decision"], "big": X.categorization(t)["big_category"], "small": X.categorization(t)["small_category"]},
+    lambda c: {"summary": c["root_cause_summary"], "decision": c["decision"], "big": c["big_category"], "small": c["small_category"]},
+    once=X.categorization,
 )
 _templates(
     "x3_tolerant_json", ['{"a": {n}}', 'x ```json\n{"a": [{n}]}\n```', '{\\"a\\": {n}}', "{'a': {n}}", "[{n}, 2]", '{"k": [1, {n}, 3]}'],

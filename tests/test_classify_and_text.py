@@ -151,3 +151,13 @@ def test_source_line_kinds(spark):
     df = spark.createDataFrame([("  import os",), ("from a import b",), ("package x;",), ('import "fmt"',), ("x = 1",)], "l string")
     got = df.select(*[X.source_line_kind(F.col("l"), lang).alias(lang) for lang in ("python", "java", "go")]).collect()
     assert [tuple(r) for r in got] == [("import", None, None), ("import", None, None), (None, "package", "package"), (None, None, "import"), (None, None, None)]
+
+
+def test_a_categorisation_answer_is_parsed_once(spark, tmp_path):
+    from codelens_spark.registry import QUERIES
+
+    spark.createDataFrame([(n,) for n in range(8)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    out = QUERIES["x3_categorization"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    assert [tuple(r) for r in out.orderBy("id").limit(4).collect()] == [(0, "s0", "2", "B", "c"), (1, "s1", "3", "B2", "c2"), (2, None, None, None, None), (3, None, None, None, None)]
