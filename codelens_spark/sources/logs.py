@@ -10,12 +10,12 @@ from pyspark.sql import types as T
 
 from ..functions.text import number, strip
 from . import schemas as S
+from .files import read_files
 
 
 def _files(spark: SparkSession, paths: str | Sequence[str], glob: str) -> DataFrame:
     """(file, content) of every matching file below the paths; one row per file."""
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    return reader.text(paths if isinstance(paths, str) else list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
+    return read_files(spark, [paths] if isinstance(paths, str) else list(paths), glob)
 
 
 def parse_process_logs(files: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from codelens_spark.operators import aggregates as A
 from codelens_spark.sources import corpus, logs, maps, writers
@@ -251,3 +252,23 @@ def test_bucketed_map(spark, tmp_path):
     assert maps.read_map(spark, empty).count() == 0
     with pytest.raises(ValueError):
         maps.read_map(spark, str(tmp_path / "none"))
+
+
+def test_many_files_are_read_as_by_spark_but_by_few_opens(spark, tmp_path):
+    from codelens_spark.sources.files import read_files
+
+    files = {"a b/x%y é.json": b"1\r\n", "k/z#1.json": b"", "k/_h.json": b"h", "k/.i.json": b"i", "_k/q.json": b"q", "k=1/w+[2].json": b"w", "k/n.txt": b"t", "_p=1/q.json": b"q", "m/J.JsoN": b"\xc3\xa9"}
+    for name, content in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    for glob in ("*.json", "*.[jJ][sS][oO][nN]", "*.txt"):
+        old = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(str(tmp_path), wholetext=True)
+        want = sorted(map(tuple, old.select(F.col("_metadata.file_path"), F.col("value")).collect()))
+        got = read_files(spark, [str(tmp_path)], glob)
+        assert sorted(map(tuple, got.collect())) == want
+    # the files are dealt to tasks; Spark's scan, which opens each at a high price, is not used
+    read = logs.read_process_logs(spark, str(tmp_path))
+    assert "FileScan" not in read._jdf.queryExecution().executedPlan().toString()
+    one = tmp_path / "k" / "n.txt"
+    assert [tuple(r) for r in read_files(spark, [str(one)], "*.txt").collect()] == [(f"file:{one}", "t")]
+    assert read_files(spark, [str(tmp_path / "a*")], "*.json").count() == 1
