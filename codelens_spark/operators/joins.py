@@ -7,6 +7,7 @@ of the join: equi-keys only, one row per key on the lookup side, no pairing insi
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,7 +140,14 @@ def contains_join(words: DataFrame, texts: DataFrame, keyed: bool = False) -> Da
     One pass over the texts for words of any kind and length (`plans.dictionary`). Empty and null words match nothing.
     """
     key = ["key"] if keyed else []
-    return find_words(words, texts, keyed).select(*key, "word", "text_id").distinct()
+    hits = find_words(words, texts, keyed).select(*key, "word", "text_id")
+    # a text has each word once, so only the hits of repeated ids can repeat
+    own = [*key, "text_id"]
+    twice = stage(texts.groupBy(*own).agg(F.count("*").alias("n")).filter("n > 1").select(*[F.col(c).alias("__" + c) for c in own]), "repeated")
+    if twice.isEmpty():
+        return hits
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col("__" + c)) for c in own])
+    return hits.join(twice, same, "left_anti").unionByName(hits.join(twice, same, "left_semi").distinct())
 
 
 def propagate_same_line(tokens: DataFrame, matched: DataFrame) -> DataFrame:

@@ -40,6 +40,7 @@ def _seek(entries: Entries):
         automaton = _automaton(entries)
         for batch in batches:
             texts, own = batch.column(0), batch.column(1)
+            rest = batch.select(batch.schema.names[1:])  # a hit carries no copy of its text
             rows, words = [], []
             for k in range(batch.num_rows):
                 text = texts[k].as_py()
@@ -51,7 +52,7 @@ def _seek(entries: Entries):
                     rows += [k] * len(hits)
                     words += [entries[n][0] for n in hits]
                 if len(rows) > HITS or (rows and k + 1 == batch.num_rows):
-                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns[1:], pa.array(words, pa.string())], names=[*batch.schema.names[1:], "word"])
+                    yield pa.RecordBatch.from_arrays([*rest.take(pa.array(rows)).columns, pa.array(words, pa.string())], names=[*rest.schema.names, "word"])
                     rows, words = [], []
 
     return run

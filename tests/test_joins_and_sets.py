@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from codelens_spark.operators import joins as J
@@ -153,3 +154,42 @@ def test_merge_map(spark, rows):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     new = spark.createDataFrame([("b", 3), ("c", 4)], "k string, v int")
     assert rows(S.merge_map(old, new, "k")) == [("a", 1), ("b", 3), ("c", 4)]
+
+
+def test_only_hits_of_repeated_ids_are_made_distinct(spark):
+    words = spark.createDataFrame([("ab",), ("b",), ("ab",), (None,), ("",)], "word string")
+    plain = [(2, None), (3, "x"), (4, "ab b")]
+    out = J.contains_join(words, spark.createDataFrame(plain, "text_id long, text string"))
+    assert sorted(map(tuple, out.collect())) == [("ab", 4), ("b", 4)]
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    twice = [*plain, (1, "abab"), (1, "b"), (None, "b"), (None, "bb"), (4, "ab")]
+    out = J.contains_join(words, spark.createDataFrame(twice, "text_id long, text string"))
+    assert sorted(map(tuple, out.collect()), key=repr) == [("ab", 1), ("ab", 4), ("b", 1), ("b", 4), ("b", None)]
+
+
+def test_hits_do_not_copy_their_text():
+    from codelens_spark.plans.dictionary import _seek
+
+    text = "abc" * 10_000
+    taken = []
+
+    class Watched:
+        """A batch that notes the columns of which rows are taken."""
+
+        def __init__(self, batch):
+            self.batch = batch
+
+        def __getattr__(self, name):
+            return getattr(self.batch, name)
+
+        def select(self, names):
+            return Watched(self.batch.select(names))
+
+        def take(self, rows):
+            taken.append(self.batch.schema.names)
+            return self.batch.take(rows)
+
+    batch = pa.RecordBatch.from_arrays([pa.array([text, "b"]), pa.nulls(2, pa.string()), pa.array([1, 2])], names=["text", "__key", "text_id"])
+    out = [b.to_pydict() for b in _seek((("a", None), ("b", None)))(iter([Watched(batch)]))]
+    assert sorted(zip(out[0]["text_id"], out[0]["word"])) == [(1, "a"), (1, "b"), (2, "b")]
+    assert taken == [["__key", "text_id"]]
