@@ -13,11 +13,12 @@ Candidates are verified on their exact shingle sets.
 
 Copies and groups: inside a batch copies of one set and repeated keys are reduced to one row before anything is
 shuffled, and equal sets are then linked to the least text that has them. A key links its members only to the key's least
-member (linear, not all pairs). Members of a key that are still apart after these links are verified are compared by a
-second parity sketch of one-bit cells, whose Hamming distance also bounds |A xor B| from below. That goes in rounds: each
-verifies the nearest pairs of every component that pass the bound, one a task in the first round and eight times as many in
-each further one, until a round leaves no pair out. So every pair that shares a key is verified, refuted by the bound, or
-already connected. Keys with many members are compared block by block in separate groups.
+member (linear, not all pairs). A second parity sketch of one-bit cells, whose Hamming distance also bounds |A xor B| from
+below, refutes most false pairs before they are verified. Members of a key that are still apart after these links are
+compared by it, and of keys with the same members only one is. That goes in rounds: each verifies the nearest pairs of
+every component that pass the bound, 16 a task in the first round and 16 times as many in each further one, which sees
+only the keys of pairs that were left out, until a round leaves no pair out. So every pair that shares a key is verified,
+refuted by the bound, or already connected. Keys with many members are compared block by block in separate groups.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..plans.stage import settled, stage
 from .components import components
-from .small import arrow_batches, staged_small
+from .small import arrow_batches, small, staged_small
 from .words import mix, shingle_sets, text_buffers
 
 PERCENT = 80
@@ -41,7 +42,8 @@ _ODD = np.uint64(0xD6E8FEB86659FD93)
 BLOCK = 2048
 RUN = 150_000
 SLICE = 4 << 20
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+MOST = 16  # pairs a component and task in the first round, and by how much more in each further one
 PART_BYTES = 4 << 20  # text whose keys make a part, about
 _BLOBS = "part int, kind int, x binary, y binary, z binary, f binary, g binary, h binary"
 _SHARED = "kind int, key long, doc long, rep long, n long, f long, g long, bits binary"
@@ -285,14 +287,15 @@ class _Sketches:
 
 
 class _Nearest:
-    """The nearest `most` pairs of every component, collected in bounded memory; `left` if any had more."""
+    """The nearest `most` pairs of every component, collected in bounded memory; `left` has a key of every pair beyond."""
 
     def __init__(self, most: int):
-        self.most, self.left, self.size, self.room = most, False, 0, PAIRS
+        self.most, self.size, self.room = most, 0, PAIRS
         self.held: list[np.ndarray] = []
+        self.left = np.zeros(0, np.int64)
 
-    def add(self, distance: np.ndarray, component: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-        self.held.append(np.stack((component, distance, np.minimum(a, b), np.maximum(a, b))))
+    def add(self, distance: np.ndarray, component: np.ndarray, a: np.ndarray, b: np.ndarray, key: np.ndarray) -> None:
+        self.held.append(np.stack((component, distance, np.minimum(a, b), np.maximum(a, b), key)))
         self.size += len(a)
         if self.size > self.room:
             self._reduce()
@@ -305,15 +308,15 @@ class _Nearest:
             yield pa.RecordBatch.from_arrays([pa.array(rows[2, at: at + (1 << 16)]), pa.array(rows[3, at: at + (1 << 16)])], names=["a", "b"])
 
     def _reduce(self) -> None:
-        rows = np.concatenate(self.held, axis=1) if self.held else np.zeros((4, 0), np.int64)
+        rows = np.concatenate(self.held, axis=1) if self.held else np.zeros((5, 0), np.int64)
         order = np.lexsort((rows[3], rows[2], rows[1], rows[0]))
         rows = rows[:, order]
         fresh = np.ones(rows.shape[1], bool)
-        fresh[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
+        fresh[1:] = (rows[:4, 1:] != rows[:4, :-1]).any(axis=0)
         rows = rows[:, fresh]
         start = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1]))) if rows.shape[1] else np.zeros(0, np.int64)
         place = np.arange(rows.shape[1]) - np.repeat(start, np.diff(np.append(start, rows.shape[1])))
-        self.left |= bool((place >= self.most).any())
+        self.left = np.union1d(self.left, rows[4, place >= self.most])
         rows = rows[:, place < self.most]
         self.held, self.size = [rows], rows.shape[1]
         self.room = max(PAIRS, 2 * self.size)
@@ -344,7 +347,8 @@ def _pairs(ends: np.ndarray, starts: np.ndarray, side: np.ndarray, crossed: np.n
 
 
 def _compare(most: int):
-    """Rows sorted by (key, i, j) -> passing pairs (a, b) between components; a row of nulls if any were left out."""
+    """Rows sorted by (key, i, j) -> passing pairs (a, b) between components; if any were left out, a row of nulls, and
+    rows (null, key) with a key of each of them."""
 
     def whole_groups(rows: pa.RecordBatch, marks: np.ndarray, best: _Nearest) -> Iterator[pa.RecordBatch]:
         doc, component, n, side = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc", "component", "n", "block"))
@@ -358,7 +362,7 @@ def _compare(most: int):
             distance = sketches.distances(x, y)
             near = 9 * distance <= n[x] + n[y]
             x, y = x[near], y[near]
-            best.add(distance[near], component[x], doc[x], doc[y])
+            best.add(distance[near], component[x], doc[x], doc[y], marks[0][x])
             if best.room > PAIRS:  # more than memory should hold
                 yield from best.take()
 
@@ -378,8 +382,9 @@ def _compare(most: int):
                 yield from whole_groups(rows.slice(0, cut), marks[:, :cut], best)
             held = [rows.slice(cut)] if cut < rows.num_rows else []
         yield from best.take()
-        if best.left:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=["a", "b"])
+        if len(best.left):
+            keys = pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(best.left)])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), keys], names=["a", "b"])
 
     return run
 
@@ -391,15 +396,17 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
 
 def _apart(members: DataFrame, joined: DataFrame, facts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) that share a key, lie in different components and may be similar by their sketches: the nearest
-    `most` of every component and task, and a row of nulls where there are more. Also the members of the keys that
-    hold more than one component: only these can matter to a later round.
+    `most` of every component and task, and rows (null, key) where there are more. Also the members of the keys that were
+    compared: of keys with the same members, which hold more than one component, the least.
 
     joined(doc, component, same): equal sets are compared once, by the least text that has them."""
     placed = members.join(joined, "doc", "left")
-    placed = placed.select("key", F.coalesce("same", "doc").alias("doc"), F.coalesce("component", "doc").alias("component")).distinct()
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
-    split = split.filter("lo < hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    live = stage(placed.join(split, "key"), "apart")
+    placed = placed.select("key", F.coalesce("same", "doc").alias("doc"), F.coalesce("component", "doc").alias("component"))
+    half, low = F.shiftrightunsigned(F.xxhash64("doc"), 32), F.xxhash64("doc").bitwiseAND(F.lit(0xFFFFFFFF))
+    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum(half).alias("s"), F.sum(low).alias("t"))
+    split = split.filter("lo < hi").groupBy("lo", "hi", "size", "s", "t").agg(F.min("key").alias("key"))
+    split = staged_small(split.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "split", BROADCAST_IDS)
+    live = stage(placed.join(split, "key").distinct(), "apart")
     ids = staged_small(live.select("doc").distinct(), "ids", BROADCAST_IDS)
     rows = live.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "doc", "component")
@@ -408,6 +415,25 @@ def _apart(members: DataFrame, joined: DataFrame, facts: DataFrame, most: int) -
     return dealt.select("key", "i", "j", "block", "doc", "component", "n", "bits").mapInArrow(_compare(most), "a long, b long"), live.select("key", "doc")
 
 
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, na, nb, bits_a, bits_b) -> the pairs (a, b) that may be similar by their sketches."""
+    for batch in batches:
+        sketches = _Sketches(pa.concat_arrays([batch.column(4), batch.column(5)]))
+        x = np.arange(batch.num_rows)
+        near = 9 * sketches.distances(x, x + batch.num_rows) <= batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        yield batch.select(["a", "b"]).filter(pa.array(near))
+
+
+def _stars(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of a key's least text and another member, whose sets differ and may be similar."""
+    stars = stage(members.filter("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b")).distinct(), "stars")
+    ids = staged_small(stars.select(F.col("a").alias("doc")).union(stars.select("b")).distinct(), "ids", BROADCAST_IDS)
+    own = stage(facts.join(ids, "doc", "left_semi"), "own")
+    both = stars.join(own.toDF("a", "na", "set_a", "bits_a"), "a").join(own.toDF("b", "nb", "set_b", "bits_b"), "b")
+    both = both.filter("5 * na >= 4 * nb and 5 * nb >= 4 * na and set_a <> set_b")
+    return both.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_bounded, "a long, b long").distinct()
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
@@ -444,34 +470,32 @@ def _components_of(known: DataFrame) -> tuple[DataFrame, DataFrame]:
     about = shared.filter("kind = 0").select("doc", "rep", "n", "f", "g", "bits")
     members = shared.filter("kind = 1").select("key", "doc", "rep")
 
-    facts = about.select("doc", "n", F.xxhash64("n", "f", "g").alias("set"))
+    facts = about.select("doc", "n", F.xxhash64("n", "f", "g").alias("set"), "bits")
     least = facts.filter("n > 0").groupBy("set").agg(F.min("doc").alias("a"))
     equal = stage(facts.select("doc", "set").join(least, "set").groupBy("doc").agg(F.collect_set("a").alias("least")), "equal")
     # an id that stands for several sets is compared as itself
     same = equal.filter("size(least) = 1 and least[0] <> doc").select("doc", F.get("least", F.lit(0)).alias("same"))
     equal = equal.select(F.explode("least").alias("a"), F.col("doc").alias("b")).filter("a <> b")
-    fact_a, fact_b = facts.toDF("a", "na", "set_a"), facts.toDF("b", "nb", "set_b")
-    stars = members.filter("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b")).distinct()
-    stars = stars.join(fact_a, "a").join(fact_b, "b").filter("5 * na >= 4 * nb and 5 * nb >= 4 * na")
-    done = stage(stars.filter("set_a <> set_b").select("a", "b").distinct(), "stars")
+    done = settled(lambda: _stars(members, facts), "stars")
     links = settled(lambda: equal.unionByName(_verified(known, done).select("a", "b")), "found")
     joined = settled(lambda: _placed(links, same), "placed")
     facts = about.select("doc", "n", "bits")
-    members, most = members.select("key", "doc"), 1
+    members, most = members.select("key", "doc"), MOST
     while True:
-        found, members = _apart(members, joined, facts, most)
+        found, live = _apart(members, small(joined), facts, most)
         found = stage(found, "near")
         near = stage(found.filter("a is not null").distinct().join(done, ["a", "b"], "left_anti"), "near")
-        some = not near.isEmpty()
-        if some:
+        if not near.isEmpty():
             more = settled(lambda: _verified(known, near).select("a", "b"), "found")
             done = done.unionByName(near)
             if not more.isEmpty():
                 links = links.unionByName(more)
                 joined = settled(lambda: _placed(links, same), "placed")
-        if found.filter("a is null").isEmpty():
+        left = staged_small(found.filter("a is null and b is not null").select(F.col("b").alias("key")).distinct(), "left", BROADCAST_IDS)
+        if left.isEmpty():
             break  # every pair that passed has been verified
-        most *= 8
+        members = live.join(left, "key", "left_semi")
+        most *= MOST
     return about, joined
 
 
@@ -486,7 +510,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     known = texts.filter("doc is not null")
-    with arrow_batches(spark, BATCH_ROWS):
+    with arrow_batches(spark, BATCH_ROWS, BATCH_BYTES):
         about, joined = _components_of(known)
     rows = about.select("doc", "n").join(joined, "doc", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
     nameless = texts.filter("doc is null").select(F.lit(0).cast("long").alias("doc"), "text").mapInArrow(_sizes, "n long")

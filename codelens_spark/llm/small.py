@@ -15,17 +15,24 @@ BROADCAST_ROWS = 100_000
 
 def staged_small(df: DataFrame, tag: str, most: int = BROADCAST_ROWS) -> DataFrame:
     """`df` as a written table; marked for broadcast if it has at most `most` rows, else joined by shuffling."""
-    table = stage(df, tag)
+    return small(stage(df, tag), most)
+
+
+def small(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, marked for broadcast if it has at most `most` rows."""
     return F.broadcast(table) if table.count() <= most else table
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs run inside hand at most `rows` rows at a time to Python: for long texts, whose batches fill memory outside the heap."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+def arrow_batches(spark: SparkSession, rows: int, size: int) -> Iterator[None]:
+    """Jobs run inside hand at most `rows` rows and about `size` bytes at a time to Python: for long texts, whose batches
+    fill memory outside the heap."""
+    count, volume = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {key: spark.conf.get(key) for key in (count, volume)}
+    spark.conf.set(count, str(min(rows, int(before[count])) if int(before[count]) > 0 else rows))
+    spark.conf.set(volume, str(size))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)

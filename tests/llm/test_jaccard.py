@@ -147,6 +147,48 @@ def test_every_passing_pair_of_a_batch_comes_out(monkeypatch):
         assert {"a": None, "b": None} in few and {(r["a"], r["b"]) for r in few if r["a"] is not None} <= want
 
 
+def sketched(sets):
+    """(doc, n, bits) of each set, numbered from 0."""
+    n = np.array([len(x) for x in sets], np.int64)
+    bits = np.split(jaccard._cells(sets, n), np.cumsum(jaccard._width(n))[:-1])
+    return [(i, int(n[i]), bits[i].tobytes()) for i in range(len(sets))]
+
+
+def test_every_pair_left_out_has_a_key_that_is_named():
+    rng = np.random.default_rng(7)
+    base = np.unique(rng.integers(0, 2**63, 200, dtype=np.uint64))
+    facts = sketched([np.delete(base, i) for i in range(12)] + [np.unique(rng.integers(0, 2**63, 200, dtype=np.uint64))])
+    groups = {5: range(8), 6: range(6, 12), 7: [0, 12], 8: [2, 3], 9: [11, 12]}
+    rows = [{"key": k, "i": 0, "j": 0, "block": 0, "doc": d, "component": d, "n": facts[d][1], "bits": facts[d][2]} for k, docs in groups.items() for d in docs]
+    out = pa.Table.from_batches(list(jaccard._compare(1)(iter(pa.Table.from_pylist(rows).to_batches(max_chunksize=4))))).to_pylist()
+    kept = {(r["a"], r["b"]) for r in out if r["a"] is not None}
+    named = {r["b"] for r in out if r["a"] is None} - {None}
+    near = {(x, y): {k for k, docs in groups.items() if x in docs and y in docs} for x in range(12) for y in range(x + 1, 12)}
+    assert kept and all(keys & named for pair, keys in near.items() if keys and pair not in kept)
+    assert named <= {5, 6, 8}
+
+
+def test_keys_with_the_same_members_are_compared_once(spark):
+    rng = np.random.default_rng(8)
+    facts = spark.createDataFrame(sketched([np.unique(rng.integers(0, 2**63, 50, dtype=np.uint64)) for _ in range(6)]), "doc long, n long, bits binary")
+    groups = {40: [0, 1, 2], 41: [2, 1, 0], 42: [0, 1], 43: [0, 1, 3], 44: [0, 1, 4], 45: [4, 5]}
+    members = spark.createDataFrame([(k, d) for k, docs in groups.items() for d in docs], "key long, doc long")
+    joined = spark.createDataFrame([(4, 4, None), (5, 4, None), (3, 2, 2)], "doc long, component long, same long")
+    _, live = jaccard._apart(members, joined, facts, 1)
+    assert sorted(tuple(r) for r in live.collect()) == [(40, 0), (40, 1), (40, 2), (42, 0), (42, 1), (44, 0), (44, 1), (44, 4)]
+
+
+def test_pairs_with_a_key_are_verified_only_if_their_sketches_allow(spark, documents, monkeypatch):
+    """Texts with a passage in common share keys, but are too far apart by their sketches."""
+    verified, seen = jaccard._verified, []
+    monkeypatch.setattr(jaccard, "_verified", lambda texts, pairs: (seen.append(pairs.count()), verified(texts, pairs))[1])
+    passage = " ".join(f"p{i}" for i in range(104))
+    rows = [(t, passage + " " + " ".join(f"o{t}x{i}" for i in range(20))) for t in range(40)]
+    rows += [(100, rows[7][1] + " more")]
+    assert got(ngram_jaccard_join(documents(rows))) == brute(rows)
+    assert 1 <= sum(seen) < 10
+
+
 def test_odd_rows(spark, documents):
     long = " ".join(f"x{i % 7919}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one  TWO"), (6, "one two three"), (7, long), (8, long + " y"), (9, "Größe ÄÖ a b c"), (10, "GRößE ÄÖ a b c"), (11, "größe äö a b c")]
