@@ -12,7 +12,8 @@ import base64
 import functools
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RANKS = "byte_bpe_50k.tiktoken"
-CACHE = 300_000  # entries a worker keeps; later words are encoded anew
+CACHE = 150_000  # chunks a worker keeps, and half as many pre-tokens; later ones are encoded anew
+WORD = 32  # characters of the longest chunk or pre-token that is kept
 PIECE = 1 << 20  # characters split at a time
 
 
@@ -80,18 +82,19 @@ class Codec:
         self.letters = byte_letters()
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.ranks))
         self.split = regex.compile(pattern)
-        self.cache: dict[str, tuple[str, bytes]] = {}
-        self.chunks: dict[str, tuple[str, bytes]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
         self.limit = cache
         space = regex.compile(r"\s")
         self.blank = functools.lru_cache(4096)(lambda c: c.isspace() or bool(space.match(c)))
+        self.decimal = [str(i) for i in range(len(self.ranks) + 1)]
         by_id = sorted(self.ranks, key=self.ranks.__getitem__)
         self.lengths = np.array([len(t) for t in by_id], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
         self.bytes = np.frombuffer(b"".join(by_id), np.uint8)
 
-    def entries(self, tokens: list[str]) -> list[tuple[str, bytes]]:
-        """Ids of pre-tokens: in decimal, joined by blanks, and as 32-bit integers."""
+    def entries(self, tokens: list[str]) -> list[bytes]:
+        """Ids of pre-tokens, as 32-bit integers."""
         out = list(map(self.cache.get, tokens))
         if None in out:
             new = list({t for t, known in zip(tokens, out) if known is None})
@@ -99,40 +102,42 @@ class Codec:
             out = [made[t] if known is None else known for t, known in zip(tokens, out)]
         return out
 
-    def _learn(self, tokens: list[str]) -> list[tuple[str, bytes]]:
+    def _learn(self, tokens: list[str]) -> list[bytes]:
         raws = [t.encode("utf-8", "surrogatepass") for t in tokens]
         ids = [(self.ranks[r],) if r in self.ranks else None for r in raws]
         hard = [i for i, known in enumerate(ids) if known is None]
         letters = self._letters()
         for i, found in zip(hard, self.model.encode([raws[i].decode("latin-1").translate(letters) for i in hard], num_threads=1) if hard else ()):
             ids[i] = found
-        made = [(" ".join(map(str, x)), np.array(x, np.int32).tobytes()) for x in ids]
-        if len(self.cache) < self.limit // 2:
-            self.cache.update(zip(tokens, made))
+        made = [np.array(x, np.int32).tobytes() for x in ids]
+        self._keep(self.cache, zip(tokens, made), self.limit // 2)
         return made
 
+    @staticmethod
+    def _keep(known: dict[str, bytes], made: Iterable[tuple[str, bytes]], limit: int) -> None:
+        """Adds short entries while there is room: what a worker keeps stays small, whatever the texts."""
+        known.update(islice((x for x in made if len(x[0]) <= WORD), max(0, limit - len(known))))
+
     @functools.cache
     def _letters(self) -> dict[int, str]:
         return dict(enumerate(self.letters))
 
-    def by_pattern(self, text: str) -> list[tuple[str, bytes]]:
+    def by_pattern(self, text: str) -> list[bytes]:
         """Entries of the pre-tokens of a text."""
         return self.entries(self.split.findall(text))
 
-    def _split_chunks(self, chunks: list[str]) -> dict[str, tuple[str, bytes]]:
+    def _split_chunks(self, chunks: list[str]) -> dict[str, bytes]:
         """Entries of chunks, each with one blank before it."""
         tokens = [self.split.findall(" " + c) for c in chunks]
         flat = self.entries([t for own in tokens for t in own])
         made, at = {}, 0
         for chunk, own in zip(chunks, tokens):
-            parts = flat[at: at + len(own)]
-            made[chunk] = (" ".join([p[0] for p in parts]), b"".join([p[1] for p in parts]))
+            made[chunk] = b"".join(flat[at: at + len(own)])
             at += len(own)
-        if len(self.chunks) < self.limit:
-            self.chunks.update(made)
+        self._keep(self.chunks, made.items(), self.limit)
         return made
 
-    def _piece(self, text: str) -> list[tuple[str, bytes]]:
+    def _piece(self, text: str) -> list[bytes]:
         """Entries of a text. A blank between characters that are no white space always begins a pre-token, so the
         chunks between such blanks are split on their own and cached whole; any other text is split by the pattern."""
         head, *chunks = text.split(" ")
@@ -148,14 +153,15 @@ class Codec:
         return self.by_pattern(head) + out if head else out
 
     def encode(self, text: str) -> Iterator[list[tuple[str, bytes]]]:
-        """Entries of a text, in lists; long texts are cut at blanks inside them."""
+        """Ids of a text, in decimal, joined by blanks, and as 32-bit integers; long texts are cut at blanks inside them."""
         at = 0
         while at < len(text):
             end = text.find(" ", at + PIECE)
             while 0 < end < len(text) - 1 and (self.blank(text[end - 1]) or self.blank(text[end + 1])):
                 end = text.find(" ", end + 1)
             end = end if 0 < end < len(text) - 1 else len(text)
-            yield self._piece(text[at:end])
+            raw = b"".join(self._piece(text[at:end]))
+            yield [(" ".join(map(self.decimal.__getitem__, np.frombuffer(raw, np.int32).tolist())), raw)]
             at = end
 
     def decode(self, ids: np.ndarray) -> bytes:

@@ -19,13 +19,16 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised, row by row; texts that are null, have no letter or fit no learned language go."""
+    from codelens_spark.llm.jaccard import BATCH_BYTES, BATCH_ROWS
     from codelens_spark.llm.langid import accepted, fit, identify
-
-    net = fit(docs)
-    if net is None:
-        return docs.filter(F.lit(False))
-    rows = _numbered(docs)
-    found = identify(rows, id_col="__row", net=net).filter(accepted()).select("__row")
+    from codelens_spark.llm.small import arrow_batches
+
+    with arrow_batches(spark, BATCH_ROWS, BATCH_BYTES):
+        net = fit(docs)
+        if net is None:
+            return docs.filter(F.lit(False))
+        rows = _numbered(docs)
+        found = stage(identify(rows, id_col="__row", net=net).filter(accepted()).select("__row"), "accepted")
     return rows.join(found, "__row", "left_semi").select(*docs.columns)
 
 
@@ -53,8 +56,11 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document of the mix."""
     from codelens_spark.llm.bpe import encode_documents
+    from codelens_spark.llm.jaccard import BATCH_BYTES, BATCH_ROWS
+    from codelens_spark.llm.small import arrow_batches
 
-    return encode_documents(docs)
+    with arrow_batches(spark, BATCH_ROWS, BATCH_BYTES):
+        return stage(encode_documents(docs), "token_ids")
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("source_mix", source_mix), ("token_ids", token_ids)]

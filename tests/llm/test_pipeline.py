@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from codelens_spark.llm import queries
 from codelens_spark.llm.bpe import read_ranks
-from codelens_spark.llm.jaccard import ngram_jaccard_join
+from codelens_spark.llm.jaccard import BATCH_ROWS, ngram_jaccard_join
 from codelens_spark.llm.langid import CLASSES, FILTERS, WIDTHS, Network, accepted, identify
 from codelens_spark.llm.mixing import mix_sources
 from tools.check import TABLES, rows
@@ -86,6 +86,28 @@ def test_rejected_lettered_text(spark):
     assert identify(docs, net=flat).filter(accepted()).count() == 1
 
 
+@pytest.mark.parametrize("step, module, name", [("language_id", "langid", "identify"), ("token_ids", "bpe", "encode_documents")])
+def test_texts_reach_python_some_at_a_time(spark, tmp_path, monkeypatch, step, module, name):
+    """A batch lies outside of the heap twice, in the JVM and in the worker: neither may grow with the texts."""
+    seen = tmp_path / "seen"
+
+    def noted(docs, *_, id_col="doc_id", **__):
+        def run(batches):
+            for batch in batches:
+                with open(seen, "a") as f:
+                    f.write(f"{batch.num_rows}\n")
+                yield batch
+
+        read = docs.select(id_col, "text").mapInArrow(run, f"{id_col} long, text string")
+        return read.select(id_col, F.lit("en").alias("lang_pred"), F.lit(1.0).alias("score"))
+
+    monkeypatch.setattr(f"codelens_spark.llm.{module}.{name}", noted)
+    docs = spark.range(2500).select(F.col("id").alias("doc_id"), F.lit("the of and").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(10).cast("long").alias("n_chars")).coalesce(1)
+    assert dict(corpus_pipeline.STAGES)[step](spark, docs, "").count() == 2500
+    sizes = [int(x) for x in seen.read_text().split()]
+    assert sum(sizes) == 2500 and max(sizes) <= BATCH_ROWS
+
+
 def test_empty_documents(spark):
     none = spark.createDataFrame([], DOCS)
     for _, apply in corpus_pipeline.STAGES:

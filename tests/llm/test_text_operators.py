@@ -12,7 +12,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from codelens_spark.llm import sharding
-from codelens_spark.llm.bpe import Codec, decode, encode, encode_documents, read_ranks
+from codelens_spark.llm.bpe import WORD, Codec, decode, encode, encode_documents, read_ranks
 from codelens_spark.llm.langid import accepted, identify
 from codelens_spark.llm.licences import TEMPLATES, scan_licences
 from codelens_spark.llm.mixing import mix_sources
@@ -198,6 +198,15 @@ def test_byte_bpe_pieces(monkeypatch, tik):
         assert ids.tolist() == tik.encode_ordinary(text) and codec.decode(ids) == text.encode()
 
 
+def test_byte_bpe_keeps_little(tik):
+    codec = Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, cache=40)
+    for text in (" ".join(f"{'long' * 20}{i} word{i}" for i in range(100)), " ".join(f"other{i}" for i in range(100))):
+        assert [int(x) for part in codec.encode(text) for p in part for x in p[0].split()] == tik.encode_ordinary(text)
+        assert len(codec.chunks) <= 40 and len(codec.cache) <= 20 and max(map(len, [*codec.chunks, *codec.cache])) <= WORD
+    # ids are kept once, as integers
+    assert len(codec.chunks) == 40 and {type(x) for x in [*codec.chunks.values(), *codec.cache.values()]} == {bytes}
+
+
 def test_token_files(spark, documents):
     texts = [*ODD, "the quick brown fox " * 60_000, "a <|endoftext|> b<|startoftext|>c <|EndOfText|>"]
     tool = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
